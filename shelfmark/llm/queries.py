@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe_codec import round_trip_digests
 from shelfmark.llm.license_scan import scan_licenses
+from shelfmark.llm.line_crf import classify_quality
 from shelfmark.llm.packing import pack_documents
+from shelfmark.llm.quality_rules import judge_quality
 from shelfmark.llm.top_k import exact_top_k
+from shelfmark.llm.toxicity import score_toxicity
 from shelfmark.llm.url_rules import judge_urls, parse_rule
 from shelfmark.sources.tables import table
 
@@ -38,11 +41,19 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([parse_rule(*rule) for rule in URL_RULES], "verdict string, host string, path string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,7 +63,16 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_bpe_codec, op6_url_rules, op8_license_scan, op9_top_k)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_packing, op3_bpe_codec, op5_quality, op6_url_rules, op7_toxicity, op8_license_scan, op9_top_k, op10_quality_rules,
+    )
+}
 
 URL_SQL = """
 WITH rest AS (
