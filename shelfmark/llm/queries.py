@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe_codec import round_trip_digests
+from shelfmark.llm.ctw import score_documents
 from shelfmark.llm.license_scan import scan_licenses
 from shelfmark.llm.line_crf import classify_quality
 from shelfmark.llm.packing import pack_documents
@@ -41,6 +42,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_packing, op3_bpe_codec, op5_quality, op6_url_rules, op7_toxicity, op8_license_scan, op9_top_k, op10_quality_rules,
+        op2_packing, op3_bpe_codec, op4_ctw, op5_quality, op6_url_rules, op7_toxicity, op8_license_scan, op9_top_k, op10_quality_rules,
     )
 }
 
