@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe_codec import round_trip_digests
 from shelfmark.llm.ctw import score_documents
+from shelfmark.llm.jaccard_join import similar_sets
 from shelfmark.llm.license_scan import scan_licenses
 from shelfmark.llm.line_crf import classify_quality
 from shelfmark.llm.packing import pack_documents
@@ -32,6 +33,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -75,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_packing, op3_bpe_codec, op4_ctw, op5_quality, op6_url_rules, op7_toxicity, op8_license_scan, op9_top_k, op10_quality_rules,
+        op1_jaccard_join, op2_packing, op3_bpe_codec, op4_ctw, op5_quality, op6_url_rules, op7_toxicity, op8_license_scan, op9_top_k, op10_quality_rules,
     )
 }
 
