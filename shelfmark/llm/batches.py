@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +32,14 @@ def ddl(df: DataFrame, names: list[str]) -> str:
 
 def quoted(names: list[str]) -> list[str]:
     return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs``, with all columns, for whose texts ``keep`` says true."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import parts, small_batches
+from shelfmark.llm.batches import keep_rows, parts, small_batches
 from shelfmark.llm.sampling import id_remainder, labelled_sample
 
 SAMPLE, SAMPLE_LINES = 4_000, 60
@@ -184,6 +184,12 @@ def score_quality(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    field = fit_on(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")))
+    return keep_rows(docs, lambda texts: [document_score(field, t) >= threshold for t in texts])
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learned from labels of ids that are not held out."""
     told = labels.where(id_remainder(F.col("doc_id"), 4) != 2)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import parts, small_batches
+from shelfmark.llm.batches import keep_rows, parts, small_batches
 from shelfmark.llm.sampling import labelled_sample
 
 #: Labelled documents and words that the chain is fitted on at most.
@@ -167,3 +167,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     schema = "doc_id long, " + "".join(f"p_{category} double, " for category in CATEGORIES) + "is_toxic boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def filter_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    chain = fit_on(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("label")))
+    return keep_rows(docs, lambda texts: [chain.score(t)[-1] < threshold for t in texts])
