@@ -78,8 +78,8 @@ def _columns(rows: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
 def fit_linear(rows: list[list[int]], n_words: int, earlier: np.ndarray, y: np.ndarray, l2: float = 0.02, steps: int = 300) -> Linear:
     """Logistic regression by accelerated gradient steps; the bias starts at the smoothed share of the class."""
     n = len(y)
-    share = (y.sum() + 0.5) / (n + 1)
-    if n == 0 or share * (n + 1) in (0.5, n + 0.5):
+    share = (y.sum() + 0.5) / (n + 2)
+    if n == 0 or y.min() == y.max():
         return Linear(np.zeros(n_words), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))))
     at, of = _columns(rows, n_words)
     words, others, bias = np.zeros(n_words), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share)))
