@@ -258,5 +258,10 @@ SQL = {
     "extract_opengraph": sql("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN title END AS title, CASE WHEN page_id % 3 = 0 THEN price END AS price,
         CASE WHEN page_id % 3 = 0 THEN currency END AS currency, CASE WHEN page_id % 3 = 0 THEN nullif(brand, '') END AS brand FROM made""", **EXTRACT),
     "extract_cascade": sql("SELECT * FROM cascade", **EXTRACT),
+    "stream_dedup": sql('SELECT DISTINCT "webhookId", topic FROM v_webhooks'),
+    "stream_api_hourly": sql("SELECT * FROM hourly", hourly=HOURLY),
+    "stream_latest_state": sql("SELECT user_id, \"webhookId\", topic, ts, event_id, value FROM v_webhooks QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "stream_late_reject": sql("SELECT event_id, topic FROM v_webhooks WHERE epoch(date_trunc('second', ts + to_seconds(CAST(floor(value * 2) AS BIGINT)))) - epoch(date_trunc('second', ts)) > 300"),
+    "stream_route": sql("SELECT event_id, topic AS handler FROM v_webhooks WHERE topic <> 'unhandled'"),
     "extraction_coverage": sql("""SELECT via, count(*) AS pages, count(title) AS with_title, count(price) AS with_price, count(currency) AS with_currency, count(brand) AS with_brand FROM cascade GROUP BY ALL""", **EXTRACT),
 }
