@@ -130,7 +130,47 @@ EXTRACT = {
         CASE WHEN page_id % 2 = 0 THEN brand ELSE nullif(brand, '') END AS brand FROM made WHERE (page_id % 2 = 0 OR page_id % 3 = 0) AND length(title) >= 5""",
 }
 
+STOCK = "p_partkey % 25"
+CLEAN = """trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))"""
+BRAND = "nullif(trim(lower(brand)), '')"
+TIME = """ "lastSyncedAt" AS "updatedAt" """
+
+
+def normalised(**columns: str) -> str:
+    """Columns of a normalised product of the products view."""
+    base = {
+        "sourceId": '"sourceId"', "cleanedTitle": CLEAN, "normalizedBrand": BRAND, "category": "category", "sku": "sku", "compareAtPrice": "NULL", "price": "CAST(floor(price) AS DOUBLE)",
+        "quantity": f"CAST({STOCK} AS DOUBLE)", "isInStock": f"{STOCK} > 0", "n_images": "CAST(has_image AS INTEGER)", "n_variants": "1", "updatedAt": '"lastSyncedAt"',
+    }
+    return sql("SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in (base | columns).items()) + " FROM v_products")
+
+
+SNAPSHOTS = f"""SELECT *, CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE {STOCK} END::DOUBLE AS total, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 6 ELSE 0 END::DOUBLE AS blocked, greatest(0, total - blocked) AS free FROM v_products"""
+FREE = "CASE WHEN free <= 0 THEN 'out_of_stock' WHEN free <= 10 THEN 'limited' ELSE 'in_stock' END"
+
 SQL = {
+    "scan_raw_replay": sql("""SELECT 'gid://shopify/Product/' || p_partkey AS id, coalesce(brand, ' ') AS vendor, 2 AS n_variants FROM v_products"""),
+    "scan_incremental": sql("""SELECT p_partkey AS id, strftime("lastSyncedAt", '%Y-%m-%d %H:%M:%S') AS updated_at FROM v_products WHERE "lastSyncedAt" >= TIMESTAMP '2024-01-03 12:00:00'"""),
+    "norm_shopify_products": normalised(sourceId="'gid://shopify/Product/' || p_partkey", cleanedTitle="trim(coalesce(title, '') || ' x')", status="CASE WHEN p_partkey % 3 = 0 THEN 'active' ELSE 'draft' END",
+        variantId="'v' || p_partkey", compareAtPrice="CASE WHEN p_partkey % 2 = 0 THEN floor(price) + 10 END", n_variants="2"),
+    "norm_magento_products": normalised(status="CASE p_partkey % 3 WHEN 1 THEN 'active' WHEN 2 THEN 'inactive' END", variantId="sku", n_images="CAST(has_image AS INTEGER) + CAST(p_partkey % 2 <> 0 AS INTEGER)", keys="'[size]'"),
+    "norm_woo_products": normalised(status="CASE WHEN p_partkey % 4 = 0 THEN 'inactive' ELSE 'active' END", variantId="coalesce(sku, CAST(p_partkey AS VARCHAR))", compareAtPrice="CASE WHEN p_partkey % 2 = 0 THEN floor(price) + 100 END",
+        quantity=f"CASE WHEN p_partkey % 3 = 0 THEN CAST({STOCK} AS DOUBLE) END", isInStock=f"{STOCK} > 1", description="description", size="size || ', u'"),
+    "norm_bigcommerce_products": normalised(status="CASE WHEN p_partkey % 5 = 0 THEN 'preorder' WHEN p_partkey % 7 = 0 THEN 'inactive' ELSE 'active' END", category="NULL",
+        normalizedBrand="CASE WHEN p_partkey % 25 < 20 THEN 'house ' || (p_partkey % 25) END", variantId="CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE coalesce(sku, CAST(p_partkey AS VARCHAR)) END",
+        price="floor(price) + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END", compareAtPrice="CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN floor(price) + 1 END", tags="'a,b,c'",
+        variantTitle="CASE WHEN p_partkey % 2 = 0 THEN 'M / Red' END"),
+    "norm_inventory": sql(f"""SELECT 'SKU-' || p_partkey AS sku, 'f' || (p_partkey % 3) AS "facilityCode", free AS "availableInventory", total AS "totalInventory", blocked AS "blockedInventory",
+        {FREE} AS availability, free > 0 AS "isInStock", 's5' AS "storeId" FROM snapshots""", snapshots=SNAPSHOTS),
+    "offers_from_variants": sql(f"""SELECT 'shopify' AS source, 's1' AS "storeId", v || p_partkey AS "variantId", CASE WHEN v = 'v' THEN sku END AS sku, CASE WHEN v = 'v' THEN floor(price) ELSE 0 END AS price,
+        CASE WHEN v = 'v' AND p_partkey % 2 = 0 THEN floor(price) + 10 END AS "compareAtPrice", currency, CASE WHEN v = 'v' AND {STOCK} > 0 THEN 'in_stock' ELSE 'out_of_stock' END AS availability,
+        v = 'v' AND {STOCK} > 0 AS "isInStock" FROM v_products, (VALUES ('v'), ('w')) t(v)"""),
+    "offers_woo": sql(f"""SELECT "sourceId", 's3' AS "storeId", coalesce(sku, CAST(p_partkey AS VARCHAR)) AS "variantId", floor(price) AS price,
+        CASE WHEN p_partkey % 2 = 0 THEN round(100 / (floor(price) + 100) * 100, 2) END AS "discountPercent",
+        CASE WHEN {STOCK} = 0 THEN 'out_of_stock' WHEN {STOCK} = 1 THEN 'on_backorder' WHEN p_partkey % 3 = 0 AND {STOCK} <= 10 THEN 'limited' ELSE 'in_stock' END AS availability FROM v_products"""),
+    "join_inventory_sku": sql(f"""SELECT o.id, CASE WHEN s.p_partkey IS NULL THEN o.availability ELSE {FREE} END AS availability, CASE WHEN s.p_partkey IS NULL THEN o."isInStock" ELSE free > 0 END AS "isInStock",
+        s.p_partkey IS NOT NULL AS matched FROM v_offers o LEFT JOIN snapshots s ON 'SKU-' || s.p_partkey = o.sku AND s.p_partkey % 3 <> 0""", snapshots=SNAPSHOTS),
+    "anti_unmatched_inventory": sql("""SELECT 'SKU-' || p_partkey AS sku FROM v_products WHERE 'SKU-' || p_partkey NOT IN (SELECT sku FROM v_offers WHERE "stockQty" > 25)"""),
     "offer_summary": sql("SELECT * FROM summary", **OFFERS),
     "modal_currency": sql("SELECT * FROM modal", **OFFERS),
     "bulk_offer_summary": sql("""SELECT "canonicalProductId", "lowestPrice", "highestPrice", coalesce("totalOffers", 0) AS "totalOffers",
