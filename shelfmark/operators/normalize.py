@@ -174,3 +174,13 @@ def join_inventory_sku(offers: DataFrame, patches: DataFrame) -> DataFrame:
 def anti_unmatched_inventory(patches: DataFrame, offers: DataFrame) -> DataFrame:
     """Patches without an offer of their SKU."""
     return patches.join(offers.select("sku"), "sku", "left_anti")
+
+
+def offers_magento(products: DataFrame, threshold: int = 10) -> DataFrame:
+    """One offer per product, its variant the SKU."""
+    v = F.get("variants", 0)
+    quantity = v["inventoryQty"]
+    return products.where(v["variantId"].isNotNull()).select(
+        F.col("sourceId"), "storeId", v["variantId"].alias("variantId"), v["price"].alias("price"), v["currency"].alias("currency"),
+        X.availability_threshold(quantity, threshold).alias("availability"), quantity.alias("stockQty"),
+    )

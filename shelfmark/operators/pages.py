@@ -99,3 +99,18 @@ def extract_cascade(pages: DataFrame) -> DataFrame:
 
 def extraction_coverage(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("via").agg(F.count("*").alias("pages"), *[F.count(c).alias(f"with_{c}") for c in ("title", "price", "currency", "brand")])
+
+
+def next_page(pages: DataFrame) -> DataFrame:
+    """The page that follows each page: a rel=next link, else its page number plus one."""
+    rel = F.nullif(F.regexp_extract("html", r"""<(?:a|link)[^>]*rel="next"[^>]*href="([^"]+)""", 1), F.lit(""))
+    number = F.regexp_extract("url", r"[?&]page=([0-9]+)", 1)
+    following = F.when(number != "", F.concat(F.regexp_extract("url", r"^(.*?[?&]page=)", 1), (number.cast("long") + 1).cast("string"), F.regexp_extract("url", r"[?&]page=[0-9]+(.*)$", 1)))
+    return pages.select("page_id", F.coalesce(rel, following).alias("next")).where("next is not null")
+
+
+def extract_domain_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Fields by the patterns of each page's domain; ``rules``: domain, field, pattern with one group."""
+    by_domain = pages.withColumn("domain", domain_of(F.col("url"))).join(rules, "domain")
+    value = F.nullif(F.expr("regexp_extract(html, pattern, 1)"), F.lit(""))
+    return by_domain.select("page_id", "field", value.alias("value")).where("value is not null")

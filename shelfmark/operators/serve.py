@@ -146,3 +146,50 @@ def ai_price_context(canonical: DataFrame, offers: DataFrame, stores: DataFrame)
         .otherwise(F.concat(F.lit("Cheapest at "), F.col("c.storeName"), F.lit(" for "), money(F.col("c.price")), F.lit(" "), F.col("c.currency")))
     )
     return joined.select("canonicalId", text.alias("context"))
+
+
+def join_canonical_full(canonical: DataFrame, products: DataFrame, offers: DataFrame) -> DataFrame:
+    """Counts of a canonical product's source rows and of their offers."""
+    rows = products.groupBy(F.col("canonicalProductId").alias("canonicalId")).agg(F.count("*").alias("sourceRows"))
+    own = offers.join(products.select(F.col("id").alias("productId"), F.col("canonicalProductId").alias("canonicalId")), "productId")
+    counted = own.groupBy("canonicalId").agg(F.count("*").alias("offerRows"), F.min("price").alias("lowestPrice"))
+    return canonical.select("canonicalId", "title").join(rows, "canonicalId", "left").join(counted, "canonicalId", "left")
+
+
+def search_context(results: DataFrame, query: str) -> DataFrame:
+    """One sentence on a page of results."""
+    told = results.agg(
+        F.count("*").alias("n"), F.min("priceMin").alias("low"), F.max("priceMax").alias("high"), F.min_by("currency", "priceMin").alias("currency"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))), ", ").alias("platforms"),
+    )
+    text = F.format_string("Found %d products for '%s' on %s from %.2f to %.2f %s", "n", F.lit(query), "platforms", "low", "high", "currency")
+    return told.select(F.when(F.col("n") == 0, f"No products found for '{query}'").otherwise(text).alias("context"))
+
+
+def ai_search_view(results: DataFrame, offers: DataFrame, few: int = 5) -> DataFrame:
+    """Results with the cheapest price of their offers, which are attached only to few results."""
+    counted = results.limit(few + 1).count()
+    view = results.select("canonicalId", "title", ai_summary().alias("summary"))
+    if counted > few:
+        return view.withColumn("cheapest", F.lit(None).cast("double"))
+    cheapest = offers.groupBy(F.col("canonicalProductId").alias("canonicalId")).agg(F.min("price").alias("cheapest"))
+    return view.join(cheapest, "canonicalId", "left")
+
+
+SECRET = r"(?i)(password|secret|token|api_?key|authorization|credential)"
+
+
+def redact_secrets(rows: DataFrame, column: str) -> DataFrame:
+    """A map column whose values under secret-like keys are hidden."""
+    hidden = F.transform_values(column, lambda k, v: F.when(k.rlike(SECRET), "[redacted]").otherwise(v))
+    return rows.withColumn(column, hidden)
+
+
+AI_FIELDS = ["canonicalId", "title", "brand", "category", "currency", "priceMin", "priceMax", "totalOffers", "inStockOffers", "isAvailable", "hasVariablePricing", "summary"]
+
+
+def dq_ai_contract(view: DataFrame) -> DataFrame:
+    """canonicalId and field of every required value of an assistant row that is missing or not a number."""
+    numbers = {"priceMin", "priceMax"}
+    bad = lambda f: F.col(f).isNull() | (F.isnan(f) if f in numbers else F.lit(False)) | ((F.col(f) == "") if f == "title" else F.lit(False))
+    return view.select("canonicalId", F.explode(F.array_compact(F.array(*[F.when(bad(f), F.lit(f)) for f in AI_FIELDS]))).alias("field"))

@@ -107,3 +107,19 @@ def deactivate_offers(offers: DataFrame, deleted: DataFrame) -> DataFrame:
         "availability": F.when(F.col("gone"), "out_of_stock").otherwise(F.col("availability")),
         "isInStock": F.col("isInStock") & F.col("gone").isNull(),
     }).drop("gone")
+
+
+def resolve_variants(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Variants of both sides (canonicalId, sku, variantId, price, availability, priority) merged by key.
+
+    The key is the SKU in lower case, else the variant's id. Of a matched pair, the source with the smaller priority
+    number wins and the other fills its gaps; unmatched variants stay, and those without a key are never matched.
+    """
+    keyed = lambda df: df.withColumn("key", F.coalesce(F.lower(X.blank_to_null(F.col("sku"))), X.blank_to_null(F.col("variantId"))))
+    side = lambda df, s: keyed(df).select("canonicalId", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("sku", "variantId", "price", "availability", "priority")])
+    joined = side(existing, "e").join(side(incoming, "i"), ["canonicalId", "key"], "full_outer")
+    old, new = F.col("priority_e").isNotNull(), F.col("priority_i").isNotNull()
+    first = F.when(old & (~new | (F.col("priority_e") <= F.col("priority_i"))), True).otherwise(False)
+    pick = lambda c: F.when(first, F.coalesce(f"{c}_e", f"{c}_i")).otherwise(F.coalesce(f"{c}_i", f"{c}_e")).alias(c)
+    state = F.when(old & new, "updated").when(new, "added").otherwise("kept")
+    return joined.select("canonicalId", pick("sku"), pick("variantId"), pick("price"), pick("availability"), state.alias("state"))

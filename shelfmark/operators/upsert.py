@@ -32,3 +32,49 @@ def add_to_set(products: DataFrame, links: DataFrame, key: str, column: str) ->
     added = links.groupBy(key).agg(F.array_sort(F.collect_set(column)).alias("_added"))
     none = F.array().cast("array<string>")
     return products.join(added, key, "left").withColumn(column, F.array_union(F.coalesce(column, none), F.coalesce("_added", none))).drop("_added")
+
+
+def upsert_offer_keys(offers: DataFrame, incoming: DataFrame, products: DataFrame) -> DataFrame:
+    """Offers with incoming ones (sourceId, storeId, variantId, price), skipping those without a key part.
+
+    The product is resolved by (sourceId, storeId); older offers of that pair without a variant go.
+    """
+    usable = incoming.where("sourceId is not null and storeId is not null and variantId is not null")
+    resolved = usable.join(products.select("sourceId", "storeId", F.col("id").alias("productId")).dropDuplicates(["sourceId", "storeId"]), ["sourceId", "storeId"], "left")
+    pairs = usable.select("sourceId", "storeId").distinct().withColumn("renewed", F.lit(True))
+    kept = offers.join(pairs, ["sourceId", "storeId"], "left").where("not (coalesce(renewed, false) and variantId is null)").drop("renewed")
+    old = kept.join(usable.select("sourceId", "storeId", "variantId"), ["sourceId", "storeId", "variantId"], "left_anti")
+    return old.unionByName(resolved.select(old.columns))
+
+
+def array_element_patch(products: DataFrame, patches: DataFrame) -> DataFrame:
+    """Products (id, variants) whose variants take the quantity that ``patches`` (sku, quantity) give their SKU."""
+    wanted = products.select("id", F.explode("variants").alias("v")).select("id", F.col("v.sku").alias("sku")).join(patches.dropDuplicates(["sku"]), "sku")
+    by_product = wanted.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("sku", "quantity"))).alias("new"))
+    joined = products.join(by_product, "id", "left")
+    patch = lambda v: F.coalesce(F.try_element_at("new", F.coalesce(v["sku"], F.lit(""))).cast("double"), v["inventoryQty"])
+    changed = F.transform("variants", lambda v: v.withField("inventoryQty", patch(v)).withField("isInStock", F.coalesce(patch(v) > 0, v["isInStock"])))
+    return joined.withColumn("variants", changed).drop("new")
+
+
+SOURCE_ID_PATHS = ["$.id", "$.sku", "$.itemTypeSKU", "$.product_id", "$.variant_id"]
+
+
+def raw_archive(bronze: DataFrame, landed: DataFrame) -> DataFrame:
+    """Archive (platform, sourceId, payload) with landed payloads; the last payload of a key stays, keyless ones are all kept."""
+    key = F.coalesce(*[F.get_json_object("payload", path) for path in SOURCE_ID_PATHS])
+    new = landed.select("platform", key.alias("sourceId"), "payload")
+    keyed = new.where("sourceId is not null").groupBy("platform", "sourceId").agg(F.max("payload").alias("payload"))
+    old = bronze.join(keyed.select("platform", "sourceId"), ["platform", "sourceId"], "left_anti")
+    return old.unionByName(keyed).unionByName(new.where("sourceId is null"))
+
+
+def dead_letter_log(failed: DataFrame, new: DataFrame, resolved: DataFrame, as_of) -> DataFrame:
+    """Failed jobs (jobId, state, failedAt, resolvedAt) with new ones; those named by ``resolved`` are closed."""
+    rows = failed.unionByName(new.join(failed.select("jobId"), "jobId", "left_anti"))
+    closed = resolved.select("jobId", F.lit(True).alias("closed")).distinct()
+    joined = rows.join(closed, "jobId", "left")
+    return joined.withColumns({
+        "resolvedAt": F.when(F.col("closed"), F.coalesce("resolvedAt", F.lit(as_of))).otherwise(F.col("resolvedAt")),
+        "state": F.when(F.col("closed"), "resolved").otherwise(F.col("state")),
+    }).drop("closed")

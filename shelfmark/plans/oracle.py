@@ -148,7 +148,62 @@ def normalised(**columns: str) -> str:
 SNAPSHOTS = f"""SELECT *, CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE {STOCK} END::DOUBLE AS total, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 6 ELSE 0 END::DOUBLE AS blocked, greatest(0, total - blocked) AS free FROM v_products"""
 FREE = "CASE WHEN free <= 0 THEN 'out_of_stock' WHEN free <= 10 THEN 'limited' ELSE 'in_stock' END"
 
+TREE = """SELECT 'r' || r_regionkey AS "sourceId", r_name AS name, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey FROM supplier"""
+CATEGORY_ID = "'cat_' || substr(sha256({}), 1, 16)"
+T = {"tree": TREE, "named": f"""SELECT t."sourceId", t.name, t.parent, {CATEGORY_ID.format('t."sourceId"')} AS id, {CATEGORY_ID.format('p."sourceId"')} AS "parentId" FROM tree t LEFT JOIN tree p ON p."sourceId" = t.parent"""}
+LINKED = f"""SELECT "sourceId" AS id, array_to_string(list_sort(list_filter([CASE WHEN p_partkey % 30 < 25 THEN {CATEGORY_ID.format("'n' || (p_partkey % 30)")} END, {CATEGORY_ID.format("'r' || (p_partkey % 5)")}],
+    lambda x: x IS NOT NULL)), ',') AS "categoryIds", CAST(p_partkey % 30 >= 25 AS BIGINT) AS missing FROM v_products"""
+
+
+def variants(side: int) -> str:
+    return f"""SELECT "canonicalProductId" AS c, CAST(p_partkey % 7 AS VARCHAR) AS v, arg_min(ROW(CASE WHEN price < 1400 THEN price END, status, {PRIORITY}), id) AS r FROM v_products
+        WHERE "canonicalProductId" IS NOT NULL AND p_partkey % 2 = {side} GROUP BY ALL"""
+
+
+OFFER_KEYS = """SELECT *, split_part("productId", '_', 2) AS s, 'store_' || (CAST(split_part("productId", '_', 2) AS BIGINT) % 10) AS st FROM v_offers"""
+ARCHIVE = """SELECT 'shopify' AS platform, 'gid://shopify/Product/' || p_partkey AS "sourceId", false AS untouched FROM v_products UNION ALL
+    SELECT unnest(['magento', 'woocommerce', 'bigcommerce']), CAST(p_partkey AS VARCHAR), false FROM v_products UNION ALL
+    SELECT 'unicommerce', 'SKU-' || p_partkey, true FROM v_products WHERE CAST(p_partkey AS VARCHAR) < '5'"""
+
 SQL = {
+    "join_parent_category": sql('SELECT "sourceId", name, id, "parentId" FROM named', **T),
+    "norm_woo_categories": sql('SELECT id, "sourceId", name, "parentId", CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS level FROM named', **T),
+    "norm_shopify_categories": sql("""SELECT "sourceId", name, 0 AS level, CASE WHEN length("sourceId") = 2 THEN length(name) ELSE 0 END AS "productsCount" FROM tree""", **T),
+    "norm_bigcommerce_categories": sql("""SELECT "sourceId", name, name AS slug, parent AS "parentSourceId", CASE left("sourceId", 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS level FROM tree""", **T),
+    "norm_magento_categories": sql("""SELECT "sourceId", name, CASE WHEN left("sourceId", 1) = 's' THEN parent END AS "parentId", CASE left("sourceId", 1) WHEN 'n' THEN 1 ELSE 2 END AS level
+        FROM tree WHERE parent IS NOT NULL""", **T),
+    "join_woo_categories": sql(LINKED),
+    "unmatched_categories": sql("SELECT id, missing FROM linked WHERE missing > 0", linked=LINKED),
+    "validate_categories": sql("""SELECT "sourceId", CASE WHEN length("sourceId") <= 2 THEN 'required:name' ELSE '' END AS errors FROM tree""", **T),
+    "resolve_variants": sql("""SELECT coalesce(e.c, i.c) AS "canonicalId", coalesce(e.v, i.v) AS "variantId", CASE WHEN i.c IS NULL OR e.r[3] <= i.r[3] THEN coalesce(e.r[1], i.r[1]) ELSE coalesce(i.r[1], e.r[1]) END AS price,
+        CASE WHEN i.c IS NULL OR e.r[3] <= i.r[3] THEN coalesce(e.r[2], i.r[2]) ELSE coalesce(i.r[2], e.r[2]) END AS availability,
+        CASE WHEN e.c IS NOT NULL AND i.c IS NOT NULL THEN 'updated' WHEN i.c IS NOT NULL THEN 'added' ELSE 'kept' END AS state
+        FROM old_variants e FULL JOIN new_variants i ON e.c = i.c AND e.v = i.v""", old_variants=variants(0), new_variants=variants(1)),
+    "upsert_offer_keys": sql("""SELECT s AS "sourceId", st AS "storeId", id AS "variantId", price + 1 AS price, "productId" FROM keys WHERE "stockQty" % 5 <> 0 AND price + 1 < 20000
+        UNION ALL SELECT s, st, CASE WHEN "stockQty" % 3 <> 0 THEN id END, price, "productId" FROM keys k WHERE NOT ("stockQty" % 3 <> 0 AND "stockQty" % 5 <> 0 AND price + 1 < 20000)
+        AND NOT ("stockQty" % 3 = 0 AND EXISTS (SELECT 1 FROM keys n WHERE n.s = k.s AND n."stockQty" % 5 <> 0 AND n.price + 1 < 20000))""", keys=OFFER_KEYS),
+    "array_element_patch": sql(f"""SELECT 'gid://shopify/Product/' || p_partkey AS "sourceId", CAST(coalesce(q.m, {STOCK}) AS DOUBLE) AS first, 0::DOUBLE AS second, coalesce(q.m, {STOCK}) > 0 AS stocked
+        FROM v_products p LEFT JOIN (SELECT sku, max("stockQty") AS m FROM v_offers GROUP BY ALL) q ON q.sku = p.sku"""),
+    "raw_archive": sql(ARCHIVE),
+    "dead_letter_log": sql(f"""SELECT event_id AS "jobId", CASE WHEN event_id % 5 = 0 THEN 'resolved' ELSE 'pending_review' END AS state, ts AS "failedAt", CASE WHEN event_id % 5 = 0 THEN {NOW} END AS "resolvedAt"
+        FROM v_sync_metrics WHERE status = 'failed' AND (event_id % 3 <> 0 OR event_id % 2 = 0)"""),
+    "join_canonical_full": sql("""SELECT c."canonicalId", c.title, c."productCount" AS "sourceRows", o.n AS "offerRows", o.m AS "lowestPrice" FROM canonical c
+        LEFT JOIN (SELECT "canonicalProductId", count(*) AS n, min(price) AS m FROM v_offers GROUP BY ALL) o ON o."canonicalProductId" = c."canonicalId" """, **C),
+    "search_context": sql("""SELECT 'Found ' || count(*) || ' products for ''ring'' on ' || (SELECT array_to_string(list_sort(list(DISTINCT source)), ', ') FROM v_products WHERE "canonicalProductId" IN (SELECT "canonicalId" FROM canonical WHERE title LIKE '%ring%'))
+        || ' from ' || format('{:.2f}', min("priceMin")) || ' to ' || format('{:.2f}', max("priceMax")) || ' ' || arg_min(currency, "priceMin") AS context FROM canonical WHERE title LIKE '%ring%'""", **C),
+    "ai_search_view": sql("""SELECT c."canonicalId", title, concat_ws(' - ', CASE WHEN brand IS NULL OR starts_with(lower(title), lower(brand)) THEN title ELSE brand || ' ' || title END, category) AS summary, cheapest
+        FROM (SELECT * FROM canonical WHERE strpos(lower(title), 'ri') > 0 OR strpos(lower(coalesce(brand, '')), 'ri') > 0 ORDER BY title, "canonicalId" LIMIT 5) c
+        LEFT JOIN (SELECT "canonicalProductId", min(price) AS cheapest FROM v_offers GROUP BY ALL) o ON o."canonicalProductId" = c."canonicalId" """, **C),
+    "redact_secrets": sql("SELECT id, '[redacted]' AS key, country FROM v_stores"),
+    "dq_ai_contract": sql("""SELECT "canonicalId", 'brand' AS field FROM canonical WHERE brand IS NULL UNION ALL SELECT "canonicalId", 'category' FROM canonical WHERE category IS NULL""", **C),
+    "next_page": r"""SELECT page_id, regexp_extract(url, '^(.*?[?&]page=)', 1) || (CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT) + 1) || regexp_extract(url, '[?&]page=[0-9]+(.*)$', 1) AS next
+        FROM pages WHERE regexp_matches(url, '[?&]page=[0-9]+')""",
+    "extract_domain_rules": f"""SELECT page_id, 'lang' AS field, regexp_extract(html, '<html lang="([a-z]+)', 1) AS value FROM pages WHERE {DOMAIN} LIKE '%.com' AND regexp_matches(html, '<html lang="[a-z]+')""",
+    "offers_magento": sql(f"""SELECT "sourceId", 's2' AS "storeId", sku AS "variantId", floor(price) AS price, 'INR' AS currency,
+        CASE WHEN {STOCK} = 0 THEN 'out_of_stock' WHEN {STOCK} <= 10 THEN 'limited' ELSE 'in_stock' END AS availability, CAST({STOCK} AS DOUBLE) AS "stockQty" FROM v_products WHERE sku IS NOT NULL"""),
+    "scraped_pipeline": sql(f"""SELECT x AS "canonicalId", min(e.price) AS lowest, count(*) AS offers, coalesce(bool_or(c."productCount" > 1), false) AS known
+        FROM (SELECT *, {canonical_id("title", "brand")} AS x FROM cascade) e LEFT JOIN canonical c ON c."canonicalId" = x GROUP BY x""", **C, **EXTRACT),
     "scan_raw_replay": sql("""SELECT 'gid://shopify/Product/' || p_partkey AS id, coalesce(brand, ' ') AS vendor, 2 AS n_variants FROM v_products"""),
     "scan_incremental": sql("""SELECT p_partkey AS id, strftime("lastSyncedAt", '%Y-%m-%d %H:%M:%S') AS updated_at FROM v_products WHERE "lastSyncedAt" >= TIMESTAMP '2024-01-03 12:00:00'"""),
     "norm_shopify_products": normalised(sourceId="'gid://shopify/Product/' || p_partkey", cleanedTitle="trim(coalesce(title, '') || ' x')", status="CASE WHEN p_partkey % 3 = 0 THEN 'active' ELSE 'draft' END",
