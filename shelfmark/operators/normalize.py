@@ -184,3 +184,39 @@ def offers_magento(products: DataFrame, threshold: int = 10) -> DataFrame:
         F.col("sourceId"), "storeId", v["variantId"].alias("variantId"), v["price"].alias("price"), v["currency"].alias("currency"),
         X.availability_threshold(quantity, threshold).alias("availability"), quantity.alias("stockQty"),
     )
+
+
+def offers_bigcommerce(items: DataFrame, store_id: str, threshold: int = 10) -> DataFrame:
+    """One offer per item: stock by its tracking mode, the sale price if there is one, discount against retail."""
+    first = F.get("variants", 0)["inventory_level"]
+    quantity = F.when(F.col("inventory_tracking") == "none", None).when(F.col("inventory_tracking") == "variant", F.coalesce(first, "inventory_level")).otherwise(F.col("inventory_level"))
+    price = F.when(F.col("sale_price") > 0, F.col("sale_price")).otherwise(F.coalesce("price", F.lit(0.0)))
+    off = F.when(F.col("retail_price") > price, F.round((F.col("retail_price") - price) / F.col("retail_price") * 100, 2))
+    return items.select(
+        F.col("id").cast("string").alias("sourceId"), F.lit(store_id).alias("storeId"), price.alias("price"), off.alias("discountPercent"),
+        quantity.alias("stockQty"), X.availability_threshold(quantity, threshold).alias("availability"),
+    )
+
+
+def norm_webhook_rest(events: DataFrame) -> DataFrame:
+    """REST-shaped product events (id, title, vendor, tags, presentment currency) as product nodes."""
+    gid = lambda c: F.when(c.startswith("gid://"), c).otherwise(F.concat(F.lit("gid://shopify/Product/"), c))
+    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
+    return events.select(gid(F.col("id")).alias("id"), "title", "vendor", tags.alias("tags"), F.coalesce("currency", F.lit(DEFAULT_CURRENCY)).alias("currencyCode"))
+
+
+def norm_scraped(extracted: DataFrame) -> DataFrame:
+    """Extracted pages as products with one variant; currency USD unless the page says otherwise."""
+    price = F.coalesce("price", F.lit(0.0))
+    currency = F.coalesce("currency", F.lit("USD"))
+    key = F.col("page_id").cast("string")
+    none = F.lit(None).cast("string")
+    one = variant(key, none, price, none, currency, none, F.lit(True))
+    return product(extracted, "scraped", F.lit("web"), sourceId=key, title=F.col("title"), brand=X.blank_to_null(F.col("brand")), status=F.lit("active"), variants=F.array(one))
+
+
+def join_inventory_item(events: DataFrame, variants: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Inventory events (item) with the SKU of the item among archived variants (item, sku), else among products'."""
+    one = lambda df, name: df.groupBy("item").agg(F.min("sku").alias(name))
+    joined = events.join(one(variants, "first"), "item", "left").join(one(fallback, "second"), "item", "left")
+    return joined.withColumn("sku", F.coalesce("first", "second")).drop("first", "second")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions import exprs as X
 from shelfmark.operators import categories as K
 from shelfmark.operators import normalize as N
 from shelfmark.operators import pages as G
+from shelfmark.operators import quality as Q
+from shelfmark.operators import resolve as R
 from shelfmark.operators import serve as V
 from shelfmark.operators import survive as S
 from shelfmark.operators import upsert as U
-from shelfmark.functions import exprs as X
 from shelfmark.plans import payloads, views
 from shelfmark.plans.queries import QUERIES as BASE
-from shelfmark.plans.queries import canonical
+from shelfmark.plans.queries import canonical, issues
 from shelfmark.sources.tables import table
 
 QUERIES = {}
@@ -187,3 +189,77 @@ def scraped_pipeline(spark, sf):
     return joined.groupBy("canonicalId").agg(F.min("price").alias("lowest"), F.count("*").alias("offers"), F.coalesce(F.first("known"), F.lit(False)).alias("known"))
 
 
+
+
+@query
+def offers_bigcommerce(spark, sf):
+    k = F.col("id") % 3
+    items = payloads.raw(spark, sf, "bigcommerce").withColumns({
+        "inventory_tracking": F.when(k == 0, "none").when(k == 1, "variant").otherwise("product"),
+        "sale_price": F.when(F.col("id") % 4 == 0, F.col("price") - 100), "retail_price": F.when(F.col("id") % 2 == 0, F.col("price") + 50),
+    })
+    return N.offers_bigcommerce(items, "s4")
+
+
+@query
+def norm_webhook_rest(spark, sf):
+    events = views.products(spark, sf).select(
+        F.when(F.col("sourceId").cast("long") % 2 == 0, F.col("sourceId")).otherwise(F.concat(F.lit("gid://shopify/Product/"), "sourceId")).alias("id"), "title", F.col("brand").alias("vendor"),
+        F.lit("a, b ,").alias("tags"), F.when(F.col("currency") != "USD", F.col("currency")).alias("currency"),
+    )
+    return N.norm_webhook_rest(events).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query
+def norm_scraped(spark, sf):
+    return payloads.flat(N.norm_scraped(BASE["extract_cascade"](spark, sf)).withColumns({c: F.lit(None).cast("string") for c in ("category", "sku", "updatedAt")}).withColumn("images", F.array())).select("sourceId", "cleanedTitle", "normalizedBrand", "price", "status")
+
+
+@query
+def join_inventory_item(spark, sf):
+    p = views.products(spark, sf).select(F.col("sourceId").cast("long").alias("item"), "sku").where("sku is not null")
+    events = views.webhooks(spark, sf).where("topic = 'inventory'").select("event_id", F.col("user_id").alias("item"))
+    return N.join_inventory_item(events, p.where("item % 8 = 0"), p.withColumn("sku", F.concat("sku", F.lit("-b"))))
+
+
+def _collections(spark, sf):
+    return views.products(spark, sf).select("id", F.concat(F.lit("n"), (F.length("title") % 25).cast("string")).alias("sourceId"))
+
+
+@query
+def join_shopify_collections(spark, sf):
+    """Collection ids added to those that products have."""
+    known = K.join_parent_category(category_rows(spark, sf)).select("sourceId", F.col("id").alias("categoryIds"))
+    links = _collections(spark, sf).join(known, "sourceId").select("id", "categoryIds")
+    have = views.products(spark, sf).select("id", F.array(F.lit("own")).alias("categoryIds"))
+    return U.add_to_set(have, links, "id", "categoryIds").select("id", F.array_join("categoryIds", ",").alias("categoryIds"))
+
+
+@query
+def join_magento_categories(spark, sf):
+    products = payloads.raw(spark, sf, "magento").select(F.col("id").cast("string").alias("id"), F.array(F.concat(F.lit("r"), (F.col("id") % 7).cast("string"))).alias("raw"))
+    return K.link_categories(products, "raw", K.join_parent_category(category_rows(spark, sf))).select("id", F.array_join("categoryIds", ",").alias("categoryIds"), "missing")
+
+
+@query
+def page_issues(spark, sf):
+    rows = Q.dq_upsert(issues(spark, sf), Q.dq_schema(canonical(spark, sf).where("priceMin < 1200")), views.as_of(spark, sf))
+    return rows.where("not resolved").orderBy(F.desc("detectedAt"), "canonicalProductId", "issueCode").limit(20).select("canonicalProductId", "issueCode", "detectedAt")
+
+
+@query
+def er_block_join(spark, sf):
+    """How many candidate pairs each category gives under a cap of 50."""
+    rows = R.features(views.products(spark, sf))
+    pairs = R.block_join(rows, F.nullif(F.col("category"), F.lit("")), 50)
+    return pairs.groupBy("block").agg(F.count("*").alias("pairs"))
+
+
+@query
+def accuracy_eval(spark, sf):
+    """Pairs of equal brand and title, expected to match, and pairs of neighbours, expected not to."""
+    p = views.products(spark, sf).where("brand is not null and title is not null")
+    same = p.groupBy("brand", "title").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b", F.lit(True).alias("expected"))
+    key = F.col("sourceId").cast("long")
+    next_to = p.where(key % 3 == 0).select(F.col("id").alias("a"), F.concat(F.lit("prod_"), (key + 1).cast("string")).alias("b"), F.lit(False).alias("expected"))
+    return R.accuracy_eval(same.unionByName(next_to), views.products(spark, sf))

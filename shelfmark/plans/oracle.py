@@ -70,7 +70,7 @@ HISTOGRAM = "SELECT id, ch, count(*) AS n FROM letters GROUP BY ALL"
 
 def pairs(block: str, cap: int) -> dict[str, str]:
     ranked = f"SELECT *, {block} AS block, row_number() OVER (PARTITION BY {block} ORDER BY id) AS r FROM features WHERE {block} IS NOT NULL"
-    joined = f"""SELECT a.id AS id, b.id AS match, a.price AS pa, b.price AS pb, a.sku AS sa, b.sku AS sb, a.size AS za, b.size AS zb,
+    joined = f"""SELECT a.block AS block, a.id AS id, b.id AS match, a.price AS pa, b.price AS pb, a.sku AS sa, b.sku AS sb, a.size AS za, b.size AS zb,
         a.name AS na, b.name AS nb, CASE WHEN a.b IS NULL AND b.b IS NULL THEN 0.5::DOUBLE WHEN a.b = b.b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS brand,
         CASE WHEN a.cat = '' OR b.cat = '' THEN 0.5::DOUBLE WHEN a.cat = b.cat THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category
         FROM ranked a JOIN ranked b ON a.block = b.block AND b.r <= {cap} AND a.id <> b.id
@@ -166,7 +166,35 @@ ARCHIVE = """SELECT 'shopify' AS platform, 'gid://shopify/Product/' || p_partkey
     SELECT unnest(['magento', 'woocommerce', 'bigcommerce']), CAST(p_partkey AS VARCHAR), false FROM v_products UNION ALL
     SELECT 'unicommerce', 'SKU-' || p_partkey, true FROM v_products WHERE CAST(p_partkey AS VARCHAR) < '5'"""
 
+WORDS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+HITS = "len(list_filter({}, lambda w: w IN ('the', 'that', 'version')))"
+HEAD = "array_to_string(string_split(text, ' ')[1:8], ' ')"
+
+
+def weighted(field: str, weight: int) -> str:
+    words = WORDS.format(field)
+    hits = HITS.format(words)
+    return f"CASE WHEN {hits} > 0 THEN {weight} * {hits} / sqrt(len({words})) ELSE 0 END"
+
+
+CLEAN_HTML = r"""substr(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?is)<(?:script|style|nav|footer|header|iframe|noscript)\b[^>]*>.*?</(?:script|style|nav|footer|header|iframe|noscript)>', '', 'g'),
+    '(?i)\s(?:on[a-z]+|style)=(?:"[^"]*"|''[^'']*'')', '', 'g'), 1, 15000)"""
+FOUND_ISSUES = {**ISSUES, "cheap": 'SELECT * FROM canonical WHERE "priceMin" < 1200', "found": schema_issues("cheap")}
+
 SQL = {
+    "search_fulltext": f"SELECT doc_id AS id, round({weighted(HEAD, 10)} + {weighted('text', 1)}, 6) AS score FROM documents WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20",
+    "html_clean": f"SELECT page_id, CAST(length({CLEAN_HTML}) AS INTEGER) AS n, md5({CLEAN_HTML}) AS digest FROM pages",
+    "offers_bigcommerce": sql(f"""SELECT "sourceId", 's4' AS "storeId", floor(price) - CASE WHEN p_partkey % 4 = 0 THEN 100 ELSE 0 END AS price,
+        CASE WHEN p_partkey % 4 = 0 THEN round(150 / (floor(price) + 50) * 100, 2) WHEN p_partkey % 2 = 0 THEN round(50 / (floor(price) + 50) * 100, 2) END AS "discountPercent",
+        CASE WHEN p_partkey % 3 <> 0 THEN {STOCK} END AS "stockQty", CASE WHEN p_partkey % 3 = 0 THEN 'in_stock' WHEN {STOCK} = 0 THEN 'out_of_stock' WHEN {STOCK} <= 10 THEN 'limited' ELSE 'in_stock' END AS availability FROM v_products"""),
+    "norm_webhook_rest": sql("""SELECT 'gid://shopify/Product/' || p_partkey AS id, title, brand AS vendor, 'a|b' AS tags, CASE WHEN currency <> 'USD' THEN currency ELSE 'INR' END AS "currencyCode" FROM v_products"""),
+    "norm_scraped": sql("""SELECT CAST(page_id AS VARCHAR) AS "sourceId", title AS "cleanedTitle", nullif(lower(brand), '') AS "normalizedBrand", price, 'active' AS status FROM cascade""", **EXTRACT),
+    "join_inventory_item": sql("""SELECT user_id AS item, event_id, CASE WHEN user_id % 8 = 0 THEN p.sku WHEN user_id % 4 = 0 THEN p.sku || '-b' END AS sku FROM v_webhooks LEFT JOIN v_products p ON p_partkey = user_id WHERE topic = 'inventory'"""),
+    "join_shopify_collections": sql("""SELECT p.id, 'own' || coalesce(',' || n.id, '') AS "categoryIds" FROM v_products p LEFT JOIN named n ON n."sourceId" = 'n' || (length(p.title) % 25)""", **T),
+    "join_magento_categories": sql(f"""SELECT "sourceId" AS id, CASE WHEN p_partkey % 7 < 5 THEN {CATEGORY_ID.format("'r' || (p_partkey % 7)")} ELSE '' END AS "categoryIds", CAST(p_partkey % 7 >= 5 AS BIGINT) AS missing FROM v_products"""),
+    "page_issues": sql(f"""SELECT "canonicalProductId", "issueCode", coalesce(i."detectedAt", {NOW}) AS "detectedAt" FROM found f LEFT JOIN issues i USING ("canonicalProductId", "issueCode") ORDER BY 3 DESC, 1, 2 LIMIT 20""", **FOUND_ISSUES),
+    "er_block_join": sql("SELECT block, count(*) AS pairs FROM pairs GROUP BY block", **pairs("CASE WHEN cat <> '' THEN cat END", 50)),
     "join_parent_category": sql('SELECT "sourceId", name, id, "parentId" FROM named', **T),
     "norm_woo_categories": sql('SELECT id, "sourceId", name, "parentId", CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS level FROM named', **T),
     "norm_shopify_categories": sql("""SELECT "sourceId", name, 0 AS level, CASE WHEN length("sourceId") = 2 THEN length(name) ELSE 0 END AS "productsCount" FROM tree""", **T),
@@ -353,6 +381,15 @@ SQL = {
     "extract_opengraph": sql("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN title END AS title, CASE WHEN page_id % 3 = 0 THEN price END AS price,
         CASE WHEN page_id % 3 = 0 THEN currency END AS currency, CASE WHEN page_id % 3 = 0 THEN nullif(brand, '') END AS brand FROM made""", **EXTRACT),
     "extract_cascade": sql("SELECT * FROM cascade", **EXTRACT),
+    "stream_delete": sql("""SELECT id, CASE WHEN p_partkey IN (SELECT user_id FROM v_webhooks WHERE topic = 'delete') THEN 'inactive' ELSE status END AS status FROM v_products"""),
+    "stream_inventory": sql("""SELECT o.id, o.sku, CASE WHEN e.u IS NULL THEN o."stockQty" ELSE e.q END AS "stockQty", CASE WHEN e.u IS NULL THEN o.availability WHEN e.q IS NULL THEN 'in_stock' WHEN e.q = 0 THEN 'out_of_stock'
+        WHEN e.q <= 10 THEN 'limited' ELSE 'in_stock' END AS availability, CASE WHEN e.u IS NULL THEN o."isInStock" ELSE e.q IS NULL OR e.q <> 0 END AS "isInStock" FROM v_offers o
+        LEFT JOIN (SELECT user_id AS u, CASE WHEN value < 100 THEN CAST(floor(value) AS BIGINT) END AS q FROM v_webhooks WHERE topic = 'inventory' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e
+        ON 'SKU-' || e.u = o.sku"""),
+    "stream_product_upsert": sql("""SELECT coalesce(e.k, p."sourceId") AS "sourceId", coalesce(e.value, p.price) AS price, e.ts AS "lastSyncedAt" FROM v_products p FULL JOIN
+        (SELECT CASE WHEN user_id < 50 THEN '' ELSE 'u' END || user_id AS k, value, ts FROM v_webhooks WHERE topic IN ('create', 'update') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e
+        ON e.k = p."sourceId" """),
+    "stream_incremental_sync": sql("""SELECT user_id, max(ts) AS since FROM v_webhooks WHERE user_id % 3 <> 0 OR topic <> 'delete' GROUP BY user_id HAVING count(*) FILTER (topic = 'delete') = 0"""),
     "stream_dedup": sql('SELECT DISTINCT "webhookId", topic FROM v_webhooks'),
     "stream_api_hourly": sql("SELECT * FROM hourly", hourly=HOURLY),
     "stream_latest_state": sql("SELECT user_id, \"webhookId\", topic, ts, event_id, value FROM v_webhooks QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.exprs import availability_threshold, literal_map
+from shelfmark.operators import survive, upsert
+from shelfmark.plans import views
 from shelfmark.plans.views import TOPICS
-from shelfmark.functions.exprs import literal_map
 from shelfmark.streaming import events as S
 
 
@@ -88,3 +90,77 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_api_hourly, stream_latest_state, stream_late_reject, stream_route)}
+
+
+def applied(stream: DataFrame, initial: DataFrame, apply) -> DataFrame:
+    """The table that ``apply(table, batch)`` makes of ``initial`` over all batches.
+
+    Batch n reads version n of the table in the shared folder and writes version n + 1, so a repeated batch gives the
+    same version again.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/applied-{uuid.uuid4().hex}"
+    initial.write.parquet(f"{base}/v0")
+    last = [0]
+
+    def each(batch: DataFrame, number: int) -> None:
+        table_now = spark.read.schema(initial.schema).parquet(f"{base}/v{number}")
+        apply(table_now, batch).select(initial.columns).write.mode("overwrite").parquet(f"{base}/v{number + 1}")
+        last[0] = number + 1
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(initial.schema).parquet(f"{base}/v{last[0]}")
+
+
+def _latest(batch: DataFrame, topics: list[str], **columns) -> DataFrame:
+    """The last event of each user among the topics, as columns."""
+    last = F.max_by(F.struct("value", "ts", "topic"), F.struct("ts", "event_id"))
+    found = batch.where(F.col("topic").isin(topics)).groupBy("user_id").agg(last.alias("e"))
+    return found.select(*[c.alias(n) for n, c in columns.items()])
+
+
+def stream_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of delete events become inactive."""
+    products = views.products(spark, sf_dir).select("id", "status")
+    gone = lambda batch: _latest(batch, ["delete"], id=F.concat(F.lit("prod_"), F.col("user_id").cast("string")))
+    return applied(webhook_stream(spark, sf_dir), products, lambda table_now, batch: survive.deactivate_products(table_now, gone(batch)))
+
+
+def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers take the quantity of the last inventory event of their SKU; no quantity means in stock."""
+    offers = views.offers(spark, sf_dir).select("id", "sku", "stockQty", "availability", "isInStock")
+    quantity = F.when(F.col("e.value") < 100, F.floor("e.value").cast("long"))
+
+    def patch(table_now: DataFrame, batch: DataFrame) -> DataFrame:
+        new = _latest(batch, ["inventory"], sku=F.concat(F.lit("SKU-"), F.col("user_id").cast("string")), q=quantity, hit=F.lit(True))
+        joined = table_now.join(new, "sku", "left")
+        hit = F.col("hit").isNotNull()
+        state = availability_threshold(F.col("q"))
+        return joined.select(
+            "id", "sku", F.when(hit, F.col("q")).otherwise(F.col("stockQty")).alias("stockQty"), F.when(hit, state).otherwise(F.col("availability")).alias("availability"),
+            F.when(hit, state != "out_of_stock").otherwise(F.col("isInStock")).alias("isInStock"),
+        )
+
+    return applied(webhook_stream(spark, sf_dir), offers, patch)
+
+
+def stream_product_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create and update events set a product's price; unknown products are added."""
+    products = views.products(spark, sf_dir).select(F.col("sourceId"), "price", F.lit(None).cast("timestamp").alias("lastSyncedAt"))
+    new = lambda batch: _latest(batch, ["create", "update"], sourceId=F.concat(F.lit("u"), F.col("user_id").cast("string")).substr(F.when(F.col("user_id") < 50, 2).otherwise(1), F.lit(20)), price=F.col("e.value"), lastSyncedAt=F.col("e.ts"))
+    return applied(webhook_stream(spark, sf_dir), products, lambda table_now, batch: upsert.upsert_replace(table_now, new(batch), ["sourceId"], "lastSyncedAt"))
+
+
+def stream_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor per user: the last time of a batch, which only batches without an error of that user advance."""
+    empty = spark.createDataFrame([], "user_id long, since timestamp")
+
+    def advance(table_now: DataFrame, batch: DataFrame) -> DataFrame:
+        seen = batch.groupBy("user_id").agg(F.max("ts").alias("since"), F.count_if(F.col("topic") == "delete").alias("failed"))
+        return upsert.upsert_patch(table_now, seen.where("failed = 0").select("user_id", "since"), ["user_id"])
+
+    return applied(webhook_stream(spark, sf_dir).where("user_id % 3 <> 0 or topic <> 'delete'"), empty, advance)
+
+
+QUERIES |= {f.__name__: f for f in (stream_delete, stream_inventory, stream_product_upsert, stream_incremental_sync)}
