@@ -183,6 +183,13 @@ CLEAN_HTML = r"""substr(regexp_replace(regexp_replace(regexp_replace(html, '(?s)
 FOUND_ISSUES = {**ISSUES, "cheap": 'SELECT * FROM canonical WHERE "priceMin" < 1200', "found": schema_issues("cheap")}
 
 SQL = {
+    "scan_shopify": sql("""SELECT 'gid://shopify/Product/' || p_partkey AS id, coalesce(brand, ' ') AS vendor, 2 AS n_variants FROM v_products"""),
+    "scan_magento": sql("SELECT p_partkey AS id, title AS name, floor(price) AS price FROM v_products"),
+    "scan_woocommerce": sql(f"SELECT p_partkey AS id, title AS name, CASE {STOCK} WHEN 0 THEN 'outofstock' WHEN 1 THEN 'onbackorder' ELSE 'instock' END AS stock_status FROM v_products"),
+    "scan_bigcommerce": sql("SELECT p_partkey AS id, title AS name, CASE p_partkey % 25 WHEN 1 THEN 'One' WHEN 2 THEN 'Two' END AS brand_name FROM v_products"),
+    "scan_unicommerce": sql(f"""SELECT 'SKU-' || p_partkey AS "itemTypeSKU", CASE WHEN p_partkey % 8 = 0 THEN 'none' ELSE CAST({STOCK} AS VARCHAR) END AS inventory FROM v_products"""),
+    "scan_sitemap": "SELECT DISTINCT url FROM pages",
+    "join_brand_lookup": sql("SELECT p_partkey AS id, CASE WHEN p_partkey % 25 < 20 THEN 'House ' || (p_partkey % 25) END AS brand_name FROM v_products"),
     "search_fulltext": f"SELECT doc_id AS id, round({weighted(HEAD, 10)} + {weighted('text', 1)}, 6) AS score FROM documents WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20",
     "html_clean": f"SELECT page_id, CAST(length({CLEAN_HTML}) AS INTEGER) AS n, md5({CLEAN_HTML}) AS digest FROM pages",
     "offers_bigcommerce": sql(f"""SELECT "sourceId", 's4' AS "storeId", floor(price) - CASE WHEN p_partkey % 4 = 0 THEN 100 ELSE 0 END AS price,

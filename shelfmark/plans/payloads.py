@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import normalize as N
 from shelfmark.plans import views
 from shelfmark.sources import platforms as P
+from shelfmark.sources.tables import table
 
 BASE_URL = "https://shop.example.com"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landed-")
+
+
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     """(platform, sourceId, payload): every product as a payload of each platform."""
     p = views.products(spark, sf).withColumn("k", F.col("sourceId").cast("long"))
@@ -75,6 +83,60 @@ def flat(products: DataFrame, *more: str) -> DataFrame:
     )
 
 
+#: How a platform wraps the payloads of a page: what stands before, between (as a format of each) and behind.
+PAGES = {
+    "shopify": ('{"data":{"products":{"edges":[', '{"node":%s}', "]}}}"),
+    "magento": ('{"products":{"items":[', "%s", "]}}"),
+    "woocommerce": ('{"products":[', "%s", "]}"),
+    "bigcommerce": ('{"brandsAPI":{"data":[{"id":1,"name":"One"},{"id":2,"name":"Two"}]},"productsAPI":{"data":[', "%s", "]}}"),
+    "unicommerce": ('{"inventoryAPI":{"inventorySnapshots":[', "%s", "]}}"),
+}
+
+
+def landed(spark: SparkSession, sf: str, platform: str, size: int = 50) -> str:
+    """A folder of landed pages of ``size`` payloads, a line each."""
+    before, each, behind = PAGES[platform]
+    rows = bronze(spark, sf).where(F.col("platform") == platform)
+    page = F.floor(F.col("sourceId").cast("long") / size).alias("page")
+    joined = F.array_join(F.collect_list(F.format_string(each, "payload")), ",")
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    rows.groupBy(page).agg(F.concat(F.lit(before), joined, F.lit(behind)).alias("value")).select("value").write.text(path)
+    return path
+
+
+def scan_shopify(spark, sf):
+    return P.scan_shopify(spark, landed(spark, sf, "shopify")).select("id", "vendor", F.size("variants.edges").alias("n_variants"))
+
+
+def scan_magento(spark, sf):
+    return P.scan_magento(spark, landed(spark, sf, "magento")).select("id", "name", "price")
+
+
+def scan_woocommerce(spark, sf):
+    return P.scan_woocommerce(spark, landed(spark, sf, "woocommerce")).select("id", "name", "stock_status")
+
+
+def scan_bigcommerce(spark, sf):
+    return P.scan_bigcommerce(spark, landed(spark, sf, "bigcommerce")).select("id", "name", "brand_name")
+
+
+def scan_unicommerce(spark, sf):
+    return P.scan_unicommerce(spark, landed(spark, sf, "unicommerce")).select("itemTypeSKU", "inventory")
+
+
+def join_brand_lookup(spark, sf):
+    return P.join_brand_lookup(raw(spark, sf, "bigcommerce"), brands(spark)).select("id", "brand_name")
+
+
+def scan_sitemap(spark, sf):
+    """The pages' URLs by way of sitemap files."""
+    urls = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 40).alias("file"), F.regexp_replace("url", "&", "&amp;").alias("url"))
+    maps = urls.groupBy("file").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.format_string("<url><loc>%s</loc></url>", "url")), ""), F.lit("</urlset>")).alias("value"))
+    path = f"{shared_folder(spark)}/sitemaps-{uuid.uuid4().hex}"
+    maps.select("value").write.text(path)
+    return P.scan_sitemap(spark, path).select(F.regexp_replace("url", "&amp;", "&").alias("url"))
+
+
 def brands(spark: SparkSession) -> DataFrame:
     """Names of the first twenty brand ids."""
     return spark.range(20).select(F.col("id").alias("brand_id"), F.concat(F.lit("House "), F.col("id").cast("string")).alias("brand_name"))
@@ -129,7 +191,7 @@ def anti_unmatched_inventory(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_raw_replay, scan_incremental, norm_shopify_products, norm_magento_products, norm_woo_products, norm_bigcommerce_products, norm_inventory,
+        scan_shopify, scan_magento, scan_woocommerce, scan_bigcommerce, scan_unicommerce, scan_sitemap, join_brand_lookup, scan_raw_replay, scan_incremental, norm_shopify_products, norm_magento_products, norm_woo_products, norm_bigcommerce_products, norm_inventory,
         offers_from_variants, offers_woo, join_inventory_sku, anti_unmatched_inventory,
     )
 }

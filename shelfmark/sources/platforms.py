@@ -32,29 +32,30 @@ BIGCOMMERCE_ITEM = (
 SNAPSHOT = "itemTypeSKU string, facilityCode string, inventory string, blockedInventory string"
 
 
-def _landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def _landed(spark: SparkSession, path: str, schema: str, one_per_file: bool) -> DataFrame:
+    """Landed pages, one a line, which large files can be split at, or one a file."""
+    return spark.read.schema(schema).option("multiLine", str(one_per_file).lower()).json(path)
 
 
-def scan_shopify(spark: SparkSession, path: str) -> DataFrame:
+def scan_shopify(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """One row per product node."""
-    pages = _landed(spark, path, f"data struct<products: struct<edges: array<struct<node: struct<{_nested(SHOPIFY_NODE)}>>>>>")
+    pages = _landed(spark, path, f"data struct<products: struct<edges: array<struct<node: struct<{_nested(SHOPIFY_NODE)}>>>>>", one_per_file)
     return pages.select(F.explode("data.products.edges").alias("e")).where("e.node is not null").select("e.node.*")
 
 
-def scan_magento(spark: SparkSession, path: str) -> DataFrame:
-    pages = _landed(spark, path, f"products struct<items: array<struct<{_nested(MAGENTO_ITEM)}>>>")
+def scan_magento(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    pages = _landed(spark, path, f"products struct<items: array<struct<{_nested(MAGENTO_ITEM)}>>>", one_per_file)
     return pages.select(F.explode("products.items").alias("i")).where("i is not null").select("i.*")
 
 
-def scan_woocommerce(spark: SparkSession, path: str) -> DataFrame:
-    pages = _landed(spark, path, f"products array<struct<{_nested(WOO_ITEM)}>>")
+def scan_woocommerce(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    pages = _landed(spark, path, f"products array<struct<{_nested(WOO_ITEM)}>>", one_per_file)
     return pages.select(F.explode("products").alias("i")).where("i is not null").select("i.*")
 
 
-def scan_bigcommerce(spark: SparkSession, path: str) -> DataFrame:
+def scan_bigcommerce(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Products with the names of their brands."""
-    pages = _landed(spark, path, f"productsAPI struct<data: array<struct<{_nested(BIGCOMMERCE_ITEM)}>>>, brandsAPI struct<data: array<struct<id: long, name: string>>>")
+    pages = _landed(spark, path, f"productsAPI struct<data: array<struct<{_nested(BIGCOMMERCE_ITEM)}>>>, brandsAPI struct<data: array<struct<id: long, name: string>>>", one_per_file)
     brands = pages.select(F.explode("brandsAPI.data").alias("b")).select(F.col("b.id").alias("brand_id"), F.col("b.name").alias("brand_name")).dropDuplicates(["brand_id"])
     items = pages.select(F.explode("productsAPI.data").alias("i")).where("i is not null").select("i.*")
     return join_brand_lookup(items, brands)
@@ -65,8 +66,8 @@ def join_brand_lookup(items: DataFrame, brands: DataFrame) -> DataFrame:
     return items.join(brands, "brand_id", "left")
 
 
-def scan_unicommerce(spark: SparkSession, path: str) -> DataFrame:
-    pages = _landed(spark, path, f"inventoryAPI struct<inventorySnapshots: array<struct<{_nested(SNAPSHOT)}>>>")
+def scan_unicommerce(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    pages = _landed(spark, path, f"inventoryAPI struct<inventorySnapshots: array<struct<{_nested(SNAPSHOT)}>>>", one_per_file)
     return pages.select(F.explode("inventoryAPI.inventorySnapshots").alias("i")).where("i is not null").select("i.*")
 
 
