@@ -89,10 +89,10 @@ def dead_letters(syncs: DataFrame) -> DataFrame:
 
 def health_rollup(failed: DataFrame, issues: DataFrame) -> DataFrame:
     """degraded from 5 waiting failures or 10 open critical issues on."""
-    waiting = failed.agg(F.count_if(F.col("state") == "pending_review").alias("pending"))
-    open_issues = issues.agg(F.count_if((F.col("severity") == "critical") & ~F.col("resolved")).alias("critical"))
-    status = F.when((F.col("pending") >= 5) | (F.col("critical") >= 10), "degraded").otherwise("healthy")
-    return waiting.join(F.broadcast(open_issues)).withColumn("status", status)  # one row each
+    waiting = failed.select((F.col("state") == "pending_review").alias("waits"), F.lit(False).alias("hurts"))
+    hurting = issues.select(F.lit(False).alias("waits"), ((F.col("severity") == "critical") & ~F.col("resolved")).alias("hurts"))
+    counted = waiting.unionByName(hurting).agg(F.count_if("waits").alias("pending"), F.count_if("hurts").alias("critical"))
+    return counted.withColumn("status", F.when((F.col("pending") >= 5) | (F.col("critical") >= 10), "degraded").otherwise("healthy"))
 
 
 def issue_summary(issues: DataFrame, k: int = 10) -> DataFrame:

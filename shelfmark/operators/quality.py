@@ -88,12 +88,13 @@ def dq_upsert(stored: DataFrame, detected: DataFrame, as_of) -> DataFrame:
 
 
 def dq_run_summary(canonical: DataFrame, issues: DataFrame) -> DataFrame:
-    checked = canonical.agg(F.count("*").alias("checked"))
-    counted = issues.agg(
-        F.count("*").alias("issues"), F.count_if(F.col("severity") == "critical").alias("critical"),
-        F.count_if(F.col("severity") == "warning").alias("warning"), F.count_distinct("canonicalProductId").alias("productsWithIssues"),
+    none = F.lit(None).cast("string")
+    products = canonical.select(F.lit(True).alias("product"), none.alias("severity"), none.alias("id"))
+    found = issues.select(F.lit(False).alias("product"), "severity", F.col("canonicalProductId").alias("id"))
+    return products.unionByName(found).agg(
+        F.count_if("product").alias("checked"), F.count_if(~F.col("product")).alias("issues"), F.count_if(F.col("severity") == "critical").alias("critical"),
+        F.count_if(F.col("severity") == "warning").alias("warning"), F.count_distinct("id").alias("productsWithIssues"),
     )
-    return checked.join(F.broadcast(counted))  # one row each
 
 
 def dq_incremental(canonical: DataFrame, touched: DataFrame) -> DataFrame:
