@@ -186,7 +186,7 @@ def _ask(texts: list[bytes], training: list[bool], n_groups: int) -> list[tuple]
             words.update(tokens(text))
     for text, learn in zip(texts, training):
         if not learn:
-            words.update(dict.fromkeys(set(tokens(text)) - words.keys(), 0))
+            words.update(dict.fromkeys([w for w in set(tokens(text)) if w not in words], 0))
     dealt: dict[int, list[bytes]] = {}
     for word in words:
         dealt.setdefault(zlib.crc32(word) % n_groups, []).append(word)
