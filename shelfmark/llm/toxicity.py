@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are predicted one after the other. Each classifier is a logistic regression over the distinct words of
-a document and the probabilities of the categories before it. While the chain is fitted, these probabilities are
+a document, the beginnings of its words, and the probabilities of the categories before it. While the chain is fitted, these probabilities are
 out-of-fold predictions, so a later classifier meets them as wrong as they will be on new documents.
 
 The chain is fitted on a bounded sample of labelled documents (``sample``, by hash of the id) and their ``words`` most
@@ -19,6 +19,7 @@ alike; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,20 +32,29 @@ from shelfmark.llm.batches import keep_rows, parts, small_batches
 from shelfmark.llm.sampling import labelled_sample
 
 #: Labelled documents and words that the chain is fitted on at most.
-SAMPLE, WORDS = 12_000, 2_000
+SAMPLE, WORDS = 8_000, 2_000
 FOLDS = 4
 THRESHOLD = 0.5
 #: A telling term: in at least so many toxic documents, and this share of its documents toxic.
 TERM_DOCS, TERM_SHARE = 3, 0.8
-#: Different terms that make abuse sustained.
-SUSTAINED = 3
+#: Different telling terms that make abuse sustained.
+SUSTAINED = 6
+#: Lengths of the beginnings of words that are features, too: inflected terms share one.
+HEADS = (5, 7)
 CATEGORIES = ("abusive", "sustained", "toxic")
 WORD = re.compile(r"[^\W_]+")
 LONGEST_WORD = 64
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def distinct_features(text: str | None) -> set[str]:
+    """The distinct words of a text, their beginnings, and beginnings that several of its words share."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    found = set(words)
+    for n in HEADS:
+        heads = Counter([w[:n] for w in words if len(w) > n])
+        found.update(["^" + h for h in heads])
+        found.update(["^^" + h for h, k in heads.items() if k > 1])
+    return found
 
 
 class Linear(NamedTuple):
@@ -61,7 +71,7 @@ class Chain(NamedTuple):
 
     def score(self, text: str | None) -> list[float]:
         """Probability of each category in order."""
-        index = [self.vocabulary[w] for w in sorted(distinct_words(text) & self.vocabulary.keys())]
+        index = [self.vocabulary[w] for w in sorted(distinct_features(text) & self.vocabulary.keys())]
         done: list[float] = []
         for model in self.models:
             z = model.bias + model.words[index].sum() + float(np.dot(model.earlier, done))
@@ -122,7 +132,7 @@ def _sample_words(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 200):
-            words = [sorted(w for w in distinct_words(t.as_py()) if len(w) <= LONGEST_WORD) for t in batch.column("text")]
+            words = [sorted(w for w in distinct_features(t.as_py()) if len(w) <= LONGEST_WORD) for t in batch.column("text")]
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "words"])
 
