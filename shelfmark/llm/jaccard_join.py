@@ -14,6 +14,11 @@ with all others; sets that link with it are one component and need no comparison
 distance to the pivot bounds the distance to any other set of the list (triangle inequality of the Jaccard distance),
 and only pairs of different components that no bound rules out are compared.
 
+That tells the components, not all links inside them. Where a component has frequent shingles and not every two of its
+sets are known to link, its sets are dealt into blocks of bounded size, by their length and hash, and all pairs of
+blocks whose lengths allow links are compared: so each pair is compared once, on the whole sets, and only counts per
+set leave the task. Sets that are no part of the same component can't link.
+
 Candidates are verified on the whole sets. Components are found by hooking every root to its smallest neighbour and
 shortening the paths, until no link joins two of them. Nothing of unbounded size is collected or broadcast.
 
@@ -45,6 +50,10 @@ FREQUENT_LIMIT, FREQUENT_FROM = 1_000_000, 16
 REMEMBERED = 200_000
 #: Sets taken together when lists or counts are dealt out.
 ROWS = 1000
+#: Sets and shingles of a block of a component, on average at most.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 200_000
+#: Shingles that are compared at once.
+BLOCK_COLUMNS = 4096
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -271,6 +280,82 @@ def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(named, "x", "left").withColumn("root", F.coalesce("r", "x")).drop("r")
 
 
+def linked_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of ``right`` each of ``left`` links with, and the reverse; without ``right``, of ``left`` itself."""
+    sides = [left] if right is None else [left, right]
+    sizes = [np.array([len(s) for s in side], np.int64) for side in sides]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    hashes = [np.concatenate(side) for side in sides]
+    shared = np.intersect1d(np.unique(hashes[0]), np.unique(hashes[1])) if right is not None else np.unique(hashes[0])
+    places = []
+    for h, own in zip(hashes, owner):
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        found = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        at, own = at[found], own[found]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], own[order]))
+    common = np.zeros((len(sizes[0]), len(sizes[-1])), np.float32)  # whole numbers below 2^24 are exact
+    for start in range(0, len(shared), BLOCK_COLUMNS):
+        width = min(BLOCK_COLUMNS, len(shared) - start)
+        held = []
+        for (at, own), n in zip(places, sizes):
+            a, b = np.searchsorted(at, [start, start + width])
+            m = np.zeros((len(n), width), np.float32)
+            m[own[a:b], at[a:b] - start] = 1
+            held.append(m)
+        common += held[0] @ held[-1].T
+    common = common.astype(np.int64)
+    links = 100 * common >= percent * (sizes[0][:, None] + sizes[-1][None, :] - common)
+    if right is None:
+        np.fill_diagonal(links, False)
+    return links.sum(axis=1), links.sum(axis=0)
+
+
+def count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, n_links of the sets of whole components: ``members`` has x, its root and its number of shingles n."""
+    # Sets that link are of the same class of length or of neighbouring ones.
+    length = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    members = members.withColumn("c", length.cast("long"))
+    needed = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    blocks = members.groupBy("root", "c").agg(needed.alias("k"))
+    by_root = blocks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))
+    placed = members.join(by_root, "root").withColumn("b", F.pmod(F.xxhash64("x"), F.element_at("ks", F.col("c"))).cast("int"))
+    to = lambda c: F.sequence(F.lit(0), F.element_at("ks", c) - 1)
+    c, b = F.col("c"), F.col("b")
+    own = F.transform(to(c), lambda o: F.struct(c.alias("c1"), F.least(b, o).alias("b1"), c.alias("c2"), F.greatest(b, o).alias("b2"), (b > o).alias("is_right")))
+    longer = F.transform(to(c + 1), lambda o: F.struct(c.alias("c1"), b.alias("b1"), (c + 1).alias("c2"), o.alias("b2"), F.lit(False).alias("is_right")))
+    shorter = F.transform(to(c - 1), lambda o: F.struct((c - 1).alias("c1"), o.alias("b1"), c.alias("c2"), b.alias("b2"), F.lit(True).alias("is_right")))
+    none = F.array().cast("array<struct<c1:bigint,b1:int,c2:bigint,b2:int,is_right:boolean>>")
+    met = F.concat(own, *(F.when(F.map_contains_key("ks", o), side).otherwise(none) for o, side in ((c + 1, longer), (c - 1, shorter))))
+    dealt = placed.select("root", "x", F.explode(met).alias("m")).select("root", "m.*", "x")
+    packed = dealt.join(sets.select(F.col("a").alias("x"), "packed"), "x")
+    key = ["root", "c1", "b1", "c2", "b2"]
+    sorted_ = packed.repartition(*key).sortWithinPartitions(*key).select(*key, "is_right", "x", "packed")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(meets: tuple, sides: tuple[dict, dict]) -> Iterator[pa.RecordBatch]:
+            left, right = ([np.frombuffer(p, "<u8") for p in side.values()] for side in sides)
+            same = meets[1:3] == meets[3:5]
+            if left and (same or right):
+                n, m = linked_counts(left, None if same else right, percent)
+                ids, counts = (list(sides[0]), n) if same else ([*sides[0], *sides[1]], np.concatenate([n, m]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["x", "n_links"])
+
+        meets, sides = None, ({}, {})
+        for batch in parts(batches, ROWS):
+            columns = [batch.column(name).to_pylist() for name in (*key, "is_right", "x", "packed")]
+            for *at, is_right, x, p in zip(*columns):
+                if meets != tuple(at):
+                    if meets is not None:
+                        yield from close(meets, sides)
+                    meets, sides = tuple(at), ({}, {})
+                sides[is_right][x] = p
+        if meets is not None:
+            yield from close(meets, sides)
+
+    return sorted_.mapInArrow(count, "x long, n_links long").groupBy("x").agg(F.sum("n_links").alias("n_links"))
+
+
 def near(percent: int, a: str, b: str):
     """The length and positional filter between two entries of a list."""
     left = F.least(F.col(f"n{a}") - F.col(f"i{a}"), F.col(f"n{b}") - F.col(f"i{b}"))
@@ -278,7 +363,7 @@ def near(percent: int, a: str, b: str):
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent_limit: int = FREQUENT_LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (links of the document's set with different ones that were verified)."""
+    """doc_id, n_shingles, component_id and n_links (how many different sets the document's set links with)."""
     spark = docs.sparkSession
     small_batches(spark)
     n_groups = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -370,7 +455,20 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, fr
 
     of_sets = rooted(owners.select(F.col("a").alias("x"), "doc_id"), roots)
     smallest = of_sets.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("x")).unionByName(links.select(F.col("y").alias("x"))).groupBy("x").agg(F.count("*").alias("n_links"))
+    links = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    ends = links.select("x").unionByName(links.select(F.col("y").alias("x")))
+    degree = ends.groupBy("x").agg(F.count("*").alias("n_links"))
+    if roots is not None:
+        # Only components with frequent shingles can have links that were not compared, and only if some pair is not known.
+        degree = stored(degree, "degree")
+        linked = rooted(degree, roots).join(base.groupBy(F.col("a").alias("x")).agg(F.first("n_shingles").alias("n")), "x")
+        frequent = rows.select("x").distinct().withColumn("is_frequent", F.lit(True))
+        linked = stored(linked.join(frequent, "x", "left"), "linked")
+        known = linked.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_links").alias("ends"), F.max("is_frequent").alias("is_frequent"))
+        open_roots = known.where(F.col("is_frequent") & (F.col("ends") < F.col("size") * (F.col("size") - 1))).select("root", F.lit(True).alias("open"))
+        linked = linked.join(open_roots, "root", "left")
+        counted_links = count_links(linked.where("open").select("x", "root", "n"), sets, percent)
+        degree = counted_links.unionByName(linked.where("open is null").select("x", "n_links"))
     by_set = of_sets.join(smallest, "root").join(degree, "x", "left").select(F.col("x").alias("a"), "component_id", "n_links")
     return base.join(by_set, "a", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
