@@ -1,7 +1,10 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a short license notice; both are sets of words. A block matches a template if
-it contains at least ``threshold`` of the template's words (containment |block and template| / |template|). The words
+A block is a line of a text, or as many words in a row as a template has, wherever lines end, so that wrapped notices
+are found; a template is a short license notice. All are sets of words. A block matches a template if it contains at
+least ``threshold`` of the template's words (containment |block and template| / |template|). Words in a row must hold
+the telling ones, too: those that the template has in common with its label (nc, sa, mit, a version), without which they
+may be the notice of another license. Lines need not, so a line of a near-equal license gives both labels. The words
 of the templates are ordered by their document frequency over the whole corpus, rarest first. Any matching block holds
 one of the first |T| - ceil(t |T|) + 1 words of a template (prefix filter), has at least ceil(t |T|) words (length
 filter), and, where its first hit is the i-th word of a template, can have no more than |T| - i of them (positional
@@ -73,6 +76,10 @@ class Template(NamedTuple):
     words: tuple[bytes, ...]
     #: Words that a block must share.
     need: int
+    #: Words that a block of words in a row must hold in any case.
+    telling: frozenset[bytes]
+    #: Words in a row, repeated ones included.
+    length: int
 
 
 def order_templates(templates, frequency: dict[bytes, int], threshold: float) -> list[Template]:
@@ -80,7 +87,9 @@ def order_templates(templates, frequency: dict[bytes, int], threshold: float) ->
     ordered = []
     for text, label in templates:
         words = sorted({w for w in words_of(text) if w}, key=lambda w: (frequency.get(w, 0), w))
-        ordered.append(Template(label, tuple(words), max(1, math.ceil(threshold * len(words) - 1e-9))))
+        need = max(1, math.ceil(threshold * len(words) - 1e-9))
+        length = len([w for w in words_of(text) if w])
+        ordered.append(Template(label, tuple(words), need, frozenset(words_of(label)) & set(words), length))
     return ordered
 
 
@@ -115,6 +124,25 @@ class TemplateJoin:
                     tried.add(template)
                     yield template.label, sum(w in block for w in template.words[i:]) / size
 
+    def window_matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Label and largest containment of each template in the windows of its length around its prefix words."""
+        done: dict[Template, int] = {}
+        for at, word in enumerate(words):
+            if word not in self.prefixes:
+                continue
+            for _, template in self.prefixes[word]:
+                length, own = template.length, set(template.words)
+                # Windows that hold this word and were not seen at an earlier one.
+                start, stop = max(0, at - length + 1, done.get(template, 0)), at + 1
+                done[template] = stop
+                around = own.intersection(words[start : at + length])
+                if len(around) < template.need or not template.telling <= around:
+                    continue
+                shared = [own.intersection(words[i : i + length]) for i in range(start, stop)]
+                best = max((len(s) for s in shared if template.telling <= s), default=0)
+                if best >= template.need:
+                    yield template.label, best / len(own)
+
 
 def document_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
     """Documents of the whole corpus that hold each word of the templates; at most one row per such word."""
@@ -156,7 +184,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
                         places.append(word)
                         base.add(label)
                         before, at = at, line.find(phrase, at + 1)
-                found = list(join.matches(data.translate(LINES)))
+                found = [*join.matches(data.translate(LINES)), *join.window_matches(words)]
                 labels = base | {label for label, score in found if score >= join.threshold}
                 score = max((score for _, score in found), default=0.0)
                 rows.append((

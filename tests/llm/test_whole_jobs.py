@@ -6,7 +6,7 @@ import random
 import pytest
 from test_brute_force import near_copies, shingles
 
-from shelfmark.llm import jaccard_join
+from shelfmark.llm import jaccard_join, license_scan
 
 
 def plain_links(texts):
@@ -37,3 +37,17 @@ def test_jaccard_counts_every_link(spark, monkeypatch, blocks):
     found = {r.doc_id: r.n_links for r in jaccard_join.similar_sets(rows).collect()}
     assert found == plain_links(own)
     assert max(found.values()) > 16
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("x y z\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", "mpl-2"),
+        ("one\nword\nReleased\nunder\nthe\nMIT\nLicense", "mit"),
+        ("This work is licensed under the GNU General\nPublic License, version 3.", "gpl-3"),
+    ],
+)
+def test_wrapped_license_notices(spark, text, labels):
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.scan_licenses(rows).first().labels == labels
