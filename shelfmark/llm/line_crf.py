@@ -4,8 +4,8 @@ Every line is good or bad. A line's features describe its words and characters a
 after it; two weights for the kinds of change between neighbouring lines complete the field. Forward-backward gives
 each line's probability of being good, and a document's quality is the mean of these, weighted by line length.
 
-The field is fitted on a bounded sample of labelled documents (``sample`` documents, the first ``sample_lines`` lines
-of each; both are parameters of the fit only). Lines carry the label of their document at first; then lines of bad
+The field is fitted on all lines of a bounded sample of labelled documents (``sample``, a parameter of the fit only),
+grouped by their number of lines, so that padding at most doubles them. Lines carry the label of their document at first; then lines of bad
 documents that look good are relabelled, the document's worst line excepted, and the field is fitted again. Every
 document is scored over all its lines in one pass without a shuffle.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.batches import keep_rows, parts, small_batches
 from shelfmark.llm.sampling import id_remainder, labelled_sample
 
-SAMPLE, SAMPLE_LINES = 4_000, 60
+SAMPLE = 4_000
 THRESHOLD = 0.7
 SYMBOLS, CAPITALS, DIGITS, ENDS = b"#*$%&|<>!~^_=+{}[]\\@", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", (b".", b"!", b"?", b'"', b":")
 OWN = 10
@@ -106,19 +106,34 @@ def marginals(field: Field, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     return p, both
 
 
-def fit_field(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 250) -> Field:
-    """Conditional maximum likelihood for line labels ``y``, by Adam steps on the exact gradient."""
-    n, length, k = x.shape
-    inside = (np.arange(length) < sizes[:, None]).astype(float)
-    y = y * inside
-    pairs = inside[:, 1:]
-    seen_words = np.einsum("nl,nlk->k", y, x)
-    seen_stay = np.array([(y[:, :-1] * y[:, 1:] * pairs).sum(), ((1 - y[:, :-1]) * (1 - y[:, 1:]) * pairs).sum()])
+class Group(NamedTuple):
+    """Padded documents of similar length: features, line counts, line labels."""
+
+    x: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+
+    @property
+    def inside(self) -> np.ndarray:
+        return np.arange(self.x.shape[1]) < self.sizes[:, None]
+
+
+def fit_field(groups: list[Group], l2: float = 1.0, steps: int = 250) -> Field:
+    """Conditional maximum likelihood for the line labels of all groups, by Adam steps on the exact gradient."""
+    k = groups[0].x.shape[2]
+    seen, n_lines = np.zeros(k + 2), max(1.0, float(sum(group.sizes.sum() for group in groups)))
+    for x, sizes, y in groups:
+        inside = (np.arange(x.shape[1]) < sizes[:, None]).astype(float)
+        y, pairs = y * inside, inside[:, 1:]
+        seen[:k] += np.einsum("nl,nlk->k", y, x)
+        seen[k:] += (y[:, :-1] * y[:, 1:] * pairs).sum(), ((1 - y[:, :-1]) * (1 - y[:, 1:]) * pairs).sum()
     theta, first, second = np.zeros(k + 2), np.zeros(k + 2), np.zeros(k + 2)
     for step in range(1, steps + 1):
-        p, both = marginals(Field(theta[:k], theta[k:]), x, sizes)
-        slope = np.concatenate([seen_words - np.einsum("nl,nlk->k", p, x), seen_stay - both.sum(axis=(0, 1))])
-        slope = (slope - l2 * theta) / max(1.0, inside.sum())
+        slope = seen - l2 * theta
+        for x, sizes, _ in groups:
+            p, both = marginals(Field(theta[:k], theta[k:]), x, sizes)
+            slope -= np.concatenate([np.einsum("nl,nlk->k", p, x), both.sum(axis=(0, 1))])
+        slope /= n_lines
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta = theta + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -129,19 +144,29 @@ def fit_documents(features: list[np.ndarray], labels: np.ndarray, rounds: int =
     """The field of labelled documents (1 good, 0 bad)."""
     if not features:
         return Field(np.zeros(N_FEATURES), np.zeros(2))
-    sizes = np.array([len(f) for f in features])
-    x = np.zeros((len(features), sizes.max(), N_FEATURES))
-    for row, f in zip(x, features):
-        row[: len(f)] = f
-    y = np.repeat(labels[:, None].astype(float), x.shape[1], axis=1)
-    field = fit_field(x, sizes, y)
+    by_length: dict[int, list[int]] = {}
+    for i, f in enumerate(features):
+        by_length.setdefault(max(3, (len(f) - 1).bit_length()), []).append(i)
+    groups, told = [], []
+    for _, members in sorted(by_length.items()):
+        sizes = np.array([len(features[i]) for i in members])
+        x = np.zeros((len(members), sizes.max(), N_FEATURES))
+        for row, i in zip(x, members):
+            row[: len(features[i])] = features[i]
+        told.append(labels[members])
+        groups.append(Group(x, sizes, np.repeat(told[-1][:, None].astype(float), x.shape[1], axis=1)))
+    field = fit_field(groups)
     for _ in range(rounds - 1):
-        p, _ = marginals(field, x, sizes)
-        p = np.where(np.arange(x.shape[1]) < sizes[:, None], p, 2.0)
-        worst = p.argmin(axis=1)
-        y = np.where(labels[:, None] == 1, 1.0, (p > 0.5).astype(float))
-        y[labels == 0, worst[labels == 0]] = 0.0
-        field = fit_field(x, sizes, y)
+        again = []
+        for group, own in zip(groups, told):
+            p, _ = marginals(field, group.x, group.sizes)
+            p = np.where(group.inside, p, 2.0)
+            worst = p.argmin(axis=1)
+            y = np.where(own[:, None] == 1, 1.0, (p > 0.5).astype(float))
+            y[own == 0, worst[own == 0]] = 0.0
+            again.append(group._replace(y=y))
+        groups = again
+        field = fit_field(groups)
     return field
 
 
@@ -154,13 +179,13 @@ def document_score(field: Field, text: str | None) -> float:
     return float(min(1.0, max(0.0, (p[0] * weight).sum() / weight.sum())))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field:
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """The field of the labelled sample; ``labels`` has doc_id and label (0 or 1)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 200):
-            found = [line_features(t.as_py())[0][:sample_lines].astype("<f8").tobytes() for t in batch.column("text")]
+            found = [line_features(t.as_py())[0].astype("<f8").tobytes() for t in batch.column("text")]
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "x"])
 

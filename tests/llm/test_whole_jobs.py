@@ -6,7 +6,7 @@ import random
 import pytest
 from test_brute_force import near_copies, shingles
 
-from shelfmark.llm import jaccard_join, license_scan
+from shelfmark.llm import jaccard_join, license_scan, line_crf
 
 
 def plain_links(texts):
@@ -51,3 +51,17 @@ def test_jaccard_counts_every_link(spark, monkeypatch, blocks):
 def test_wrapped_license_notices(spark, text, labels):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert license_scan.scan_licenses(rows).first().labels == labels
+
+
+def test_field_is_fitted_on_late_lines(spark):
+    clean = ["The river ran past the old mill.", "A letter came on Monday morning.", "They walked home together again."]
+    rows, labels = [], []
+    for i in range(40):
+        lines = [clean[(i + j) % 3] + f" {j}." for j in range(70)]
+        bad = i % 2
+        rows.append((i, "\n".join(lines + ["$$$ ### buy buy buy buy ###"] * 30 * bad)))
+        labels.append((i, 1 - bad))
+    field = line_crf.fit_on(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int"))
+    junk = line_crf.document_score(field, "$$$ ### buy buy buy buy ###\n" * 5)
+    assert junk < 0.3
+    assert line_crf.document_score(field, "\n".join(clean)) > junk + 0.2
