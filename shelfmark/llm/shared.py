@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; where it names none, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -23,3 +25,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def emptied(df: DataFrame) -> None:
+    """Overwrites what ``stored`` gave with nothing, once no later step needs it; unread rows are gone."""
+    folder = df.inputFiles()[:1]
+    if folder:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder[0].rpartition("/")[0])
