@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from test_brute_force import near_copies, shingles
 
-from shelfmark.llm import jaccard_join, license_scan, line_crf
+from shelfmark.llm import jaccard_join, license_scan, line_crf, top_k
 
 
 def plain_links(texts):
@@ -65,3 +66,67 @@ def test_field_is_fitted_on_late_lines(spark):
     junk = line_crf.document_score(field, "$$$ ### buy buy buy buy ###\n" * 5)
     assert junk < 0.3
     assert line_crf.document_score(field, "\n".join(clean)) > junk + 0.2
+
+
+def top(vectors, k=10):
+    whole = {i: [int(np.floor(1024 * c)) for c in v] for i, v in vectors.items()}
+    found = {}
+    for q in (i for i in whole if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        found |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(scored[:k])}
+    return found
+
+
+@pytest.mark.parametrize("size", [0.1, 2000.0, 1e6, 1e8])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(1)
+    vectors = {i: (rng.normal(size=8) * size).tolist() for i in range(300)} | {300: [0.0] * 8}
+    if size == 1e8:  # products of 2**73, of which the best stay within 64 bits
+        vectors = {i: [v[0], -v[0], *v[2:4], 0.0] for i, v in vectors.items()} | {i: [1.0, 0.5, 0.25, 3.0, v[4] / 1e8] for i, v in list(vectors.items())[::2]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k.exact_top_k(rows, rows.where("vec_id % 100 = 0"), block=64).collect()}
+    most = (1 << 63) - 1
+    expected = {key: (i, max(-most, min(most, s))) for key, (i, s) in top(vectors).items()}
+    if size < 1e8:
+        assert found == expected
+    else:
+        assert {key: s for key, (_, s) in found.items()} == {key: s for key, (_, s) in expected.items()}
+
+
+def test_top_k_counts_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0])] * 7 + [(2, [0.5])] * 9 + [(100, [1.0])] * 3, "vec_id long, embedding array<double>")
+    found = top_k.exact_top_k(rows, rows.where("vec_id % 100 = 0"), block=2).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(n + 1, 1 if n < 7 else 2) for n in range(10)]
+
+
+@pytest.mark.parametrize("bits", [4, 64])
+def test_jaccard_tells_sets_with_equal_hashes_apart(spark, bits):
+    own = {i: t for i, t in (near_copies() | drifting(20)).items() if i % 2 == 0}
+    rows = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    found = {r.doc_id: r.n_links for r in jaccard_join.similar_sets(rows, id_bits=bits).collect()}
+    assert found == plain_links(own)
+
+
+def test_jaccard_lists_of_any_number_of_sets():
+    rng = np.random.default_rng(3)
+    h, a = rng.integers(0, 6, 300), rng.integers(0, 60, 300)
+    n = 10 + a % 5
+    i = (h + a) % 4
+    x, y, long = jaccard_join.list_pairs(h, a, n, i, 80, 30)
+    size = {v: len(set(a[h == v])) for v in set(h)}
+    expected = set()
+    for v in size:
+        rows = {(a[r], n[r], i[r]) for r in range(300) if h[r] == v and size[v] <= 30}
+        for (a1, n1, i1), (a2, n2, i2) in itertools.combinations(sorted(rows), 2):
+            if 180 * min(n1 - i1, n2 - i2) >= 80 * (n1 + n2):
+                expected.add((a1, a2))
+    assert set(zip(x.tolist(), y.tolist())) == expected
+    assert sorted(set(zip(h[long].tolist(), a[long].tolist()))) == sorted({(int(v), int(w)) for v, w in zip(h, a) if size[v] > 30})
+
+
+def test_jaccard_packs_numbers():
+    rng = np.random.default_rng(4)
+    groups, numbers = rng.integers(0, 9, 500), rng.integers(0, 1 << jaccard_join.COUNTED_BITS, 500)
+    found, packed = jaccard_join.steps(groups, numbers)
+    for g, p in zip(found, packed):
+        assert jaccard_join.numbers_of(p).tolist() == sorted(numbers[groups == g].tolist())
