@@ -363,8 +363,9 @@ def sets_of(packed: list[bytes], words: int) -> list[np.ndarray]:
 
 def with_sets(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """``pairs`` (x, y) with their distance and whether they link, from the whole sets."""
-    of_x = join_one(pairs, texts.select(F.col("a").alias("x"), F.col("z").alias("zx")), "x")
-    both = of_x.join(texts.select(F.col("a").alias("y"), F.col("z").alias("zy")), "y")
+    # Merge joins at any size: what is small here is so only in small corpora.
+    of_x = join_one(pairs, texts.select(F.col("a").alias("x"), F.col("z").alias("zx")).hint("merge"), "x")
+    both = of_x.join(texts.select(F.col("a").alias("y"), F.col("z").alias("zy")).hint("merge"), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, ROWS):
@@ -467,7 +468,7 @@ def count_links(members: DataFrame, texts: DataFrame, percent: int, words: int)
     none = F.array().cast("array<struct<c1:bigint,b1:int,c2:bigint,b2:int,is_right:boolean>>")
     met = F.concat(own, *(F.when(F.map_contains_key("ks", o), side).otherwise(none) for o, side in ((c + 1, longer), (c - 1, shorter))))
     dealt = placed.select("root", "x", F.explode(met).alias("m")).select("root", "m.*", "x")
-    packed = dealt.join(texts.select(F.col("a").alias("x"), "z"), "x")
+    packed = dealt.join(texts.select(F.col("a").alias("x"), "z").hint("merge"), "x")
     key = ["root", "c1", "b1", "c2", "b2"]
     sorted_ = packed.repartition(*key).sortWithinPartitions(*key).select(*key, "is_right", "x", "z")
 
@@ -527,7 +528,7 @@ def texts_of(docs: DataFrame, chosen: DataFrame, hot: list[int], words: int, set
                     same.append(i)
             yield batch.select(["a", "z"]).take(pa.array(same, pa.int64()))
 
-    joined = join_one(compressed(docs).where("z is not null"), chosen, "doc_id", hot=hot)
+    joined = join_one(compressed(docs).where("z is not null"), chosen.hint("merge"), "doc_id", hot=hot)
     return stored(joined.select("a", "z").mapInArrow(run, "a long, z binary"), "texts")
 
 
