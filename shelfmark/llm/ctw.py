@@ -2,17 +2,19 @@
 
 A byte is eight binary decisions along the path of its bits. For each of the 255 places on such paths there is a
 context tree over the bytes before: its nodes hold how often a zero and a one followed that context in training, for
-contexts of 0 to DEPTH bytes. A node's weighted probability is half its Krichevsky-Trofimov estimate and half the
+contexts of 0 to ``depth`` bytes. A node's weighted probability is half its Krichevsky-Trofimov estimate and half the
 product of its children's; the share of the first half in the sum is the weight with which the node predicts by its
 own counts instead of by a longer context. The tree is built from all training documents and then frozen. A text's
 score is the log10 probability of its bytes and an end mark (byte 255, which no UTF-8 text holds), with zero bytes
 before its start.
 
-Documents are dealt into batches of about ``batch_bytes`` of text by a hash. A batch asks for what it needs: its
-distinct words and its distinct runs of DEPTH + 1 bytes, with their counts in training. Word counts are summed by a
-hash of the word, runs by a partial and a full sum; contexts are weighted in one group per last byte, which holds at
-most 2**24 runs. Every batch gets the answers to what it asked, and scores its documents with these. So no table of
-words or contexts is broadcast, and what a task holds is bounded by a batch.
+Documents are dealt into batches of about ``batch_bytes`` of text by a hash; of ids that hold a great share of the
+rows, equal rows are counted first. A batch asks for what it needs: its distinct words and its distinct runs of depth +
+1 bytes, with their counts in training. Word counts are summed by a hash of the word, runs by a partial and a full sum.
+Contexts of two bytes and more are weighted where all runs with the same last two context bytes are, some groups of
+these at a time; contexts of one byte and none, 256 * 255 + 255 nodes, are combined from these. Every batch gets the
+answers to what it asked, and scores its documents with these. So no table of words or contexts is broadcast, and what
+a task holds is bounded by a batch, or by the different runs with the same two bytes.
 
 Defined results: a null text is an empty one, whose only token is the end; without training documents every byte has
 probability 2**-8; words of any length count; repeated rows are scored each, and count in training each; an empty
@@ -32,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import small_batches
+from shelfmark.llm.hot import hot_keys
 from shelfmark.llm.sampling import id_remainder
 from shelfmark.llm.shared import stored
 
-DEPTH = 3
+DEPTH = 5
 START, END = b"\0" * DEPTH, b"\xff"
-BATCH_BYTES = 16 << 20
-#: Bytes whose runs are counted or looked up at a time.
-STEP_BYTES = 1 << 20
+BATCH_BYTES = 32 << 20
+#: Bytes whose runs are counted or looked up at a time, and runs that are weighted at a time.
+STEP_BYTES, STEP_RUNS = 1 << 20, 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token among words.
 END_TOKEN = b""
@@ -54,17 +57,17 @@ def tokens(data: bytes) -> list[bytes]:
     return [*data.split(), END_TOKEN]
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes ending at each byte or end mark of the texts, and where each text starts in them."""
-    data = np.frombuffer(b"".join([START + text + END for text in texts]), np.uint8).astype(np.uint32)
-    code = data[DEPTH:].copy()
-    for back in range(1, DEPTH + 1):
-        code |= data[DEPTH - back : -back] << np.uint32(8 * back)
+def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of depth + 1 bytes ending at each byte or end mark of the texts, and where each text starts in them."""
+    data = np.frombuffer(b"".join([b"\0" * depth + text + END for text in texts]), np.uint8).astype(np.int64)
+    code = data[depth:].copy()
+    for back in range(1, depth + 1):
+        code |= data[depth - back : -back] << np.int64(8 * back)
     sizes = np.array([len(text) + 1 for text in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     keep = np.ones(len(code), bool)
-    for k in range(DEPTH):  # the places of the next text's start bytes
-        keep[(starts[1:] + DEPTH * np.arange(len(texts) - 1)) + k] = False
+    for k in range(depth):  # the places of the next text's start bytes
+        keep[(starts[1:] + depth * np.arange(len(texts) - 1)) + k] = False
     return code[keep], starts
 
 
@@ -88,18 +91,36 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, np.add.reduceat(counts[order], starts) if len(found) else counts
 
 
-def count_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    codes, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for portion in portions(texts):
-        found, n = np.unique(runs([texts[i] for i in portion])[0], return_counts=True)
-        codes.append(found)
-        counts.append(n)
-        if len(codes) > 8:
-            merged = summed(np.concatenate(codes), np.concatenate(counts))
-            codes, counts = [merged[0]], [merged[1]]
+def count_runs(texts: list[bytes], copies: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of texts that stand for so many copies each, and their counts."""
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number in sorted(set(copies)):
+        alike = [text for text, n in zip(texts, copies) if n == number]
+        for portion in portions(alike):
+            found, n = np.unique(runs([alike[i] for i in portion], depth)[0], return_counts=True)
+            codes.append(found)
+            counts.append(n * number)
+            if len(codes) > 16:
+                merged = summed(np.concatenate(codes), np.concatenate(counts))
+                codes, counts = [merged[0]], [merged[1]]
     return summed(np.concatenate(codes), np.concatenate(counts))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers, best in order, as compressed bytes of their steps."""
+    import zstandard
+
+    step = np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(step.T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(rows.T).view("<i8").ravel())
+
+
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma for x > 0 (Stirling's series at x + 8)."""
     shift = np.zeros_like(x)
@@ -122,8 +143,8 @@ class Level:
     """The nodes of contexts of ``depth`` bytes (code of the context * 256 + place on the bits' path)."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
-        context = (codes.astype(np.int64) >> 8) & ((1 << 8 * depth) - 1)
-        x = codes.astype(np.int64) & 255
+        context = (codes >> 8) & ((1 << 8 * depth) - 1)
+        x = codes & 255
         keys, bits = [], []
         for j in range(8):
             keys.append(context * 256 + ((1 << j) | (x >> (8 - j))))
@@ -147,73 +168,100 @@ class Level:
         return np.exp(HALF + self.kt - self.weighted)
 
 
-def levels(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Levels of DEPTH down to 1 of runs that share their last context byte."""
-    found = [Level(codes, counts, depth) for depth in range(DEPTH, 0, -1)]
+def levels(codes: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
+    """Levels of ``depth`` down to 2 of all runs that share their last two context bytes."""
+    found = [Level(codes, counts, d) for d in range(depth, 1, -1)]
     for i, level in enumerate(found[1:]):
-        level.take(found[i], DEPTH - 1 - i)
+        level.take(found[i], depth - 1 - i)
     return found
 
 
-def log10_predictions(codes: np.ndarray, counts: np.ndarray, root_one: np.ndarray, root_share: np.ndarray) -> np.ndarray:
+class Top:
+    """Estimates and own shares of the nodes of one byte of context (a row each) and of none, by place."""
+
+    def __init__(self, last: np.ndarray, place: np.ndarray, weighted: np.ndarray, n0: np.ndarray, n1: np.ndarray):
+        sums = lambda at, values, shape: np.bincount(at, values, int(np.prod(shape))).reshape(shape)
+        counts = [sums(last * 256 + place, n, (256, 256)) for n in (n0, n1)]
+        kt = log_kt(*counts)
+        above = weigh(kt, sums(last * 256 + place, weighted, (256, 256)))
+        self.one, self.share = (counts[1] + 0.5) / (counts[0] + counts[1] + 1), np.exp(HALF + kt - above)
+        counts = [n.sum(axis=0) for n in counts]
+        kt = log_kt(*counts)
+        self.root_one = (counts[1] + 0.5) / (counts[0] + counts[1] + 1)
+        self.root_share = np.exp(HALF + kt - weigh(kt, above.sum(axis=0)))
+
+
+def log10_predictions(codes: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.ndarray:
     """log10 of the mixed probability of each run's last byte after the bytes before it."""
-    found = levels(codes, counts)
+    found = levels(codes, counts, depth)
     one = found[0].one[found[0].at]
     for level in found[1:]:
         share = level.own_share()[level.at]
         one = share * level.one[level.at] + (1 - share) * one
-    x = codes.astype(np.int64) & 255
+    x, last = codes & 255, codes >> 8 & 255
     place = np.stack([(1 << j) | (x >> (8 - j)) for j in range(8)])
-    one = root_share[place] * root_one[place] + (1 - root_share[place]) * one
+    share = top.share[last, place]
+    one = share * top.one[last, place] + (1 - share) * one
+    share = top.root_share[place]
+    one = share * top.root_one[place] + (1 - share) * one
     return np.log10(np.where(found[0].bits == 1, one, 1 - one)).sum(axis=0)
 
 
-def root(nodes: np.ndarray, weighted: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates and own shares at the 255 places without context."""
-    kt, below = np.zeros(256), np.zeros(256)
-    kt[nodes] = log_kt(n0, n1)
-    below[nodes] = weighted
-    one = np.full(256, 0.5)
-    one[nodes] = (n1 + 0.5) / (n0 + n1 + 1)
-    return one, np.exp(HALF + kt - weigh(kt, below))
+class Batch:
+    """The documents of a batch."""
+
+    def __init__(self, table: pa.Table):
+        self.texts = [lowered(t.as_py()) for t in table.column("text")]
+        self.learn, self.copies = table.column("learn").to_pylist(), table.column("copies").to_pylist()
 
 
-def _ask(texts: list[bytes], training: list[bool], n_groups: int) -> list[tuple]:
+def _ask(batch: Batch, n_groups: int, depth: int) -> list[tuple]:
     """What a batch needs: per group of words, the words and their training counts; runs and theirs."""
     words: Counter[bytes] = Counter()
-    for text, learn in zip(texts, training):
+    for text, learn, n in zip(batch.texts, batch.learn, batch.copies):
         if learn:
-            words.update(tokens(text))
-    for text, learn in zip(texts, training):
+            words.update(tokens(text) if n == 1 else {w: n * k for w, k in Counter(tokens(text)).items()})
+    for text, learn in zip(batch.texts, batch.learn):
         if not learn:
             words.update(dict.fromkeys([w for w in set(tokens(text)) if w not in words], 0))
     dealt: dict[int, list[bytes]] = {}
     for word in words:
         dealt.setdefault(zlib.crc32(word) % n_groups, []).append(word)
     rows = [(p, b"\n".join(own), np.array([words[w] for w in own], "<i8").tobytes()) for p, own in dealt.items()]
-    learned = count_runs([t for t, learn in zip(texts, training) if learn])
-    others = count_runs([t for t, learn in zip(texts, training) if not learn])[0]
+    told = list(zip(batch.texts, batch.copies, batch.learn))
+    learned = count_runs([t for t, _, learn in told if learn], [n for _, n, learn in told if learn], depth)
+    others = [t for t, _, learn in told if not learn]
+    others = count_runs(others, [1] * len(others), depth)[0]
     codes, counts = summed(np.concatenate([learned[0], others]), np.concatenate([learned[1], np.zeros(len(others), np.int64)]))
-    return [*rows, (None, codes.astype("<u4").tobytes(), counts.astype("<i8").tobytes())]
+    return [*rows, (None, packed(codes), packed(counts))]
 
 
-def _batch(table: pa.Table) -> tuple[list[bytes], list[bool]]:
-    return [lowered(t.as_py()) for t in table.column("text")], table.column("learn").to_pylist()
+def counted_once(docs: DataFrame) -> DataFrame:
+    """``docs`` with copies, their number; equal rows of ids with a great share of the rows are one row."""
+    keyed = docs.withColumn("key", F.xxhash64("doc_id"))
+    hot = hot_keys(keyed, "key")
+    if not hot:
+        return docs.withColumn("copies", F.lit(1).cast("long"))
+    is_hot = F.col("key").isin(hot)
+    equal = keyed.where(is_hot).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return keyed.where(~is_hot).select("doc_id", "text", F.lit(1).cast("long").alias("copies")).unionByName(equal)
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """One row per document with both scores; ids with crc32 remainder ``held`` are not learned from."""
+def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_bytes: int = BATCH_BYTES, depth: int = DEPTH) -> DataFrame:
+    """One row per document with both scores; ids with crc32 remainder ``held`` are not learned from.
+
+    ``depth`` is the longest context in bytes, 2 to 6.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    marked = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", (id_remainder(F.col("doc_id"), modulus) != held).alias("learn")
-    )
+    own = counted_once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    marked = own.withColumn("learn", id_remainder(F.col("doc_id"), modulus) != held)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = int(size // batch_bytes) + 1
     dealt = marked.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches))).repartition(n_batches, "b")
 
     def ask(key, table):
-        rows = _ask(*_batch(table), n_batches)
+        rows = _ask(Batch(table), n_batches, depth)
         kinds = {"p": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
         columns = {name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), zip(*rows))}
         return pa.table({"b": pa.array([key[0].as_py()] * len(rows), pa.int64()), **columns})
@@ -239,42 +287,59 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_byte
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, keys, counts in zip(batch.column("b"), batch.column("keys"), batch.column("counts")):
-                codes = np.frombuffer(keys.as_py(), "<u4").astype(np.int64)
-                own = np.full(len(codes), b.as_py())
-                n = np.frombuffer(counts.as_py(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(codes), pa.array(n)], names=["b", "code", "n"])
+                codes, n = unpacked(keys.as_py()), unpacked(counts.as_py())
+                for start in range(0, len(codes), STEP_RUNS):
+                    part = slice(start, start + STEP_RUNS)
+                    own = np.full(len(codes[part]), b.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(codes[part]), pa.array(n[part])], names=["b", "code", "n"])
 
     wanted = asked.where("p is null").mapInArrow(spread, "b long, code long, n long")
-    sums = stored(wanted.groupBy("code").agg(F.sum("n").alias("n")).withColumn("last", F.expr("code >> 8 & 255")), "runs")
+    sums = stored(wanted.groupBy("code").agg(F.sum("n").alias("n")), "runs")
+    together = sums.withColumn("two", F.expr("code >> 8 & 65535")).repartition("two").sortWithinPartitions("two")
 
-    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = table.column("code").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(codes)
-        return codes[order], counts[order].astype(float)
-
-    def top(table):
-        last = levels(*columns(table))[-1]
-        return pa.table({"node": last.keys & 255, "w": last.weighted, "n0": last.n0, "n1": last.n1})
-
-    at_root = sums.groupBy("last").applyInArrow(top, "node long, w double, n0 double, n1 double")
-    rows = sorted(at_root.collect())  # 255 places for each of 256 bytes at most
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes and counts of some groups at a time, no group cut."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column("code").to_numpy(), batch.column("n").to_numpy()]))
+            if sum(part.shape[1] for part in held) >= STEP_RUNS:
+                rows = np.concatenate(held, axis=1)
+                two = rows[0] >> 8 & 65535
+                end = int(np.flatnonzero(two != two[-1])[-1]) + 1 if (two != two[-1]).any() else 0
+                if end:
+                    yield rows[0, :end], rows[1, :end].astype(float)
+                held = [rows[:, end:]]
+        if held and held[0].size + sum(part.size for part in held[1:]):
+            rows = np.concatenate(held, axis=1)
+            yield rows[0], rows[1].astype(float)
+
+    def weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, counts in whole_groups(batches):
+            level = levels(codes, counts, depth)[-1]
+            node, at = np.unique((level.keys >> 8 & 255) * 256 + (level.keys & 255), return_inverse=True)
+            columns = [node, *(np.bincount(at, v, len(node)) for v in (level.weighted, level.n0, level.n1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "w", "n0", "n1"])
+
+    at_last = together.mapInArrow(weigh_all, "node long, w double, n0 double, n1 double").groupBy("node")
+    rows = sorted(at_last.agg(F.sum("w"), F.sum("n0"), F.sum("n1")).collect())  # 255 places for each of 256 bytes at most
     by_node = np.array(rows, float).reshape(-1, 4)
-    nodes = np.unique(by_node[:, 0]).astype(int)
-    at = np.searchsorted(nodes, by_node[:, 0])
-    root_one, root_share = root(nodes, *(np.bincount(at, by_node[:, i], len(nodes)) for i in (1, 2, 3)))
+    node = by_node[:, 0].astype(np.int64)
+    top = Top(node >> 8, node & 255, *by_node.T[1:])
 
-    def predict(table):
-        codes, counts = columns(table)
-        return pa.table({"code": codes, "log10p": log10_predictions(codes, counts, root_one, root_share)})
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, counts in whole_groups(batches):
+            logs = log10_predictions(codes, counts, depth, top).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(logs)], names=["code", "log10p"])
 
-    predicted = sums.groupBy("last").applyInArrow(predict, "code long, log10p double")
+    predicted = together.mapInArrow(predict, "code long, log10p float")
     run_answers = wanted.select("b", "code").join(predicted, "code")
-    answers = words.select("b", "keys", "counts", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("log10p")).unionByName(
+    answers = words.select("b", "keys", "counts", F.lit(None).cast("long").alias("code"), F.lit(None).cast("float").alias("log10p")).unionByName(
         run_answers.select("b", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "code", "log10p")
     )
 
     def score(docs_table, answer):
-        texts, learn = _batch(docs_table)
+        batch = Batch(docs_table)
+        texts = batch.texts
         count: dict[bytes, int] = {}
         is_word = pc.is_null(answer.column("code"))
         of_words = answer.filter(is_word)
@@ -283,7 +348,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_byte
         own = answer.filter(pc.invert(is_word))
         codes, logs = own.column("code").to_numpy(), own.column("log10p").to_numpy()
         order = np.argsort(codes)
-        codes, logs = codes[order].astype(np.uint32), logs[order]
+        codes, logs = codes[order], logs[order].astype(np.float64)
         n_tokens, n_known, known_log = [], [], []
         for text in texts:
             c = np.array(list(map(count.__getitem__, tokens(text))), np.float64)
@@ -292,19 +357,21 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_byte
             known_log.append(float(np.log10(c + 1).sum()))
         scores = np.zeros(len(texts))
         for portion in portions(texts):
-            found, starts = runs([texts[i] for i in portion])
-            scores[portion] = np.add.reduceat(logs[np.searchsorted(codes, found)], starts)
+            every, starts = runs([texts[i] for i in portion], depth)
+            found, at = np.unique(every, return_inverse=True)
+            scores[portion] = np.add.reduceat(logs[np.searchsorted(codes, found)][at], starts)
         return pa.table({
-            "doc_id": docs_table.column("doc_id"), "held_out": pa.array([not x for x in learn]),
+            "doc_id": docs_table.column("doc_id"), "copies": docs_table.column("copies"), "held_out": pa.array([not x for x in batch.learn]),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "known_log": pa.array(known_log, pa.float64()), "score": pa.array(scores),
         })
 
-    result_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double"
+    result_schema = "doc_id long, copies long, held_out boolean, n_tokens long, n_known long, known_log double, score double"
     scored = dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, result_schema)
     told = words.agg(F.sum("n_new"), F.sum("n_train")).first()
     v, n = told[0] or 0, told[1] or 0
     base = F.col("known_log") - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return scored.select(
+    each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )

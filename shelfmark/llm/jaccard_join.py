@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import parts, small_batches
+from shelfmark.llm.hot import hot_keys, join_one
 from shelfmark.llm.shared import emptied, stored
 from shelfmark.llm.shingles import WORDS, mix, shingle_sets
 
@@ -61,8 +62,6 @@ COUNTED_BITS, LONG_STEP = 26, 0xFFFF
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_ENTRIES = 1000, 200_000, 2000
 #: Shingles that are compared at once.
 BLOCK_COLUMNS = 4096
-#: A key with more than this share of the rows (and more than so many) is split into SPLIT parts.
-HOT_SHARE, HOT_ROWS, SPLIT = 1000, 1000, 64
 #: Start value of a set's second hash (any would do).
 SECOND = 0x5851F42D4C957F2D
 #: Shingles that are dealt out together while they are counted.
@@ -317,28 +316,6 @@ def index_lists(docs: DataFrame, order: Order, words: int, percent: int, set_ids
     return dealt.mapInArrow(read, "h long, x long, y long, n long, i long")
 
 
-def hot_keys(rows: DataFrame, key: str) -> list[int]:
-    """The values of ``key`` with more than a thousandth of all rows; a thousand at most."""
-    most = max(HOT_ROWS, (n := rows.count()) // HOT_SHARE)
-    if n <= most:
-        return []
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    return [row[0] for row in counts.where(F.col("count") > most).select(key).collect()]
-
-
-def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: list[int] | None = None) -> DataFrame:
-    """``rows`` joined with ``one``, which has a row for each key at most; the rows of hot keys are split."""
-    hot = hot_keys(rows, key) if hot is None else hot
-    if not hot:
-        return rows.join(one, key, how)
-    is_hot = F.col(key).isin(hot)
-    spread = F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.lit(SPLIT))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))
-    left = rows.withColumn("salt", F.when(is_hot, spread).otherwise(F.lit(0).cast("long")))
-    right = one.withColumn("salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("long")))))
-    return left.join(right, [key, "salt"], how).drop("salt")
-
-
 def compressed(docs: DataFrame) -> DataFrame:
     """``docs`` with their text as zstd bytes z, for the way through a shuffle."""
 
