@@ -26,6 +26,19 @@ UNKNOWN_PRIORITY = 99
 SUMMARY_IN_STOCK = ["in_stock", "limited", "limited_stock"]
 PRODUCT_IN_STOCK = ["in_stock", "limited"]
 QUALITY_IN_STOCK = ["inStock", "in_stock"]
+#: Phrases of availability texts, in the order in which they count.
+IN_STOCK_PHRASES = ["in stock", "instock", "in-stock", "available", "ships immediately", "add to cart"]
+OUT_OF_STOCK_PHRASES = ["out of stock", "outofstock", "sold out", "unavailable", "not available"]
+LIMITED_PHRASES = ["only", "limited stock", "few left", "hurry", "low stock"]
+#: Titles and descriptions with these are no product's.
+GENERIC_PHRASES = ["official website", "home page", "visit now", "home", "homepage", "welcome", "all rights reserved"]
+#: URLs of product pages, and parts that no such URL has.
+PRODUCT_URL = "/(product|products|p|item|dp)/"
+NO_PRODUCT_MARKS = ["/reviews", "/blog", "/blogs", "/collection", "/collections", "/search", "/cart", "/account", "?id="]
+#: Texts of links to a next page.
+NEXT_TEXT = "next|\u2192|\u00bb|>"
+#: Character entities; the ampersand is the last to be replaced.
+ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
 def literal_map(values: dict) -> Column:
@@ -159,15 +172,39 @@ def parse_float(text: Column) -> Column:
 
 
 def price_normalize(text: Column) -> Column:
-    """Amount and ISO currency of a price text."""
+    """Amount and ISO currency of a price text; the amount is null without a number, the currency USD without a mark."""
     currency = (
-        F.when(text.rlike(r"(?i)₹|\binr\b|\brs\b|rs\."), "INR").when(text.rlike(r"(?i)\$|\busd\b"), "USD")
-        .when(text.rlike(r"(?i)€|\beur\b"), "EUR").when(text.rlike(r"(?i)£|\bgbp\b"), "GBP").otherwise("USD")
+        F.when(text.rlike(r"(?i)INR|RS|RUPEE|₹"), "INR").when(text.rlike(r"(?i)USD|\$"), "USD")
+        .when(text.rlike(r"(?i)EUR|€"), "EUR").when(text.rlike(r"(?i)GBP|£"), "GBP").otherwise("USD")
     )
-    amount = F.nullif(F.regexp_extract(F.regexp_replace(text, ",", ""), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+    amount = F.nullif(F.regexp_extract(F.regexp_replace(text, ",", ""), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
     return F.struct(amount.alias("amount"), currency.alias("currency"))
 
 
+def availability_normalize(text: Column) -> Column:
+    """in_stock, out_of_stock, limited_stock or unknown, by the first kind of phrase that a text holds."""
+    said = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    holds = lambda phrases: said.rlike("|".join(phrases))
+    state = F.when(holds(IN_STOCK_PHRASES), "in_stock").when(holds(OUT_OF_STOCK_PHRASES), "out_of_stock").when(holds(LIMITED_PHRASES), "limited_stock")
+    return state.otherwise("unknown")
+
+
+def is_product_url(url: Column) -> Column:
+    """Whether a URL looks like a product page."""
+    lower = F.lower(F.coalesce(url, F.lit("")))
+    excluded = F.lit(False)
+    for mark in NO_PRODUCT_MARKS:
+        excluded = excluded | F.contains(lower, F.lit(mark))
+    return lower.rlike(PRODUCT_URL) & ~excluded
+
+
+def unescape(text: Column) -> Column:
+    """``text`` with the common character entities as characters."""
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))
 

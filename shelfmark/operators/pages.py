@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import exprs as X
+
 #: Hosts below which every shop has its own name (fixed values).
 PLATFORM_HOSTS = ["myshopify.com", "mybigcommerce.com"]
 
@@ -39,20 +41,48 @@ def platform_detect(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", platform.alias("platform"))
 
 
-def html_clean(pages: DataFrame, keep: int = 15_000) -> DataFrame:
-    """Pages without comments, scripts, styles, navigation and event attributes, cut to ``keep`` characters."""
+def html_clean(pages: DataFrame, keep: int | None = 15_000) -> DataFrame:
+    """Pages without comments, scripts, styles, navigation and event attributes, cut to ``keep`` characters (None: whole)."""
     html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
     html = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|iframe|noscript)\b[^>]*>.*?</(?:script|style|nav|footer|header|iframe|noscript)>", "")
     html = F.regexp_replace(html, r"""(?i)\s(?:on[a-z]+|style)=(?:"[^"]*"|'[^']*')""", "")
-    return pages.select("page_id", F.substring(html, 1, keep).alias("html"))
+    return pages.select("page_id", (html if keep is None else F.substring(html, 1, keep)).alias("html"))
+
+
+def absolute(href: Column, url: Column) -> Column:
+    """A link as seen from the page at ``url``; null for other schemes than http and for marks within the page."""
+    href = F.regexp_replace(F.trim(href), "#.*$", "")
+    scheme, root = F.regexp_extract(url, r"^([a-zA-Z]+:)//", 1), F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    return (
+        F.when(href.rlike("^(?i)https?://"), href).when((href == "") | href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, F.when(path == "", "/").otherwise(path), href)).otherwise(F.concat(root, folder, href))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, in double, single or no quotes; null if it is missing or empty."""
+    groups = [F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i) for i in (1, 2, 3)]
+    return X.unescape(F.nullif(F.trim(F.concat(*groups)), F.lit("")))
+
+
+def tags(html: Column, name: str) -> Column:
+    """The opening tags of a kind, in order."""
+    return F.regexp_extract_all(html, F.lit(rf"""(?is)(<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), 1)
 
 
 def link_extract(pages: DataFrame) -> DataFrame:
     """Distinct links of each page to its own host, made absolute."""
-    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"""href="([^"#]+)"""), 1)).alias("href"))
-    root = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1)
-    absolute = F.when(F.col("href").startswith("/"), F.concat(root, "href")).when(F.col("href").rlike("^[a-zA-Z]+://"), F.col("href"))
-    return links.select("page_id", "url", absolute.alias("link")).where("link is not null").where(host_of(F.col("link")) == host_of(F.col("url"))).select("page_id", "link").distinct()
+    links = pages.select("page_id", "url", F.explode(F.transform(tags(F.col("html"), "a"), lambda tag: attribute(tag, "href"))).alias("href"))
+    linked = links.select("page_id", "url", absolute(F.col("href"), F.col("url")).alias("link")).where("link is not null")
+    return linked.where(host_of(F.col("link")) == host_of(F.col("url"))).select("page_id", "link").distinct()
+
+
+def product_links(pages: DataFrame) -> DataFrame:
+    """Those links of each page that look like product pages."""
+    return link_extract(pages).where(X.is_product_url(F.col("link")))
 
 
 def store_discover(pages: DataFrame, stores: DataFrame) -> DataFrame:
@@ -61,52 +91,159 @@ def store_discover(pages: DataFrame, stores: DataFrame) -> DataFrame:
     return found.join(stores.select("domain"), "domain", "left_anti").withColumn("id", F.concat(F.lit("store_"), F.substring(F.sha2("domain", 256), 1, 16)))
 
 
-def meta_tag(html: Column, prop: str) -> Column:
-    return F.nullif(F.regexp_extract(html, rf"""<meta property="{prop}" content="([^"]*)""", 1), F.lit(""))
+FIELDS = ("title", "price", "currency", "brand", "description", "category", "sku", "availability", "images")
+
+
+def meta_tag(metas: Column, *names: str) -> Column:
+    """The content of the first of these meta tags that has one, by property or else by name."""
+    first = lambda name, key: F.get(F.filter(metas, lambda m: m[key] == name), 0)["content"]
+    return F.coalesce(*[first(name, key) for name in names for key in ("property", "name")])
+
+
+def priced(row: DataFrame) -> DataFrame:
+    """``row`` with its price text as an amount, and the currency that is named, else that of the text."""
+    said = X.price_normalize(F.col("price"))
+    return (
+        row.withColumn("currency", F.when(said["amount"].isNotNull(), F.coalesce("currency", said["currency"])))
+        .withColumn("price", said["amount"]).withColumn("availability", X.availability_normalize(F.col("availability")))
+        .select("page_id", *FIELDS)
+    )
+
+
+def opengraph_fields(pages: DataFrame) -> DataFrame:
+    described = lambda tag: F.struct(*[attribute(tag, a).alias(a) for a in ("property", "name", "content")])
+    row = pages.select("page_id", F.transform(tags(F.col("html"), "meta"), described).alias("m"))
+    m, none = F.col("m"), F.lit(None).cast("string")
+    image = meta_tag(m, "og:image")
+    return priced(row.select(
+        "page_id", meta_tag(m, "og:title").alias("title"), meta_tag(m, "product:price:amount", "og:price:amount").alias("price"),
+        meta_tag(m, "product:price:currency", "og:price:currency").alias("currency"), meta_tag(m, "product:brand").alias("brand"),
+        meta_tag(m, "og:description").alias("description"), none.alias("category"), none.alias("sku"),
+        meta_tag(m, "product:availability", "og:availability").alias("availability"), F.when(image.isNotNull(), F.array(image)).alias("images"),
+    ))
 
 
 def extract_opengraph(pages: DataFrame) -> DataFrame:
     """Title, price, currency and brand of a page's OpenGraph tags."""
-    h = F.col("html")
-    return pages.select(
-        "page_id", meta_tag(h, "og:title").alias("title"), meta_tag(h, "product:price:amount").cast("double").alias("price"),
-        meta_tag(h, "product:price:currency").alias("currency"), meta_tag(h, "product:brand").alias("brand"),
-    )
+    return opengraph_fields(pages).select("page_id", "title", "price", "currency", "brand")
+
+
+def json_entries(text: Column) -> Column:
+    """A JSON text as an array of texts: a list's entries, else itself."""
+    return F.when(F.ltrim(text).startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(text))
+
+
+def json_text(body: Column, *paths: str) -> Column:
+    """The first of the paths that holds a value; null for a blank one."""
+    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(body, path)), F.lit("")) for path in paths])
+
+
+def jsonld_product(html: Column) -> Column:
+    """The first product, as JSON text, of a page's JSON-LD scripts: an object, a list's entry or one of a graph."""
+    bodies = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), 1)
+    bodies = F.filter(F.transform(bodies, lambda b: F.trim(b)), lambda b: F.try_parse_json(b).isNotNull())
+    entries = F.flatten(F.transform(bodies, json_entries))
+    for _ in range(2):  # a graph's entries may be lists or graphs themselves
+        inner = lambda e: F.coalesce(json_entries(F.get_json_object(e, "$['@graph']")), F.array().cast("array<string>"))
+        entries = F.flatten(F.transform(entries, lambda e: F.concat(F.array(e), F.filter(inner(e), lambda x: x.isNotNull()))))
+    kinds = lambda e: F.transform(json_entries(json_text(e, "$['@type']", "$.type")), lambda k: F.lower(k))
+    return F.get(F.filter(entries, lambda e: F.coalesce(F.array_contains(kinds(e), "product"), F.lit(False))), 0)
+
+
+def jsonld_fields(pages: DataFrame) -> DataFrame:
+    row = pages.select("page_id", jsonld_product(F.col("html")).alias("p"))
+    p = F.col("p")
+    offer = F.get(json_entries(F.get_json_object(p, "$.offers")), 0)
+    brand = F.get_json_object(p, "$.brand")
+    images = json_entries(json_text(p, "$.image", "$.images"))
+    located = F.transform(images, lambda i: F.trim(F.when(F.ltrim(i).startswith("{"), F.get_json_object(i, "$.url")).otherwise(i)))
+    return priced(row.select("page_id", "p", offer.alias("o"), brand.alias("b"), located.alias("i")).select(
+        "page_id", F.get_json_object(p, "$.name").alias("title"), json_text(F.col("o"), "$.price", "$.priceSpecification.price").alias("price"),
+        json_text(F.col("o"), "$.priceCurrency", "$.priceSpecification.priceCurrency").alias("currency"),
+        F.when(F.col("b").startswith("{"), F.get_json_object(p, "$.brand.name")).when(~F.col("b").startswith("["), F.col("b")).alias("brand"),
+        json_text(p, "$.description").alias("description"), json_text(p, "$.category").alias("category"),
+        F.coalesce(json_text(p, "$.sku"), json_text(F.col("o"), "$.sku"), json_text(p, "$.productID")).alias("sku"),
+        F.coalesce(json_text(F.col("o"), "$.availability"), json_text(p, "$.availability")).alias("availability"),
+        F.array_distinct(F.filter("i", lambda i: i.isNotNull() & (i != ""))).alias("images"),
+    ))
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """Title, price, currency and brand of a page's first JSON-LD product."""
-    body = F.regexp_extract("html", r"""(?s)<script type="application/ld\+json">(.*?)</script>""", 1)
-    at = lambda *paths: F.coalesce(*[F.get_json_object(body, p) for p in paths])
-    brand = at("$.brand.name", "$.brand")
-    row = pages.select(
-        "page_id", at("$.name").alias("title"), at("$.offers.price", "$.offers[0].price").cast("double").alias("price"),
-        at("$.offers.priceCurrency", "$.offers[0].priceCurrency").alias("currency"), brand.alias("brand"), at("$['@type']").alias("type"),
-    )
-    keep = F.col("type") == "Product"
-    return row.select("page_id", *[F.when(keep, F.col(c)).alias(c) for c in ("title", "price", "currency", "brand")])
+    return jsonld_fields(pages).select("page_id", "title", "price", "currency", "brand")
 
 
-def extract_cascade(pages: DataFrame) -> DataFrame:
-    """JSON-LD if it gives a likely title and a price, else OpenGraph if it does."""
-    fields = ("title", "price", "currency", "brand")
-    named = lambda df, s: df.select("page_id", F.struct(*fields).alias(s))
-    both = named(extract_jsonld(pages), "jsonld").join(named(extract_opengraph(pages), "opengraph"), "page_id")
-    good = lambda s: (F.length(F.col(f"{s}.title")) >= 5) & F.col(f"{s}.price").isNotNull()
-    chosen = F.when(good("jsonld"), F.struct(F.lit("jsonld").alias("via"), "jsonld.*")).when(good("opengraph"), F.struct(F.lit("opengraph").alias("via"), "opengraph.*"))
-    return both.select("page_id", chosen.alias("c")).where("c is not null").select("page_id", "c.*")
+def rule_fields(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Fields by the rules of each page's domain (see ``extract_domain_rules``)."""
+    found = extract_domain_rules(pages, rules).groupBy("page_id")
+    one = lambda f: F.min(F.when(F.col("field") == f, F.col("value"))).alias(f)
+    row = found.agg(*[one(f) for f in ("title", "price", "availability", "images")])
+    none = [F.lit(None).cast("string").alias(f) for f in ("currency", "brand", "description", "category", "sku")]
+    return priced(row.select("page_id", "title", "price", "availability", F.when(F.col("images").isNotNull(), F.array("images")).alias("images"), *none))
+
+
+def likely(product: str) -> Column:
+    """Whether extracted fields look like a product: a price, and a title that is no general phrase."""
+    plain = lambda f: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"{product}.{f}"), F.lit(""))), r"\s+", " "))
+    general = F.lit(False)
+    for field in ("title", "description"):
+        for phrase in X.GENERIC_PHRASES:
+            general = general | F.contains(plain(field), F.lit(phrase))
+    return F.coalesce((F.length(plain("title")) >= 5) & ~general & F.col(f"{product}.price").isNotNull(), F.lit(False))
+
+
+def extract_cascade(pages: DataFrame, rules: DataFrame | None = None, fields: tuple[str, ...] = FIELDS[:4]) -> DataFrame:
+    """Per page the first likely product of JSON-LD, OpenGraph and the domain's rules; pages without one are left out."""
+    named = lambda df, s: df.select("page_id", F.struct(*FIELDS).alias(s))
+    all_, ways = named(jsonld_fields(pages), "jsonld").join(named(opengraph_fields(pages), "opengraph"), "page_id"), ["jsonld", "opengraph"]
+    if rules is not None:
+        all_, ways = all_.join(named(rule_fields(pages, rules), "rules"), "page_id", "left"), [*ways, "rules"]
+    chosen = F.coalesce(*[F.when(likely(way), F.struct(F.lit(way).alias("via"), *[F.col(f"{way}.{f}").alias(f) for f in fields])) for way in ways])
+    return all_.select("page_id", chosen.alias("c")).where("c is not null").select("page_id", "c.*")
 
 
 def extraction_coverage(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("via").agg(F.count("*").alias("pages"), *[F.count(c).alias(f"with_{c}") for c in ("title", "price", "currency", "brand")])
 
 
+def missing_fields(extracted: DataFrame) -> DataFrame:
+    """Per way and field, how many extracted products lack it; ``extracted`` has all fields."""
+    lacks = lambda f: (F.col(f).isNull() | (F.size(f) < 1)) if f == "images" else F.col(f).isNull()
+    names = F.array(*[F.when(lacks(f), F.lit(f)) for f in FIELDS])
+    each = extracted.select("via", F.explode(names).alias("field")).where("field is not null")
+    return each.groupBy("via", "field").agg(F.count("*").alias("missing"))
+
+
+def counted_up(digits: Column) -> Column:
+    """A page number plus one, as text; null beyond what a number holds."""
+    return F.try_add(digits.try_cast("decimal(38,0)"), F.lit(1)).cast("string")
+
+
 def next_page(pages: DataFrame) -> DataFrame:
-    """The page that follows each page: a rel=next link, else its page number plus one."""
-    rel = F.nullif(F.regexp_extract("html", r"""<(?:a|link)[^>]*rel="next"[^>]*href="([^"]+)""", 1), F.lit(""))
-    number = F.regexp_extract("url", r"[?&]page=([0-9]+)", 1)
-    following = F.when(number != "", F.concat(F.regexp_extract("url", r"^(.*?[?&]page=)", 1), (number.cast("long") + 1).cast("string"), F.regexp_extract("url", r"[?&]page=[0-9]+(.*)$", 1)))
-    return pages.select("page_id", F.coalesce(rel, following).alias("next")).where("next is not null")
+    """The page that follows each page.
+
+    In this order: a rel=next link, a link whose text says next, the page number of the query plus one, that of the
+    path, and the link after the current one of a numbered pager.
+    """
+    h, url = F.col("html"), F.col("url")
+    with_rel = lambda kind: F.get(F.filter(tags(h, kind), lambda t: F.lower(attribute(t, "rel")) == "next"), 0)
+    rel = absolute(F.coalesce(attribute(with_rel("link"), "href"), attribute(with_rel("a"), "href")), url)
+    anchors = F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
+    links = F.transform(anchors, lambda a: F.struct(
+        X.unescape(X.strip_tags(a)).alias("text"), attribute(a, "href").alias("href"),
+        ((F.coalesce(attribute(a, "aria-current"), F.lit("")) == "page") | F.coalesce(attribute(a, "class"), F.lit("")).rlike(r"(?i)(^|\s)(active|current)(\s|$)")).alias("current"),
+    ))
+    row = pages.select("page_id", "url", rel.alias("rel"), F.filter(links, lambda a: a["href"].isNotNull()).alias("links"))
+    said = F.filter("links", lambda a: F.lower(a["text"]).rlike(X.NEXT_TEXT))
+    by_text = absolute(F.try_element_at(said, F.lit(-1))["href"], url)
+    number = F.nullif(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1), F.lit(""))
+    query = F.concat(F.regexp_extract(url, r"^(.*?[?&]page=)", 1), counted_up(number), F.regexp_extract(url, r"[?&]page=[0-9]+(.*)$", 1))
+    place = F.nullif(F.regexp_extract(url, r"(?i)/page/([0-9]+)(?:/|$)", 1), F.lit(""))
+    path = F.concat(F.regexp_extract(url, r"(?i)^(.*?/page/)[0-9]+(?:/|$)", 1), counted_up(place), F.lit("/"), F.regexp_extract(url, r"(?i)/page/[0-9]+/(.*)$", 1))
+    pager = F.filter("links", lambda a: a["text"].rlike("^[0-9]+$"))
+    now = counted_up(F.get(F.filter(pager, lambda a: a["current"]), 0)["text"])
+    after = absolute(F.get(F.filter(pager, lambda a: F.regexp_replace(a["text"], "^0+(?=.)", "") == now), 0)["href"], url)
+    return row.select("page_id", F.coalesce("rel", by_text, query, path, after).alias("next")).where("next is not null")
 
 
 def extract_domain_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:

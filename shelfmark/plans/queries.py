@@ -43,17 +43,47 @@ def baseline(spark: SparkSession, sf: str) -> DataFrame:
     return canonical(spark, sf).where(F.length("title") % 3 != 0).select("canonicalId", low.alias("price_history"))
 
 
+def pick(number, *forms):
+    """One of the forms by the remainder of a number."""
+    chosen = F.lit(forms[-1]) if isinstance(forms[-1], str) else forms[-1]
+    for i in range(len(forms) - 2, -1, -1):
+        chosen = F.when(number % len(forms) == i, forms[i]).otherwise(chosen)
+    return chosen
+
+
+def filled(form, *values):
+    """``form`` with values in place of {0}, {1} and so on."""
+    form = F.lit(form) if isinstance(form, str) else form
+    for i, value in enumerate(values):
+        form = F.replace(form, F.lit("{%d}" % i), value)
+    return form
+
+
 def product_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages made from products: JSON-LD on even keys, OpenGraph on multiples of three."""
+    """Pages made from products in all spellings: JSON-LD on even keys, OpenGraph on multiples of three."""
     key = F.col("sourceId").cast("long")
-    brand = F.coalesce("brand", F.lit(""))
-    jsonld = F.format_string(
-        '<script type="application/ld+json">{"@type": "Product", "name": "%s", "brand": {"name": "%s"}, "offers": {"price": "%s", "priceCurrency": "%s"}}</script>',
-        F.coalesce("title", F.lit("")), brand, F.floor("price").cast("string"), "currency",
+    brand, title = F.coalesce("brand", F.lit("")), F.coalesce("title", F.lit(""))
+    plain, dotted = F.floor("price").cast("string"), F.format_number(F.floor("price"), 2)
+    form = F.floor(key / 2)
+    offer = filled(
+        pick(form, '{"price": "{0}", "priceCurrency": "{1}"}', '[{"price": "{0}", "priceCurrency": "{1}"}, {"price": "1"}]', '{"priceSpecification": {"price": "{0}", "priceCurrency": "{1}"}}'),
+        pick(form, plain, dotted, F.concat(F.lit("$"), dotted), F.concat(F.lit("from "), plain)), "currency",
+    )
+    named = filled(pick(form, '{"name": "{0}"}', '"{0}"', '{"@type": "Brand", "name": "{0}"}'), brand)
+    product = filled('{"@type": {0}, "name": "{1}", "brand": {2}, "offers": {3}}', pick(form, '"Product"', '["Thing", "Product"]', '"product"', '["PRODUCT"]'), title, named, offer)
+    wrapped = filled(
+        pick(form, "{0}", "[{0}]", '{"@graph": [{"@type": "WebPage", "name": "Top"}, {0}]}', '[{"@type": "BreadcrumbList"}, {"@graph": [{0}]}]', "\n  {0}\n", '[[{"name": "x"}], {0}, {"@type": "Product", "name": "Other"}]'),
+        product,
     )
-    graph = F.format_string(
-        '<meta property="og:title" content="%s"><meta property="product:price:amount" content="%s"><meta property="product:price:currency" content="%s"><meta property="product:brand" content="%s">',
-        F.coalesce("title", F.lit("")), F.floor("price").cast("string"), "currency", brand,
+    opened = pick(form, '<script type="application/ld+json">', "<SCRIPT id='a' type='application/ld+json'>", "<script type=application/ld+json class=b>")
+    other = pick(form, "", '<script type="application/ld+json">{"@type": "Organization", "name": "Shop"}</script>', '<script type="application/ld+json">{"@type": "Product", "name": </script>', "<script>var p = 1;</script>")
+    jsonld = F.concat(other, opened, wrapped, F.lit("</script>"))
+    third = F.floor(key / 3)
+    meta = pick(third, '<meta property="{0}" content="{1}">', "<meta content='{1}' property='{0}'/>", '<meta name="{0}" content="{1}" />', '<META class="m" property="{0}"\n content="{1}">', '<meta property={0} content="{1}" data-x="a>b">')
+    tag = lambda name, value: filled(meta, F.lit(name), value)
+    graph = F.concat(
+        tag("og:title", title), pick(third, tag("product:price:amount", plain), tag("og:price:amount", dotted)), F.lit('<meta charset="utf-8">'),
+        pick(third, tag("product:price:currency", F.col("currency")), tag("og:price:currency", F.col("currency"))), tag("product:brand", brand),
     )
     html = F.concat(F.lit("<html><head>"), F.when(key % 3 == 0, graph).otherwise(""), F.when(key % 2 == 0, jsonld).otherwise(""), F.lit("</head></html>"))
     return views.products(spark, sf).select(key.alias("page_id"), html.alias("html"))
