@@ -4,7 +4,9 @@ A block is a line of a text, or as many words in a row as a template has, wherev
 are found; a template is a short license notice. All are sets of words. A block matches a template if it contains at
 least ``threshold`` of the template's words (containment |block and template| / |template|). Words in a row must hold
 the telling ones, too: those that the template has in common with its label (nc, sa, mit, a version), without which they
-may be the notice of another license. Lines need not, so a line of a near-equal license gives both labels. The words
+may be the notice of another license. Lines need not, so that the join gives every pair that meets the threshold; with
+``telling``, they must, too, and no block may hold a word that only another license has (lesser, noncommercial), so that
+near-equal licenses are told apart and only their own label stays. The words
 of the templates are ordered by their document frequency over the whole corpus, rarest first. Any matching block holds
 one of the first |T| - ceil(t |T|) + 1 words of a template (prefix filter), has at least ceil(t |T|) words (length
 filter), and, where its first hit is the i-th word of a template, can have no more than |T| - i of them (positional
@@ -46,7 +48,36 @@ TEMPLATES = (
     ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the"
+        " Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+        " copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "mit",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the"
+        " License at http://www.apache.org/licenses/LICENSE-2.0",
+        "apache-2",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the"
+        " Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gpl-3",
+    ),
+    (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the"
+        " Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "gpl-2",
+    ),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
 )
+#: Words that tell a template with them from near-equal ones, besides those of its label.
+TELLING = frozenset({b"noncommercial", b"sharealike", b"attribution", b"apache", b"mozilla", b"gnu", b"redistribution", b"unencumbered", b"fee", b"charge"})
+#: Words that a block may hold only if the template does: they make it another license's notice.
+OTHERS = frozenset({b"lesser", b"library", b"affero", b"noncommercial", b"sharealike", b"noderivatives", b"nonfree", b"nc", b"sa", b"nd"})
 SCAN_SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 )
@@ -80,16 +111,24 @@ class Template(NamedTuple):
     telling: frozenset[bytes]
     #: Words in a row, repeated ones included.
     length: int
+    #: Words that any block must hold, and that none may hold, where near-equal licenses are told apart.
+    own: frozenset[bytes] = frozenset()
+    others: frozenset[bytes] = frozenset()
 
+    def tells(self, block: set[bytes]) -> bool:
+        return self.own <= block and not self.others & block
 
-def order_templates(templates, frequency: dict[bytes, int], threshold: float) -> list[Template]:
+
+def order_templates(templates, frequency: dict[bytes, int], threshold: float, telling: bool = False) -> list[Template]:
     """Templates with their words in the global order: by document frequency, then by bytes."""
     ordered = []
     for text, label in templates:
         words = sorted({w for w in words_of(text) if w}, key=lambda w: (frequency.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
         length = len([w for w in words_of(text) if w])
-        ordered.append(Template(label, tuple(words), need, frozenset(words_of(label)) & set(words), length))
+        named = frozenset(words_of(label)) & set(words)
+        apart = (named | TELLING & set(words), OTHERS - set(words)) if telling else ()
+        ordered.append(Template(label, tuple(words), need, named, length, *apart))
     return ordered
 
 
@@ -122,6 +161,8 @@ class TemplateJoin:
                     if any(w in block for w in template.words[:i]):
                         continue  # found at an earlier word of the template
                     tried.add(template)
+                    if not template.tells(block):
+                        continue
                     yield template.label, sum(w in block for w in template.words[i:]) / size
 
     def window_matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
@@ -140,7 +181,7 @@ class TemplateJoin:
                     continue
                 shared = [own.intersection(words[i : i + length]) for i in range(start, stop)]
                 best = max((len(s) for s in shared if template.telling <= s), default=0)
-                if best >= template.need:
+                if best >= template.need and template.tells(set(words[start : at + length])):
                     yield template.label, best / len(own)
 
 
@@ -163,10 +204,12 @@ def document_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
     return {bytes(row.word): row.n for row in counted.collect()}
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, telling: bool = False
+) -> DataFrame:
     """One row per document: word count, places of the base phrases, labels of both methods, best containment."""
     small_batches(docs.sparkSession)
-    join = TemplateJoin(order_templates(templates, document_frequencies(docs, templates), threshold), threshold)
+    join = TemplateJoin(order_templates(templates, document_frequencies(docs, templates), threshold, telling), threshold)
     known = [(b" %s " % phrase.encode(), label) for phrase, label in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,3 +130,32 @@ def test_jaccard_packs_numbers():
     found, packed = jaccard_join.steps(groups, numbers)
     for g, p in zip(found, packed):
         assert jaccard_join.numbers_of(p).tolist() == sorted(numbers[groups == g].tolist())
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc"),  # only the base phrase
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", ""),
+        ("licensed under the license in version 2 0", ""),
+        ("Licensed under the Apache License,\n  Version 2.0.", "apache-2"),
+        ("a b c This work is licensed under a\n# Creative Commons Attribution 4.0 International\n# License. d e f", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and more", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        ("no license at all in this software", ""),
+    ],
+)
+def test_near_equal_licenses_are_told_apart(spark, text, labels):
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.scan_licenses(rows, telling=True).first().labels == labels
+
+
+def test_every_template_gives_its_own_label(spark):
+    rows = spark.createDataFrame([(i, t.replace(" ", "\n", 5)) for i, (t, _) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in license_scan.scan_licenses(rows, telling=True).collect()}
+    assert found == {i: label for i, (_, label) in enumerate(license_scan.TEMPLATES)}
