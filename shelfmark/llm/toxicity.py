@@ -1,8 +1,10 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories are predicted one after the other. Each classifier is a logistic regression over the distinct words of
-a document, the beginnings of its words, and the probabilities of the categories before it. While the chain is fitted, these probabilities are
-out-of-fold predictions, so a later classifier meets them as wrong as they will be on new documents.
+a document, the beginnings of its words, and the probabilities of the categories before it. While the chain is fitted,
+these probabilities are out-of-fold predictions, so a later classifier meets them as wrong as they will be on new
+documents: what is chosen by labels (words, terms, and the categories derived from these) is chosen anew for each fold,
+from the documents outside of it.
 
 The chain is fitted on a bounded sample of labelled documents (``sample``, by hash of the id) and their ``words`` most
 telling words; words and weights have that bound, too, and travel with the scoring tasks. Every document is scored
@@ -19,6 +21,7 @@ alike; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import keep_rows, parts, small_batches
-from shelfmark.llm.sampling import labelled_sample
+from shelfmark.llm.sampling import fold_of, labelled_sample
+from shelfmark.llm.shared import stored
 
 #: Labelled documents and words that the chain is fitted on at most.
 SAMPLE, WORDS = 8_000, 2_000
@@ -43,7 +47,6 @@ SUSTAINED = 6
 HEADS = (5, 7)
 CATEGORIES = ("abusive", "sustained", "toxic")
 WORD = re.compile(r"[^\W_]+")
-LONGEST_WORD = 64
 
 
 def distinct_features(text: str | None) -> set[str]:
@@ -113,18 +116,48 @@ def predict(model: Linear, rows: list[list[int]], earlier: np.ndarray) -> np.nda
     return 1 / (1 + np.exp(-(model.bias + earlier @ model.earlier + np.bincount(at, model.words[of], len(rows)))))
 
 
-def fit_chain(rows: list[list[int]], vocabulary: list[str], targets: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
-    """A chain over the columns of ``targets``; ``rows`` are word numbers of each document, ``fold`` its fold."""
-    earlier, models = np.zeros((len(rows), 0)), []
-    for y in targets.T:
-        out = np.zeros(len(rows))
-        for f in range(folds):
+class Choice(NamedTuple):
+    """What is chosen by the labels of some documents: the telling words in order, and those that are terms."""
+
+    vocabulary: list[str]
+    terms: set[str]
+
+    def rows(self, docs: list[set[str]]) -> list[list[int]]:
+        """The numbers of each document's telling words."""
+        number = {word: i for i, word in enumerate(self.vocabulary)}
+        return [sorted(number[w] for w in words if w in number) for words in docs]
+
+    def targets(self, docs: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+        """The categories of each document, a column each."""
+        held = np.array([len(self.terms & words) for words in docs], np.int64)
+        return np.column_stack([held > 0, held >= SUSTAINED, toxic]).astype(float)
+
+
+def choose(counts: list[tuple[str, int, int]], n: int, toxic: int, words: int) -> Choice:
+    """The ``words`` most telling of (word, documents, toxic documents), in a sample of ``n`` with ``toxic`` toxic ones.
+
+    Telling is how far a word's share of toxic documents is from the sample's, in standard deviations.
+    """
+    p = (toxic + 1) / (n + 2)
+    told = [(-round(abs(t - k * p) / (k * p * (1 - p)) ** 0.5, 6), word, k, t) for word, k, t in counts if k > 2]
+    best = sorted(told)[:words]
+    return Choice(sorted(word for _, word, _, _ in best), {word for _, word, k, t in best if t >= TERM_DOCS and t >= TERM_SHARE * k})
+
+
+def fit_chain(docs: list[set[str]], toxic: np.ndarray, fold: np.ndarray, whole: Choice, by_fold: list[Choice]) -> Chain:
+    """A chain over the categories; ``by_fold`` is what the documents outside of each fold choose."""
+    earlier, models = np.zeros((len(docs), 0)), []
+    rows, told = whole.rows(docs), whole.targets(docs, toxic)
+    apart = [(choice.rows(docs), choice.targets(docs, toxic), len(choice.vocabulary)) for choice in by_fold]
+    for c, y in enumerate(told.T):
+        out = np.zeros(len(docs))
+        for f, (own, targets, n_words) in enumerate(apart):
             fit, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part = fit_linear([rows[i] for i in fit], len(vocabulary), earlier[fit], y[fit])
-            out[held] = predict(part, [rows[i] for i in held], earlier[held])
-        models.append(fit_linear(rows, len(vocabulary), earlier, y))
+            part = fit_linear([own[i] for i in fit], n_words, earlier[fit], targets[fit, c])
+            out[held] = predict(part, [own[i] for i in held], earlier[held])
+        models.append(fit_linear(rows, len(whole.vocabulary), earlier, y))
         earlier = np.column_stack([earlier, out])
-    return Chain({word: i for i, word in enumerate(vocabulary)}, models)
+    return Chain({word: i for i, word in enumerate(whole.vocabulary)}, models)
 
 
 def _sample_words(sample: DataFrame) -> DataFrame:
@@ -132,35 +165,44 @@ def _sample_words(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 200):
-            words = [sorted(w for w in distinct_features(t.as_py()) if len(w) <= LONGEST_WORD) for t in batch.column("text")]
+            words = [sorted(distinct_features(t.as_py())) for t in batch.column("text")]
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "words"])
 
-    return sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, words array<string>").dropDuplicates(["doc_id"])
+    return sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, words array<string>")
+
+
+def _choice(counts: DataFrame, n: int, toxic: int, words: int) -> Choice:
+    """``choose``, of the words' counts (word, n, t) in a table of any size."""
+    p = (toxic + 1) / (n + 2)
+    told = counts.where("n > 2").withColumn("z", F.abs(F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p)))
+    best = told.orderBy(F.desc(F.round("z", 6)), "word").limit(words).collect()
+    return choose([(row.word, row.n, row.t) for row in best], n, toxic, words)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Chain:
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, folds: int = FOLDS) -> Chain:
     """The chain of the categories, from the labelled sample of ``docs``; ``labels`` has doc_id and label (0 or 1)."""
     small_batches(docs.sparkSession)
-    known = _sample_words(labelled_sample(docs, labels, sample)).persist()
-    share = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
-    by_word = known.select("label", F.explode("words").alias("word")).groupBy("word")
-    counts = by_word.agg(F.count("*").alias("n"), F.sum("label").alias("t"))
-    # How far a word's share of toxic documents is from the sample's, in standard deviations.
-    p = (share.t + 1) / (share.n + 2)
-    told = counts.where("n > 2").withColumn("z", (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p)))
-    best = told.orderBy(F.desc(F.abs(F.round("z", 6))), "word").limit(words).collect()
-    vocabulary = sorted(row.word for row in best)
-    terms = {r.word for r in best if r.t >= TERM_DOCS and r.t >= TERM_SHARE * r.n}
-    chosen = F.array_intersect("words", F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"))
-    rows = sorted(known.select("doc_id", "label", chosen.alias("words")).collect())
-    known.unpersist()
-    number = {word: i for i, word in enumerate(vocabulary)}
-    held = np.array([len(terms.intersection(row.words)) for row in rows], np.int64)
-    toxic = np.array([row.label for row in rows], np.int64)
-    targets = np.column_stack([(held > 0), (held >= SUSTAINED), toxic]).astype(float)
-    fold = np.arange(len(rows)) % FOLDS
-    return fit_chain([[number[w] for w in row.words] for row in rows], vocabulary, targets, fold)
+    known = stored(_sample_words(labelled_sample(docs, labels, sample)).withColumn("fold", fold_of(F.col("doc_id"), folds)), "sample")
+    outside = lambda f: F.col("fold") != f
+    sums = [F.count("*").alias("n"), F.sum("label").alias("t")]
+    for f in range(folds):
+        sums += [F.count_if(outside(f)).alias(f"n{f}"), F.sum(F.when(outside(f), F.col("label"))).alias(f"t{f}")]
+    share = known.agg(*sums).first().asDict()
+    counts = stored(known.select("label", "fold", F.explode("words").alias("word")).groupBy("word").agg(*sums).where("n > 2"), "words")
+    of = lambda f: _choice(counts.select("word", F.col(f"n{f}").alias("n"), F.coalesce(f"t{f}", F.lit(0)).alias("t")), share[f"n{f}"] or 0, share[f"t{f}"] or 0, words)
+    whole, by_fold = of(""), [of(f) for f in range(folds)]
+    kept = set().union(*(choice.vocabulary for choice in (whole, *by_fold)))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[w for w in words if w in kept] for words in batch.column("words").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("label"), batch.column("fold"), pa.array(own, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "fold", "words"])
+
+    rows = sorted(known.mapInArrow(chosen, "doc_id long, label int, fold int, words array<string>").collect())
+    told = [set(map(sys.intern, row.words)) for row in rows]
+    return fit_chain(told, np.array([row.label for row in rows], np.int64), np.array([row.fold for row in rows], np.int64), whole, by_fold)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

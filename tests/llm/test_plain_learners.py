@@ -1,13 +1,15 @@
 """What the learned operators compute, beside plain versions, and their held-out accuracy."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
-from shelfmark.llm import quality_rules
+from shelfmark.llm import quality_rules, sampling, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -56,3 +58,101 @@ def test_ratio_on_held_out_labels(tables):
     good = [found[i].kept for i, q in told.items() if q == 1 and not found[i].base_failed]
     bad = [found[i].kept for i, q in told.items() if q == 0]
     assert sum(good) >= 0.97 * len(good) > 50 and sum(bad) <= 0.1 * len(bad)
+
+
+def plain_logistic(rows, n_words, earlier, y, l2=0.02):
+    """The same objective by Newton steps on dense matrices."""
+    x = np.zeros((len(rows), n_words))
+    for i, row in enumerate(rows):
+        x[i, row] = 1
+    x = np.column_stack([x, earlier, np.ones(len(rows))])
+    penalty = np.append(np.full(x.shape[1] - 1, l2), 0.0)
+    theta = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (p - y) + penalty * theta
+        theta -= 0.5 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), slope)
+    return theta
+
+
+def small_corpus(n=160):
+    rng = random.Random(7)
+    words = [f"plain{i}" for i in range(30)]
+    docs, toxic = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        own = set(rng.sample(words, 8)) | ({f"vile{rng.randrange(6)}" for _ in range(3)} if bad and rng.random() < 0.9 else set())
+        if not bad and rng.random() < 0.05:
+            own.add("vile0")
+        docs.append(own)
+        toxic.append(int(bad))
+    return docs, np.array(toxic)
+
+
+def plain_choice(docs, toxic, words):
+    n, t = len(docs), int(toxic.sum())
+    count = Counter(w for own in docs for w in own)
+    bad = Counter(w for own, y in zip(docs, toxic) if y for w in own)
+    p = (t + 1) / (n + 2)
+    z = {w: round(abs(bad[w] - k * p) / math.sqrt(k * p * (1 - p)), 6) for w, k in count.items() if k > 2}
+    best = sorted(z, key=lambda w: (-z[w], w))[:words]
+    return sorted(best), {w for w in best if bad[w] >= 3 and bad[w] >= 0.8 * count[w]}
+
+
+def test_logistic_regression():
+    docs, toxic = small_corpus()
+    number = {w: i for i, w in enumerate(sorted(set().union(*docs)))}
+    rows = [sorted(number[w] for w in own) for own in docs]
+    earlier = np.random.default_rng(0).random((len(docs), 2))
+    model = toxicity.fit_linear(rows, len(number), earlier, toxic.astype(float))
+    theta = plain_logistic(rows, len(number), earlier, toxic)
+    own = toxicity.predict(model, rows, earlier)
+    x = np.array([theta[row].sum() for row in rows]) + earlier @ theta[len(number) : -1] + theta[-1]
+    assert np.abs(own - 1 / (1 + np.exp(-x))).max() < 0.05
+
+
+def test_chain_beside_a_plain_version(spark):
+    """Choices, targets and folds of the chain by loops over documents."""
+    docs, toxic = small_corpus()
+    fold = np.arange(len(docs)) % 4
+    choices = [toxicity.Choice(*plain_choice([d for d, f in zip(docs, fold) if f != g], toxic[fold != g], 20)) for g in range(4)]
+    whole = toxicity.Choice(*plain_choice(docs, toxic, 20))
+    chain = toxicity.fit_chain(docs, toxic, fold, whole, choices)
+    earlier, models = np.zeros((len(docs), 0)), []
+    for c in range(3):
+        out = np.zeros(len(docs))
+        for g, (vocabulary, terms) in enumerate(choices):
+            inside = [i for i in range(len(docs)) if fold[i] != g]
+            number = {w: i for i, w in enumerate(vocabulary)}
+            rows = [sorted(number[w] for w in d & number.keys()) for d in docs]
+            y = [[len(terms & docs[i]) > 0, len(terms & docs[i]) >= toxicity.SUSTAINED, toxic[i]][c] for i in inside]
+            model = toxicity.fit_linear([rows[i] for i in inside], len(vocabulary), earlier[inside], np.array(y, float))
+            for i in np.flatnonzero(fold == g):
+                z = model.bias + model.words[rows[i]].sum() + earlier[i] @ model.earlier
+                out[i] = 1 / (1 + math.exp(-z))
+        models.append(out)
+        earlier = np.column_stack(models)
+    last = chain.models[2]
+    number = {w: i for i, w in enumerate(whole.vocabulary)}
+    again = toxicity.fit_linear([sorted(number[w] for w in d & number.keys()) for d in docs], 20, earlier[:, :2], toxic.astype(float))
+    assert np.allclose(last.words, again.words) and np.allclose(last.earlier, again.earlier) and last.bias == pytest.approx(again.bias)
+
+
+def test_chain_is_chosen_in_spark_as_in_python(spark):
+    docs, toxic = small_corpus()
+    rows = spark.createDataFrame([(i, " ".join(sorted(d))) for i, d in enumerate(docs)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, label int")
+    chain = toxicity.fit_on(rows, labels, words=40)
+    told = [toxicity.distinct_features(" ".join(sorted(d))) for d in docs]
+    assert sorted(chain.vocabulary) == plain_choice(told, toxic, 40)[0]
+    again = toxicity.fit_on(rows.repartition(7), labels.repartition(3), words=40)
+    assert all(np.allclose(a.words, b.words) for a, b in zip(chain.models, again.models))
+    scores = [chain.score(" ".join(sorted(d)))[-1] for d in docs]
+    assert sum((s >= 0.5) == bool(y) for s, y in zip(scores, toxic)) >= 0.9 * len(docs)
+
+
+def test_contradicting_rows_of_a_labelled_id(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, label int")
+    found = {tuple(sorted(map(tuple, sampling.labelled_sample(rows.repartition(n), labels, 10).collect()))) for n in (1, 2, 3)}
+    assert len(found) == 1 and {(i, label) for i, _, label in found.pop()} == {(1, 1), (2, 0)}
