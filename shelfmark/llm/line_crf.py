@@ -1,12 +1,15 @@
 """Quality of documents by a linear-chain conditional random field over their lines.
 
 Every line is good or bad. A line's features describe its words and characters and those of the lines before and
-after it; two weights for the kinds of change between neighbouring lines complete the field. Forward-backward gives
+after it: how it is written, and how its words divide between good and bad documents, by the log odds of each word in
+the labelled sample. Two weights for the kinds of change between neighbouring lines complete the field. Forward-backward gives
 each line's probability of being good, and a document's quality is the mean of these, weighted by line length.
 
 The field is fitted on all lines of a bounded sample of labelled documents (``sample``, a parameter of the fit only),
 grouped by their number of lines, so that padding at most doubles them. Lines carry the label of their document at first; then lines of bad
-documents that look good are relabelled, the document's worst line excepted, and the field is fitted again. Every
+documents that look good are relabelled, the document's worst line excepted, and the field is fitted again. While it is
+fitted, a document's words have the log odds that the documents of the other fold give, so that no line is described by
+its own label. Words that count are the ``words`` most frequent ones of the sample. Every
 document is scored over all its lines in one pass without a shuffle.
 
 Defined results: a null or empty text is one empty line and gets its probability; lines without characters weigh
@@ -26,18 +29,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import keep_rows, parts, small_batches
-from shelfmark.llm.sampling import id_remainder, labelled_sample
+from shelfmark.llm.sampling import fold_of, id_remainder, labelled_sample
+from shelfmark.llm.shared import stored
 
 SAMPLE = 4_000
+#: Words with log odds at most, in at least so many documents of the sample; the largest log odds.
+WORDS, WORD_DOCS, MOST_ODDS = 20_000, 3, 3.0
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 THRESHOLD = 0.7
 SYMBOLS, CAPITALS, DIGITS, ENDS = b"#*$%&|<>!~^_=+{}[]\\@", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", (b".", b"!", b"?", b'"', b":")
-OWN = 10
+OWN = 13
 #: Own features that are taken of the neighbours, too.
-SHARED = (1, 2, 4, 5)
+SHARED = (1, 2, 4, 5, 10)
 N_FEATURES = OWN + 2 * len(SHARED)
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def word_features(line: bytes, odds: dict[bytes, float]) -> tuple[float, float, float]:
+    """The mean log odds of a line's words, the share of words for bad documents, and the share of unknown ones."""
+    words = line.translate(LETTERS).split()
+    known = [o for o in map(odds.get, words) if o is not None]
+    if not words:
+        return 0.0, 0.0, 0.0
+    return sum(known) / len(words), sum(o < -1 for o in known) / len(words), 1 - len(known) / len(words)
+
+
+def line_features(text: str | None, odds: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every line and the lines' lengths in bytes."""
     lines = (text or "").encode().split(b"\n")
     own, sizes, seen = [], [], set()
@@ -56,6 +72,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             min(chars / n, 30) / 10 if n else 0.0,
             float(line.endswith(ENDS)),
             float(n > 0 and line in seen),
+            *word_features(line, odds),
         ))
         seen.add(line)
         sizes.append(len(line))
@@ -71,6 +88,8 @@ class Field(NamedTuple):
 
     weights: np.ndarray
     stay: np.ndarray
+    #: Log odds of words for good documents.
+    odds: dict[bytes, float] = {}
 
 
 def marginals(field: Field, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,28 +191,58 @@ def fit_documents(features: list[np.ndarray], labels: np.ndarray, rounds: int =
 
 def document_score(field: Field, text: str | None) -> float:
     """Length-weighted mean of the lines' probabilities of being good."""
-    x, weight = line_features(text)
+    x, weight = line_features(text, field.odds)
     p, _ = marginals(field, x[None], np.array([len(x)]))
     if not weight.any():
         weight = np.ones(len(x))
     return float(min(1.0, max(0.0, (p[0] * weight).sum() / weight.sum())))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+def log_odds(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """How much likelier words are in good documents, of the numbers of good and bad ones that hold them."""
+    return np.clip(np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2)), -MOST_ODDS, MOST_ODDS)
+
+
+def sample_odds(sample: DataFrame, words: int) -> list[dict[bytes, float]]:
+    """Log odds of the sample's words by the documents of fold 0, of fold 1, and of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 200):
+            for text, label, fold in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("fold").to_pylist()):
+                own = sorted(set((text.as_py() or "").encode().translate(LETTERS).split()))
+                columns = [pa.array(own, pa.binary()), pa.array([label] * len(own), pa.int32()), pa.array([fold] * len(own), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "label", "fold"])
+
+    sums = [F.count_if((F.col("label") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for f in (0, 1) for y in (1, 0)]
+    counts = sample.select("text", "label", "fold").mapInArrow(run, "word binary, label int, fold int").groupBy("word").agg(*sums)
+    often = counts.withColumn("n", F.expr("n10 + n00 + n11 + n01")).where(F.col("n") >= WORD_DOCS)
+    best = often.orderBy(F.desc("n"), "word").limit(words).collect()
+    total = sample.agg(*sums).first()
+    names = [bytes(row.word) for row in best]
+    n = {y: np.array([[row[f"n{y}0"] for row in best], [row[f"n{y}1"] for row in best]], float).reshape(2, -1) for y in (1, 0)}
+    whole = {y: np.array([total[f"n{y}0"] or 0, total[f"n{y}1"] or 0]) for y in (1, 0)}
+    folds = [log_odds(n[1][f], n[0][f], whole[1][f], whole[0][f]) for f in (0, 1)]
+    folds.append(log_odds(n[1].sum(axis=0), n[0].sum(axis=0), whole[1].sum(), whole[0].sum()))
+    return [dict(zip(names, odds.tolist())) for odds in folds]
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Field:
     """The field of the labelled sample; ``labels`` has doc_id and label (0 or 1)."""
     small_batches(docs.sparkSession)
+    told = stored(labelled_sample(docs, labels, sample).withColumn("fold", fold_of(F.col("doc_id"), 2)), "sample")
+    odds = sample_odds(told, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 200):
-            found = [line_features(t.as_py())[0].astype("<f8").tobytes() for t in batch.column("text")]
+            folds = batch.column("fold").to_pylist()
+            found = [line_features(t.as_py(), odds[1 - f])[0].astype("<f8").tobytes() for t, f in zip(batch.column("text"), folds)]
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "x"])
 
-    told = labelled_sample(docs, labels, sample).select("doc_id", "text", "label")
-    rows = told.mapInArrow(run, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).collect()
+    rows = told.mapInArrow(run, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda row: row.doc_id)
     features = [np.frombuffer(row.x, "<f8").reshape(-1, N_FEATURES) for row in rows]
-    return fit_documents(features, np.array([row.label for row in rows], int))
+    return fit_documents(features, np.array([row.label for row in rows], int))._replace(odds=odds[2])
 
 
 def score_quality(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:

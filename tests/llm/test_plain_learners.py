@@ -1,5 +1,6 @@
 """What the learned operators compute, beside plain versions, and their held-out accuracy."""
 
+import itertools
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from shelfmark.llm import quality_rules, sampling, toxicity
+from shelfmark.llm import line_crf, quality_rules, sampling, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -156,3 +157,58 @@ def test_contradicting_rows_of_a_labelled_id(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, label int")
     found = {tuple(sorted(map(tuple, sampling.labelled_sample(rows.repartition(n), labels, 10).collect()))) for n in (1, 2, 3)}
     assert len(found) == 1 and {(i, label) for i, _, label in found.pop()} == {(1, 1), (2, 0)}
+
+
+def plain_marginals(field, x):
+    """P(line good) of one document, by all ways to label it."""
+    good, total = np.zeros(len(x)), 0.0
+    for y in itertools.product((0, 1), repeat=len(x)):
+        w = math.exp(sum(x[t] @ field.weights for t in range(len(x)) if y[t]) + sum(field.stay[1 - y[t]] for t in range(len(x) - 1) if y[t] == y[t + 1]))
+        total += w
+        good += w * np.array(y)
+    return good / total
+
+
+def test_document_scores_beside_a_plain_version():
+    rng = np.random.default_rng(3)
+    field = line_crf.Field(rng.normal(size=line_crf.N_FEATURES), np.array([0.4, 0.9]), {b"good": 1.5, b"junk": -2.0})
+    for text in ("Good words here.\n\n### junk junk 99\nGood words here.", "", None, "\n\n", "x", "A b. junk"):
+        lines = (text or "").encode().split(b"\n")
+        x, sizes = line_crf.line_features(text, field.odds)
+        assert sizes.tolist() == [len(line) for line in lines]
+        p, weight = plain_marginals(field, x), np.array([len(line) for line in lines], float)
+        weight = weight if weight.any() else np.ones(len(lines))
+        assert line_crf.document_score(field, text) == pytest.approx(float((p * weight).sum() / weight.sum()))
+
+
+def test_fit_is_the_conditional_maximum():
+    """At the fitted weights, no small change raises the penalised likelihood, which loops over all labellings give."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(6, 3, line_crf.N_FEATURES)), rng.integers(0, 2, (6, 3)).astype(float)
+    sizes = np.array([3, 2, 1, 3, 3, 2])
+    field = line_crf.fit_field([line_crf.Group(x, sizes, y)], l2=1.0, steps=1500)
+
+    def likelihood(theta):
+        f, value = line_crf.Field(theta[:-2], theta[-2:]), -0.5 * float(theta @ theta)
+        for doc, own, n in zip(x, y, sizes):
+            weigh = lambda z: sum(doc[t] @ f.weights for t in range(n) if z[t]) + sum(f.stay[1 - int(z[t])] for t in range(n - 1) if z[t] == z[t + 1])  # noqa: E731, B023
+            value += weigh(own) - math.log(sum(math.exp(weigh(z)) for z in itertools.product((0, 1), repeat=int(n))))
+        return value
+
+    theta = np.concatenate([field.weights, field.stay])
+    best = likelihood(theta)
+    for _ in range(40):
+        assert likelihood(theta + rng.normal(size=len(theta)) * 0.05) <= best + 1e-4
+
+
+def test_log_odds_beside_a_plain_version(spark):
+    texts = {i: f"{'fine words' if i % 3 else 'junk words'} w{i % 5}\nTail" for i in range(40)}
+    rows = spark.createDataFrame([(i, t, int(i % 3 > 0), i % 2) for i, t in texts.items()], "doc_id long, text string, label int, fold int")
+    for fold, odds in zip(((0,), (1,), (0, 1)), line_crf.sample_odds(rows, 100)):
+        inside = [i for i in texts if i % 2 in fold]
+        n = {y: sum((i % 3 > 0) == y for i in inside) for y in (True, False)}
+        for word in ("fine", "junk", "words", "tail", "w"):
+            has = lambda i, word=word: word in re.findall("[a-z]+", texts[i].lower())
+            k = {y: sum(has(i) for i in inside if (i % 3 > 0) == y) for y in (True, False)}
+            expected = math.log((k[True] + 1) / (n[True] + 2)) - math.log((k[False] + 1) / (n[False] + 2))
+            assert odds[word.encode()] == pytest.approx(max(-3, min(3, expected)))
