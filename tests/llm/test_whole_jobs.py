@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_brute_force import near_copies, shingles
 
-from shelfmark.llm import jaccard_join, license_scan, line_crf, top_k
+from shelfmark.llm import jaccard_join, license_scan, line_crf, top_k, url_rules
 
 
 def plain_links(texts):
@@ -159,3 +159,15 @@ def test_every_template_gives_its_own_label(spark):
     rows = spark.createDataFrame([(i, t.replace(" ", "\n", 5)) for i, (t, _) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
     found = {r.doc_id: r.labels for r in license_scan.scan_licenses(rows, telling=True).collect()}
     assert found == {i: label for i, (_, label) in enumerate(license_scan.TEMPLATES)}
+
+
+def test_many_rules_are_swept_in_portions(spark):
+    rng = random.Random(9)
+    name = lambda: ".".join(rng.choice(["com", "net", "a", "b"]) for _ in range(rng.randint(1, 4)))
+    paths = ["", "/", "/en/", "/en/x", "/e", "/en/xy/z"]
+    rules = sorted({(rng.choice(["allow", "block"]), name(), rng.choice(paths)) for _ in range(120)})
+    frame = spark.createDataFrame([*rules, ("block", None, "/"), (None, "com", "/")], "verdict string, host string, path string")
+    urls = [f"http://{name()}{rng.choice(paths)}" for _ in range(300)] * 2 + [None, ""]
+    pages = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = [sorted(map(str, url_rules.judge_urls(pages, frame, max_shipped=n).collect())) for n in (1000, 9)]
+    assert found[0] == found[1] and len(found[0]) == len(urls)
