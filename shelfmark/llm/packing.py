@@ -139,7 +139,7 @@ class CachedTokenizer:
     Byte-level BPE starts a new piece at a single space or line end that follows other text, so a text's words can be
     looked up one by one. Where the merges of the file are ranked by id, the new words of a text go through tiktoken's
     merge loop together, a line each, which gives the same ids in a quarter of the time. All else goes through
-    ``tokenizers`` whole.
+    ``tokenizers`` whole, as do texts that hold an added token of the file, which the library gives as one id.
     """
 
     def __init__(self, path: str):
@@ -147,7 +147,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.merge = None
         if ranks := merges_by_id(path):
@@ -160,6 +160,8 @@ class CachedTokenizer:
     def encode(self, text: str) -> bytes:
         if self.merge is None or any(pair in text for pair in PAIRED) or OTHER_SPACE.search(text):
             return self.whole(text)
+        if text.endswith(" ") or any(token in text for token in self.added):  # a space before a line end is another word
+            return self.whole(text)
         units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         if len(self.known) > KEPT_UNITS or not self.known:
             self.known = dict(self.always)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_brute_force import near_copies, shingles
 
-from shelfmark.llm import jaccard_join, license_scan, line_crf, top_k, url_rules
+from shelfmark.llm import jaccard_join, license_scan, line_crf, packing, top_k, url_rules
 
 
 def plain_links(texts):
@@ -171,3 +171,12 @@ def test_many_rules_are_swept_in_portions(spark):
     pages = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls)], "page_id long, url string")
     found = [sorted(map(str, url_rules.judge_urls(pages, frame, max_shipped=n).collect())) for n in (1000, 9)]
     assert found[0] == found[1] and len(found[0]) == len(urls)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "a b ", " ", "a\nb ", "x<|endoftext|>\n", "plain text\nof two lines"])
+def test_ids_are_those_of_the_plain_call(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.cached_tokenizer(path("byte_bpe_50k.json")).encode(text), "<u4").tolist() == plain
