@@ -65,7 +65,7 @@ BLOCK_COLUMNS = 4096
 #: Start value of a set's second hash (any would do).
 SECOND = 0x5851F42D4C957F2D
 #: Shingles that are dealt out together while they are counted.
-DEALT = 2_000_000
+DEALT = 1_000_000
 
 
 class SetIds:
