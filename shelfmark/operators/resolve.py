@@ -1,24 +1,40 @@
-"""Entity resolution: blocked similarity joins and canonical ids."""
+"""Entity resolution: blocked similarity joins and canonical ids.
+
+Candidates come by block. With a ``cap``, a block's first rows by id are the candidates of all its probes, as a lookup
+that reads a limited number of rows has it. Without one (``cap=None``), every row that carries the probe's key is a
+candidate, so no match is lost, and the price gate narrows the join: rows meet only in the same or a neighbouring class
+of prices. In both forms pairs whose lengths of titles rule the threshold out are dropped before they are scored.
+"""
 
 from __future__ import annotations
 
+import math
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import exprs as X
 
 THRESHOLD = 0.80
+#: What two products may differ in price, as a share of the higher one.
+GATE = 0.30
+#: The characters of normalised titles; each has a count column.
+LETTERS = string.ascii_lowercase + string.digits + "-"
+COUNTS = [f"n{i}" for i in range(len(LETTERS))]
 
 
 def features(products: DataFrame) -> DataFrame:
     """The narrow columns that scores need, computed once per product."""
-    name = X.text_normalize(F.col("title"))
-    return products.select(
+    named = products.withColumn("name", X.text_normalize(F.col("title")))
+    count = lambda c: (F.length("name") - F.length(F.replace("name", F.lit(c)))).cast("short")
+    return named.select(
         "id", "sourceId", "sku", "price", "attributes",
         X.brand_normalize(F.col("brand")).alias("brand"),
         X.text_normalize(F.col("category")).alias("category"),
-        X.char_histogram(name).alias("letters"),
-        F.slice(F.filter(F.split(name, " "), lambda t: t != ""), 1, 3).alias("tokens"),
+        F.length(F.replace("name", F.lit(" "))).alias("letters"),
+        *[count(c).alias(n) for c, n in zip(LETTERS, COUNTS)],
+        F.filter(F.split("name", " "), lambda t: t != "").alias("tokens"),
     )
 
 
@@ -27,47 +43,106 @@ def candidate_cap(rows: DataFrame, block: str, cap: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(block).orderBy("id"))).where(F.col("rank") <= cap).drop("rank")
 
 
+def _sides(a: DataFrame, b: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    side = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return side(a, "a").join(side(b, "b"), keys)
+
+
+def _gated(pairs: DataFrame) -> DataFrame:
+    """Pairs of other sources whose price gap allows a score."""
+    gap = X.price_gap(F.col("price_a"), F.col("price_b"))
+    return pairs.where((F.col("sourceId_a") != F.col("sourceId_b")) & ~F.coalesce(gap > GATE, F.lit(False)))
+
+
 def block_join(rows: DataFrame, block: Column, cap: int) -> DataFrame:
     """Probes with the capped candidates of their block, whose price gap allows a score; other sources only."""
     blocked = rows.withColumn("block", block).where("block is not null")
-    candidates = candidate_cap(blocked, "block", cap)
-    side = lambda df, s: df.select("block", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns])
-    gap = X.price_gap(F.col("price_a"), F.col("price_b"))
-    pairs = side(blocked, "a").join(side(candidates, "b"), "block")
-    return pairs.where((F.col("sourceId_a") != F.col("sourceId_b")) & ~F.coalesce(gap > 0.30, F.lit(False)))
+    return _gated(_sides(blocked, candidate_cap(blocked, "block", cap), rows.columns, ["block"]))
+
+
+def key_join(rows: DataFrame, probe: Column, keys: Column) -> DataFrame:
+    """Probes with all rows of which one of the ``keys`` (an array) is among their own (``probe``, an array); each pair once."""
+    step = -math.log(1 - GATE)
+    priced = F.col("price") > 0
+    level = F.when(priced, F.floor(F.log("price") / step))
+    around = F.array(level - 1, level, level + 1)
+    no = F.array(F.lit(None).cast("long"))
+    of = lambda side, levels: rows.withColumn("block", F.explode(F.array_distinct(side))).withColumn("level", F.explode(levels)).where("block is not null")
+    probes, others = of(probe, F.when(priced, around).otherwise(no)), of(keys, F.array(level))
+    ranked = ["block", "level"]
+    both = _sides(probes.where("level is not null"), others.where("level is not null"), rows.columns, ranked)
+    # Without a price no gate holds: such rows meet all rows of the block.
+    once = of(probe, F.array(level))
+    bare = _sides(once.where("level is null"), others, rows.columns, ["block"]).unionByName(
+        _sides(once.where("level is not null"), others.where("level is null"), rows.columns, ["block"])
+    )
+    pairs = _gated(both.drop("level").unionByName(bare))
+    return pairs.drop("block", "attributes_a", "attributes_b", "tokens_a", "tokens_b").dropDuplicates(["id_a", "id_b"])
+
+
+def similar(pairs: DataFrame, least: float, also: Column | None = None) -> DataFrame:
+    """``pairs`` with the title's similarity; those that can't reach ``least`` by the lengths of titles, unless ``also``, go."""
+    short, long = F.least("letters_a", "letters_b"), F.greatest("letters_a", "letters_b")
+    reach = short >= F.floor(F.lit(least - 1e-6) * long)
+    shared = sum((F.least(F.col(f"{n}_a"), F.col(f"{n}_b")).cast("int") for n in COUNTS[1:]), F.least(F.col(f"{COUNTS[0]}_a"), F.col(f"{COUNTS[0]}_b")).cast("int"))
+    return pairs.where(reach if also is None else reach | also).withColumn("title", F.when(short > 0, shared / long).otherwise(0.0))
 
 
 def _signals() -> tuple[Column, Column, Column]:
-    return (
-        X.histogram_similarity(F.col("letters_a"), F.col("letters_b")),
-        X.brand_match(F.col("brand_a"), F.col("brand_b")),
-        X.category_match(F.col("category_a"), F.col("category_b")),
-    )
+    return F.col("title"), X.brand_match(F.col("brand_a"), F.col("brand_b")), X.category_match(F.col("category_a"), F.col("category_b"))
 
 
-def dedup_pairs(products: DataFrame, cap: int = 100, threshold: float = THRESHOLD) -> DataFrame:
-    """Matches within a category, else a brand: id, match, score."""
-    block = F.when(F.col("category") != "", F.concat(F.lit("c:"), "category")).otherwise(F.concat(F.lit("b:"), "brand"))
-    pairs = block_join(features(products), block, cap)
-    title, brand, category = _signals()
-    score = X.dedup_score(title, brand, category, F.col("price_a"), F.col("price_b"))
+def _same_sku() -> Column:
+    return F.coalesce(F.trim("sku_a") == F.trim("sku_b"), F.lit(False))
+
+
+def _matched(pairs: DataFrame, score: Column, threshold: float) -> DataFrame:
     scored = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("match"), F.round(score, 6).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
-def entity_pairs(products: DataFrame, cap: int = 200, threshold: float = THRESHOLD) -> DataFrame:
-    """Matches by entity score; a product's block is category and brand, else brand, else category."""
-    block = (
-        F.when((F.col("category") != "") & F.col("brand").isNotNull(), F.concat_ws("|", F.lit("cb"), "category", "brand"))
-        .when(F.col("brand").isNotNull(), F.concat_ws("|", F.lit("b"), "brand"))
-        .when(F.col("category") != "", F.concat_ws("|", F.lit("c"), "category"))
-    )
-    pairs = block_join(features(products), block, cap)
+def dedup_pairs(products: DataFrame, cap: int | None = 100, threshold: float = THRESHOLD) -> DataFrame:
+    """Matches within a category, else a brand: id, match, score.
+
+    With a cap, a row is in the block of its category, else of its brand; without one, a probe without a category meets
+    all rows of its brand.
+    """
+    rows = features(products)
+    by_category, by_brand = F.when(F.col("category") != "", F.concat(F.lit("c:"), "category")), F.concat(F.lit("b:"), "brand")
+    block = F.coalesce(by_category, by_brand)
+    pairs = key_join(rows, F.array(block), F.array(by_category, by_brand)) if cap is None else block_join(rows, block, cap)
+    # The other signals give 0.60 at most.
+    title, brand, category = _signals()
+    score = X.dedup_score(title, brand, category, F.col("price_a"), F.col("price_b"))
+    return _matched(similar(pairs, (threshold - 0.6) / 0.4), score, threshold)
+
+
+def entity_pairs(products: DataFrame, cap: int | None = 200, threshold: float = THRESHOLD) -> DataFrame:
+    """Matches by entity score; a product's block is category and brand, else brand, else category.
+
+    Without a cap, a probe meets all rows of its block, also those that have more than it, and probes with neither
+    category nor brand meet the rows that hold one of their first three title words, if they have three.
+    """
+    rows = features(products)
+    has_category, has_brand = F.col("category") != "", F.col("brand").isNotNull()
+    both = F.when(has_category & has_brand, F.concat_ws("|", F.lit("cb"), "category", "brand"))
+    by_brand = F.when(has_brand, F.concat_ws("|", F.lit("b"), "brand"))
+    by_category = F.when(has_category, F.concat_ws("|", F.lit("c"), "category"))
+    if cap is None:
+        words = lambda tokens: F.transform(tokens, lambda t: F.concat(F.lit("t|"), t))
+        few = F.when(~has_category & ~has_brand & (F.size("tokens") >= 3), words(F.slice("tokens", 1, 3)))
+        probe = F.when(has_category | has_brand, F.array(F.coalesce(both, by_brand, by_category))).otherwise(few)
+        keep = rows.select("id", "attributes")
+        pairs = key_join(rows, probe, F.concat(F.array(both, by_brand, by_category), words("tokens")))
+        pairs = pairs.join(keep.select(F.col("id").alias("id_a"), F.col("attributes").alias("attributes_a")), "id_a")
+        pairs = pairs.join(keep.select(F.col("id").alias("id_b"), F.col("attributes").alias("attributes_b")), "id_b")
+    else:
+        pairs = block_join(rows, F.coalesce(both, by_brand, by_category), cap)
+    # The other signals give 0.65 at most, equal SKUs all.
     title, brand, category = _signals()
     attributes = X.attribute_similarity(F.col("attributes_a"), F.col("attributes_b"))
     score = X.entity_score(title, brand, category, attributes, F.col("price_a"), F.col("price_b"), F.col("sku_a"), F.col("sku_b"))
-    scored = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("match"), F.round(score, 6).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    return _matched(similar(pairs, (threshold - 0.65) / 0.35, _same_sku()), score, threshold)
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
@@ -77,10 +152,10 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return first.groupBy("id").agg(best.alias("b")).select("id", "b.match", "b.score")
 
 
-def entity_resolve_all(products: DataFrame) -> DataFrame:
+def entity_resolve_all(products: DataFrame, cap: int | None = 200) -> DataFrame:
     """Every product with its best match; those with neither category nor brand are skipped."""
     usable = (X.brand_normalize(F.col("brand")).isNotNull()) | (X.blank_to_null(F.col("category")).isNotNull())
-    found = best_match(entity_pairs(products))
+    found = best_match(entity_pairs(products, cap))
     return products.select("id", usable.alias("usable")).join(found, "id", "left").select(
         "id", F.when(~F.col("usable"), "skipped").when(F.col("match").isNotNull(), "resolved").otherwise("unresolved").alias("state"), "match", "score"
     )
@@ -94,6 +169,24 @@ def resolution_summary(resolved: DataFrame) -> DataFrame:
     )
 
 
+def mean_confidence(resolved: DataFrame) -> DataFrame:
+    """The mean score of resolved products, and how many there are."""
+    done = resolved.where("state = 'resolved'")
+    return done.agg(F.count("*").alias("resolved"), F.round(F.avg("score"), 6).alias("meanConfidence"))
+
+
+def resolve_incoming(incoming: DataFrame, products: DataFrame, cap: int | None = None) -> DataFrame:
+    """Every incoming product with its canonical id, if it has one, else its best match among all products."""
+    mapped = F.col("canonicalProductId").startswith("cprod_")
+    found = best_match(entity_pairs(products, cap))
+    joined = incoming.select("id", F.when(mapped, F.col("canonicalProductId")).alias("canonicalId")).join(found, "id", "left")
+    known = F.col("canonicalId").isNotNull()
+    hard = F.when(known, "canonical").when(F.col("match").isNotNull(), "scored").otherwise("none")
+    return joined.select(
+        "id", "canonicalId", F.when(~known, F.col("match")).alias("match"), F.when(known, 1.0).otherwise(F.col("score")).alias("confidence"), hard.alias("matchKind")
+    )
+
+
 def canonical_group(products: DataFrame, canonical: DataFrame) -> DataFrame:
     """Canonical ids of all products, and whether each id is new."""
     ids = products.select("id", X.canonical_id(F.col("title"), F.col("brand")).alias("canonicalId"))
@@ -115,8 +208,8 @@ def join_existing_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def accuracy_eval(labels: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Labelled pairs (a, b, expected) scored against their label: counts and accuracy."""
-    side = lambda s: features(products).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "sku", "price", "attributes", "brand", "category", "letters")])
-    pairs = labels.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    side = lambda s: features(products).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "sku", "price", "attributes", "brand", "category", "letters", *COUNTS)])
+    pairs = similar(labels.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b")), 0.0)
     title, brand, category = _signals()
     attributes = X.attribute_similarity(F.col("attributes_a"), F.col("attributes_b"))
     score = X.entity_score(title, brand, category, attributes, F.col("price_a"), F.col("price_b"), F.col("sku_a"), F.col("sku_b"))
