@@ -40,7 +40,7 @@ from shelfmark.llm.shared import stored
 
 DEPTH = 5
 START, END = b"\0" * DEPTH, b"\xff"
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 24 << 20
 #: Bytes whose runs are counted or looked up at a time, and runs that are weighted at a time.
 STEP_BYTES, STEP_RUNS = 1 << 20, 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
