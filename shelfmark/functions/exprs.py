@@ -45,6 +45,13 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def last_wins(entries: Column) -> Column:
+    """A map of the entries (k, v); of equal keys the last one counts, null keys don't."""
+    named = F.filter(entries, lambda e: e["k"].isNotNull())
+    later = lambda e, i: F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["k"] == e["k"])
+    return F.map_from_entries(F.filter(named, lambda e, i: ~later(e, i)))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -205,6 +212,26 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def variant_signature(variants: Column) -> Column:
+    """The sorted words for what variants differ in (title, option names and values, attribute values), else null."""
+    plain = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " ")), "[^a-z0-9]+", " ")), " ", "_")
+    said = F.flatten(F.transform(variants, lambda v: F.concat(
+        F.array(v["title"]), F.flatten(F.transform(F.coalesce(v["options"], F.array().cast("array<struct<name:string,value:string>>")), lambda o: F.array(o["name"], o["value"]))),
+        F.map_values(F.coalesce(v["attributes"], F.create_map().cast("map<string,string>"))),
+    )))
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(said, plain), lambda t: t != ""))), "_"), F.lit(""))
+
+
+def price_range(variants: Column) -> Column:
+    """min, max and currency over the prices of variants; nulls without a price."""
+    prices = F.filter(F.transform(variants, lambda v: v["price"]), lambda p: p.isNotNull() & ~F.isnan(p))
+    named = F.filter(F.transform(variants, lambda v: blank_to_null(v["currency"])), lambda c: c.isNotNull())
+    has = F.size(prices) > 0
+    return F.struct(
+        F.when(has, F.array_min(prices)).alias("min"), F.when(has, F.array_max(prices)).alias("max"), F.when(has, F.get(named, 0)).alias("currency")
+    )
+
+
 def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))
 

@@ -76,7 +76,7 @@ def norm_magento_products(items: DataFrame, store_id: str, base_url: str, curren
     return product(
         items, "magento", F.lit(store_id), sourceId=F.col("id").cast("string"), title=F.col("name"), brand=_attribute("brand"), category=_attribute("category"),
         description=_attribute("description"), sku=sku, status=F.when(F.col("status") == 1, "active").when(F.col("status") == 2, "inactive"),
-        images=with_url(pictures), attributes=F.map_from_entries(F.transform(kept, lambda a: F.struct(a["attribute_code"], F.trim(a["value"])))),
+        images=with_url(pictures), attributes=X.last_wins(F.transform(kept, lambda a: F.struct(a["attribute_code"].alias("k"), F.trim(a["value"]).alias("v")))),
         variants=F.array(variant(sku, sku, F.col("price"), F.lit(None), F.lit(currency), stock["qty"], F.coalesce(stock["is_in_stock"], F.lit(False)))),
         updatedAt=F.try_to_timestamp("updated_at"),
     )
@@ -96,7 +96,7 @@ def norm_woo_products(items: DataFrame, store_id: str) -> DataFrame:
     return product(
         items, "woocommerce", F.lit(store_id), sourceId=key, title=F.col("name"), brand=brand, category=F.get("categories", 0)["name"],
         description=X.blank_to_null(F.regexp_replace("description", "<[^>]*>", "")), sku=sku, status=F.try_element_at(X.literal_map(WOO_STATUS), F.col("status")),
-        images=with_url(pictures), attributes=F.map_from_entries(F.transform(others, lambda a: F.struct(a["name"], F.array_join(a["options"], ", ")))),
+        images=with_url(pictures), attributes=X.last_wins(F.transform(others, lambda a: F.struct(a["name"].alias("k"), F.array_join(a["options"], ", ").alias("v")))),
         variants=F.array(own), categoryIds=F.transform("categories", lambda c: c["id"].cast("string")), updatedAt=F.try_to_timestamp("date_modified"),
     )
 
@@ -125,7 +125,7 @@ def norm_bigcommerce_products(items: DataFrame, store_id: str) -> DataFrame:
     return product(
         items, "bigcommerce", F.lit(store_id), sourceId=key, title=F.col("name"), brand=X.blank_to_null(F.col("brand_name")), category=F.lit(None).cast("string"),
         description=X.blank_to_null(F.regexp_replace("description", "<[^>]*>", "")), sku=sku, status=status, tags=tags,
-        images=F.transform(urls, lambda u, i: image(u, F.lit(None).cast("string"), i)), attributes=F.map_from_entries(F.transform(fields, lambda f: F.struct(F.trim(f["name"]), F.trim(f["value"])))),
+        images=F.transform(urls, lambda u, i: image(u, F.lit(None).cast("string"), i)), attributes=X.last_wins(F.transform(fields, lambda f: F.struct(F.trim(f["name"]).alias("k"), F.trim(f["value"]).alias("v")))),
         variants=F.when(F.size("variants") > 0, F.transform("variants", one)).otherwise(F.array(single)), categoryIds=F.transform("categories", lambda c: c.cast("string")),
         updatedAt=F.try_to_timestamp("date_modified"),
     )

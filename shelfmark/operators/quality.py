@@ -122,21 +122,46 @@ def filter_issues(issues: DataFrame, severity: str | None = None, resolved: bool
 
 
 STATUSES = ["active", "inactive", "draft", "archived"]
+#: Longest texts of a product.
+LONGEST = {"title": 500, "description": 10_000, "brand": 200, "category": 200, "currency": 3}
 
 
 def validate_products(products: DataFrame) -> DataFrame:
-    """Products with the list of rules they break, empty for valid ones."""
+    """Products with the list of rules they break, empty for valid ones; rules on columns that a table lacks are left out."""
+    blank = lambda c: X.blank_to_null(F.col(c)).isNull()
+    no_url = lambda i: ~F.coalesce(i.rlike("^https?://"), F.lit(False))
+    of_variants = lambda broken: F.exists("variants", broken)
     rules = [
-        ("required:sourceId", X.blank_to_null(F.col("sourceId")).isNull()),
-        ("required:title", X.blank_to_null(F.col("title")).isNull()),
-        ("maxLength:title", F.length("title") > 500),
-        ("enum:source", ~F.col("source").isin(list(X.SOURCE_PRIORITY))),
-        ("enum:status", ~F.col("status").isin(STATUSES)),
-        ("minimum:price", F.col("price") < 0),
-        ("pattern:currency", ~F.col("currency").rlike("^[A-Z]{3}$")),
-    ]
-    errors = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
-    return products.withColumn("errors", errors)
+        ("required:sourceId", "sourceId", lambda: blank("sourceId")),
+        ("required:title", "title", lambda: blank("title")),
+        ("maxLength:title", "title", lambda: F.length("title") > LONGEST["title"]),
+        ("enum:source", "source", lambda: ~F.col("source").isin(list(X.SOURCE_PRIORITY))),
+        ("enum:status", "status", lambda: ~F.col("status").isin(STATUSES)),
+        ("minimum:price", "price", lambda: F.col("price") < 0),
+        ("pattern:currency", "currency", lambda: ~F.col("currency").rlike("^[A-Z]{3}$")),
+        ("required:id", "id", lambda: blank("id")),
+        ("required:source", "source", lambda: blank("source")),
+        ("required:storeId", "storeId", lambda: blank("storeId")),
+        ("required:status", "status", lambda: blank("status")),
+        ("required:lastSyncedAt", "lastSyncedAt", lambda: F.col("lastSyncedAt").isNull()),
+        ("maxLength:description", "description", lambda: F.length("description") > LONGEST["description"]),
+        ("maxLength:brand", "brand", lambda: F.length("brand") > LONGEST["brand"]),
+        ("maxLength:category", "category", lambda: F.length("category") > LONGEST["category"]),
+        ("format:images", "images", lambda: F.exists("images", no_url)),
+        ("minItems:variants", "variants", lambda: F.coalesce(F.size("variants"), F.lit(0)) < 1),
+        ("required:variantId", "variants", lambda: of_variants(lambda v: X.blank_to_null(v["variantId"]).isNull())),
+        ("required:variantPrice", "variants", lambda: of_variants(lambda v: v["price"].isNull())),
+        ("minimum:variantPrice", "variants", lambda: of_variants(lambda v: F.coalesce(v["price"] < 0, F.lit(False)))),
+        ("pattern:variantCurrency", "variants", lambda: of_variants(lambda v: ~F.coalesce(v["currency"].rlike("^[A-Z]{3}$"), F.lit(False)))),
+    ]
+    held = [F.when(rule(), F.lit(name)) for name, column, rule in rules if column in products.columns]
+    return products.withColumn("errors", F.array_compact(F.array(*held)))
+
+
+def orphan_offers(products: DataFrame, offers: DataFrame) -> DataFrame:
+    """storeId, orphanOffers: offers whose product doesn't exist, per store."""
+    orphans = offers.join(products.select(F.col("id").alias("productId")), "productId", "left_anti")
+    return orphans.groupBy("storeId").agg(F.count("*").alias("orphanOffers"))
 
 
 def ingest_completeness(products: DataFrame, offers: DataFrame) -> DataFrame:

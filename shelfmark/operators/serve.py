@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,23 @@ def page(rows: DataFrame, sort: str, number: int, limit: int, key: str = "canoni
     return rows.orderBy(SORTS.get(sort, SORTS["updated_at"])(), F.col(key)).offset((number - 1) * limit).limit(limit)
 
 
+def page_totals(rows: DataFrame, number: int, limit: int) -> DataFrame:
+    """total, page, limit and hasMore of page ``number`` of ``rows``."""
+    return rows.agg(F.count("*").alias("total")).select(
+        "total", F.lit(number).alias("page"), F.lit(limit).alias("limit"), (F.col("total") > number * limit).alias("hasMore")
+    )
+
+
+def search_catalog(canonical: DataFrame, query: str, category: str | None = None, brand: str | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Products whose title, brand or description hold all words of the query, in a category, of a brand, in a price range."""
+    said = F.lower(F.concat_ws(" ", "title", "brand", "description"))
+    found = filter_products(canonical, category, brand)
+    for word in query.lower().split():
+        found = found.where(F.contains(said, F.lit(word)))
+    found = found.where(F.col("priceMax") >= low) if low is not None else found
+    return found.where(F.col("priceMin") <= high) if high is not None else found
+
+
 def product_view(canonical: DataFrame) -> DataFrame:
     both = F.col("priceMin").isNull() & F.col("priceMax").isNull()
     price = F.when(~both, F.struct(F.col("priceMin").alias("min"), F.col("priceMax").alias("max"), "currency"))
@@ -176,7 +197,10 @@ def ai_search_view(results: DataFrame, offers: DataFrame, few: int = 5) -> DataF
     return view.join(cheapest, "canonicalId", "left")
 
 
-SECRET = r"(?i)(password|secret|token|api_?key|authorization|credential)"
+SECRET = r"(?i)(password|secret|token|api[-_]?key|authorization|credential)"
+
+
+SECRET_KEY = re.compile(SECRET)
 
 
 def redact_secrets(rows: DataFrame, column: str) -> DataFrame:
@@ -185,6 +209,27 @@ def redact_secrets(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, hidden)
 
 
+def redact_json(rows: DataFrame, column: str) -> DataFrame:
+    """A JSON column whose values under secret-like keys, at any depth, are hidden; other texts stay as they are."""
+
+    @F.pandas_udf("string")
+    def hidden(texts: pd.Series) -> pd.Series:
+        def scrub(value):
+            if isinstance(value, dict):
+                return {k: "[REDACTED]" if SECRET_KEY.search(k) else scrub(v) for k, v in value.items()}
+            return [scrub(v) for v in value] if isinstance(value, list) else value
+
+        def one(text):
+            try:
+                return json.dumps(scrub(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return text
+
+        return texts.map(one)
+
+    return rows.withColumn(column, hidden(column))
+
+
 AI_FIELDS = ["canonicalId", "title", "brand", "category", "currency", "priceMin", "priceMax", "totalOffers", "inStockOffers", "isAvailable", "hasVariablePricing", "summary"]
 
 

@@ -33,6 +33,48 @@ def canonical_merge(products: DataFrame) -> DataFrame:
     )
 
 
+def merged_variants(products: DataFrame) -> DataFrame:
+    """canonicalId and its distinct variants, in the order of their products; of equal ones the first stays.
+
+    Variants are told apart by id, else by SKU, else by all they hold.
+    """
+    known = products.where("canonicalProductId is not null")
+    each = known.select(F.col("canonicalProductId").alias("canonicalId"), "lastSyncedAt", "id", F.posexplode("variants").alias("n", "variant"))
+    own = lambda f: X.blank_to_null(F.col(f"variant.{f}"))
+    keyed = each.withColumn("key", F.coalesce(own("variantId"), own("sku"), F.to_json("variant")))
+    order = F.struct("lastSyncedAt", "id", "n")
+    first = keyed.groupBy("canonicalId", "key").agg(F.min(order).alias("o"), F.min_by("variant", order).alias("variant"))
+    earlier = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    listed = F.array_sort(F.collect_list(F.struct("o", "variant")), earlier)
+    return first.groupBy("canonicalId").agg(F.transform(listed, lambda v: v["variant"]).alias("variants"))
+
+
+def merged_attributes(products: DataFrame) -> DataFrame:
+    """canonicalId, key, value: per attribute the first filled value, in the order of the products."""
+    known = products.where("canonicalProductId is not null")
+    each = known.select(F.col("canonicalProductId").alias("canonicalId"), "lastSyncedAt", "id", F.explode("attributes").alias("key", "value"))
+    order = F.struct((F.coalesce("value", F.lit("")) == "").alias("blank"), "lastSyncedAt", "id")
+    return each.groupBy("canonicalId", "key").agg(F.min_by("value", order).alias("value"))
+
+
+def golden_attributes(products: DataFrame) -> DataFrame:
+    """canonicalId, key, value: per attribute the filled value of the best source, then the newest, the longest, the smallest id."""
+    known = products.where("canonicalProductId is not null").withColumn("priority", X.source_priority(F.col("source")))
+    each = known.select(F.col("canonicalProductId").alias("canonicalId"), "priority", "lastSyncedAt", "id", F.explode("attributes").alias("key", "value"))
+    filled = each.withColumn("value", X.blank_to_null(F.col("value"))).where("value is not null")
+    order = F.struct("priority", (-F.unix_micros("lastSyncedAt")).alias("t"), (-F.length("value")).alias("n"), "id")
+    return filled.groupBy("canonicalId", "key").agg(F.min_by("value", order).alias("value"))
+
+
+def golden_images(products: DataFrame) -> DataFrame:
+    """canonicalId, position, url: all distinct images, those of the best sources first."""
+    known = products.where("canonicalProductId is not null").withColumn("priority", X.source_priority(F.col("source")))
+    each = known.select(F.col("canonicalProductId").alias("canonicalId"), "priority", "id", F.posexplode("images").alias("n", "url")).withColumn("url", X.blank_to_null(F.col("url")))
+    first = each.where("url is not null").groupBy("canonicalId", "url").agg(F.min(F.struct("priority", "id", "n")).alias("o"))
+    listed = first.groupBy("canonicalId").agg(F.array_sort(F.collect_list(F.struct("o", "url"))).alias("l"))
+    return listed.select("canonicalId", F.posexplode("l").alias("position", "i")).select("canonicalId", "position", "i.url")
+
+
 def golden_record(products: DataFrame) -> DataFrame:
     """Per canonical id and field the value that wins: filled, then source priority, recency, length, id."""
     known = products.where("canonicalProductId is not null").withColumn("priority", X.source_priority(F.col("source")))

@@ -22,6 +22,15 @@ def upsert_patch(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in target.columns])
 
 
+def upsert_given(target: DataFrame, source: DataFrame, keys: list[str], given: str) -> DataFrame:
+    """As ``upsert_patch``, but fields named in the array ``given`` are set even to null, and others never."""
+    fields = [c for c in source.columns if c not in (*keys, given)]
+    patch = source.select(*keys, F.col(given).alias("_given"), *[F.col(c).alias(f"_{c}") for c in fields])
+    joined = target.join(patch, keys, "full_outer")
+    new = lambda c: F.coalesce(F.array_contains("_given", c), F.lit(False))
+    return joined.select(*[F.when(new(c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in target.columns])
+
+
 def insert_only(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the source whose key is new are added."""
     return target.unionByName(source.join(target.select(*keys), keys, "left_anti").dropDuplicates(keys).select(target.columns))
@@ -37,10 +46,14 @@ def add_to_set(products: DataFrame, links: DataFrame, key: str, column: str) ->
 def upsert_offer_keys(offers: DataFrame, incoming: DataFrame, products: DataFrame) -> DataFrame:
     """Offers with incoming ones (sourceId, storeId, variantId, price), skipping those without a key part.
 
-    The product is resolved by (sourceId, storeId); older offers of that pair without a variant go.
+    The product is resolved by (sourceId, storeId), of several the one with the smallest id; older offers of that pair
+    without a variant go. Of incoming rows with equal keys the one with the lowest price counts.
     """
     usable = incoming.where("sourceId is not null and storeId is not null and variantId is not null")
-    resolved = usable.join(products.select("sourceId", "storeId", F.col("id").alias("productId")).dropDuplicates(["sourceId", "storeId"]), ["sourceId", "storeId"], "left")
+    rest = sorted((c for c in incoming.columns if c not in ("sourceId", "storeId", "variantId")), key=lambda c: (c != "price", c))
+    lowest = F.min(F.struct(*rest)).alias("r")
+    usable = usable.groupBy("sourceId", "storeId", "variantId").agg(lowest).select("sourceId", "storeId", "variantId", "r.*")
+    resolved = usable.join(products.groupBy("sourceId", "storeId").agg(F.min("id").alias("productId")), ["sourceId", "storeId"], "left")
     pairs = usable.select("sourceId", "storeId").distinct().withColumn("renewed", F.lit(True))
     kept = offers.join(pairs, ["sourceId", "storeId"], "left").where("not (coalesce(renewed, false) and variantId is null)").drop("renewed")
     old = kept.join(usable.select("sourceId", "storeId", "variantId"), ["sourceId", "storeId", "variantId"], "left_anti")
@@ -60,13 +73,16 @@ def array_element_patch(products: DataFrame, patches: DataFrame) -> DataFrame:
 SOURCE_ID_PATHS = ["$.id", "$.sku", "$.itemTypeSKU", "$.product_id", "$.variant_id"]
 
 
-def raw_archive(bronze: DataFrame, landed: DataFrame) -> DataFrame:
-    """Archive (platform, sourceId, payload) with landed payloads; the last payload of a key stays, keyless ones are all kept."""
+def raw_archive(bronze: DataFrame, landed: DataFrame, arrived: str | None = None) -> DataFrame:
+    """Archive (platform, sourceId, payload) with landed payloads; the last payload of a key stays, keyless ones are all kept.
+
+    Last is by the column ``arrived``, of equal times or without one the greatest text.
+    """
     key = F.coalesce(*[F.get_json_object("payload", path) for path in SOURCE_ID_PATHS])
-    new = landed.select("platform", key.alias("sourceId"), "payload")
-    keyed = new.where("sourceId is not null").groupBy("platform", "sourceId").agg(F.max("payload").alias("payload"))
+    new = landed.select("platform", key.alias("sourceId"), "payload", (F.col(arrived) if arrived else F.lit(None)).alias("at"))
+    keyed = new.where("sourceId is not null").groupBy("platform", "sourceId").agg(F.max(F.struct("at", "payload"))["payload"].alias("payload"))
     old = bronze.join(keyed.select("platform", "sourceId"), ["platform", "sourceId"], "left_anti")
-    return old.unionByName(keyed).unionByName(new.where("sourceId is null"))
+    return old.unionByName(keyed).unionByName(new.where("sourceId is null").drop("at"))
 
 
 def dead_letter_log(failed: DataFrame, new: DataFrame, resolved: DataFrame, as_of) -> DataFrame:

@@ -255,11 +255,15 @@ def er_block_join(spark, sf):
     return pairs.groupBy("block").agg(F.count("*").alias("pairs"))
 
 
-@query
-def accuracy_eval(spark, sf):
+def accuracy_labels(spark, sf):
     """Pairs of equal brand and title, expected to match, and pairs of neighbours, expected not to."""
     p = views.products(spark, sf).where("brand is not null and title is not null")
     same = p.groupBy("brand", "title").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b", F.lit(True).alias("expected"))
     key = F.col("sourceId").cast("long")
     next_to = p.where(key % 3 == 0).select(F.col("id").alias("a"), F.concat(F.lit("prod_"), (key + 1).cast("string")).alias("b"), F.lit(False).alias("expected"))
-    return R.accuracy_eval(same.unionByName(next_to), views.products(spark, sf))
+    return same.unionByName(next_to)
+
+
+@query
+def accuracy_eval(spark, sf):
+    return R.accuracy_eval(accuracy_labels(spark, sf), views.products(spark, sf))

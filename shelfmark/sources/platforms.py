@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.exprs import is_product_url, unescape
+
 # Shapes of the payloads (fixed by the platforms).
 SHOPIFY_NODE = (
     "id string, title string, description string, vendor string, productType string, status string, tags array<string>, createdAt string, updatedAt string, "
@@ -29,6 +31,7 @@ BIGCOMMERCE_ITEM = (
     "primary_image struct<url_standard: string, description: string>, images array<struct<url_standard: string, url_zoom: string>>, custom_fields array<struct<name: string, value: string>>, "
     "variants array<struct<id: long, sku: string, price: double, retail_price: double, inventory_level: long, image_url: string, option_values: array<struct<option_display_name: string, label: string>>>>"
 )
+SCHEMAS = {"shopify": SHOPIFY_NODE, "magento": MAGENTO_ITEM, "woocommerce": WOO_ITEM, "bigcommerce": BIGCOMMERCE_ITEM}
 SNAPSHOT = "itemTypeSKU string, facilityCode string, inventory string, blockedInventory string"
 
 
@@ -97,7 +100,33 @@ def scan_raw_replay(bronze: DataFrame, platform: str, schema: str) -> DataFrame:
 def scan_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """Distinct URLs of landed sitemap files."""
     locations = F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)
-    return spark.read.option("wholetext", "true").text(path).select(F.explode(locations).alias("url")).distinct()
+    return spark.read.text(path, wholetext=True).select(F.explode(locations).alias("url")).distinct()
+
+
+def scan_product_sitemaps(spark: SparkSession, path: str, start: list[str] | None = None) -> DataFrame:
+    """Distinct product URLs of landed sitemaps: XML lists of URLs, indexes of further sitemaps, or a URL a line.
+
+    With ``start``, names of files, only these and the sitemaps that they name count; an index's sitemaps are matched
+    with landed files by the last part of their URLs.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/?#]+)(?:[?#].*)?$", 1)
+    files = spark.read.text(path, wholetext=True).select(name(F.input_file_name()).alias("file"), F.col("value").alias("text"))
+    found = lambda parent: F.regexp_extract_all("text", F.lit(rf"(?is)<{parent}\b[^>]*>(?:(?!</{parent}>).)*?<loc>\s*([^<\s]+)\s*</loc>"), 1)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    is_xml = F.ltrim("text").startswith("<")
+    told = files.select("file", F.when(is_xml, found("url")).otherwise(lines).alias("urls"), F.when(is_xml, found("sitemap")).otherwise(F.array().cast("array<string>")).alias("maps"))
+    if start is not None:
+        own = told.where(F.col("file").isin(start))
+        named = own.select(F.explode("maps").alias("m")).select(name(F.col("m")).alias("file")).distinct()
+        told = own.unionByName(told.where(~F.col("file").isin(start)).join(named, "file", "left_semi"))
+    urls = told.select(F.explode("urls").alias("url")).select(unescape(F.col("url")).alias("url")).distinct()
+    return urls.where(is_product_url(F.col("url")))
+
+
+def empty_items(spark: SparkSession, platform: str, known: DataFrame) -> DataFrame:
+    """``known`` with the platform's other payload columns, all null."""
+    schema = spark.createDataFrame([], SCHEMAS[platform]).schema
+    return known.select(*[known[f.name] if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def latest_by(rows: DataFrame, key: str, order: Column) -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 KEYS = ["webhookId", "topic"]
 
 
-def stream_dedup(events: DataFrame) -> DataFrame:
+#: With the shop's platform and store, as one id may come from several.
+STORE_KEYS = ["webhookId", "platform", "topic", "storeId"]
+
+
+def stream_dedup(events: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The first event of each id and topic within 24 hours; events without an id are never dropped.
 
-    For a stream with the columns of KEYS and ts; state is kept for 24 hours.
+    For a stream with the columns of ``keys`` and ts; state is kept for 24 hours.
     """
-    known = events.where("webhookId is not null").withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(KEYS)
+    known = events.where("webhookId is not null").withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(keys)
     return known.unionByName(events.where("webhookId is null").withWatermark("ts", "24 hours"))
 
 
