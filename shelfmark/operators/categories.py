@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import exprs as X
+from shelfmark.sources.shared import stored
 
 
 def join_parent_category(categories: DataFrame) -> DataFrame:
@@ -28,15 +29,21 @@ def norm_shopify_categories(collections: DataFrame) -> DataFrame:
 
 
 def category_levels(categories: DataFrame) -> DataFrame:
-    """Depth of each category below a root, by recursion; null for one that no root leads to."""
-    spark = categories.sparkSession
-    found = spark.sql(
-        """WITH RECURSIVE tree(sourceId, level) AS (
-            SELECT sourceId, 0 FROM {c} WHERE parentSourceId IS NULL
-            UNION ALL SELECT k.sourceId, t.level + 1 FROM tree t JOIN {c} k ON k.parentSourceId = t.sourceId
-        ) SELECT sourceId, level FROM tree""",
-        c=categories,
-    )
+    """Depth of each category below a root; null for one that no root leads to, as in a cycle or below an unknown parent.
+
+    Every round doubles the steps that a row has gone up, so a tree of depth d takes log2(d) + 1 rounds.
+    """
+    steps = categories.select("sourceId", F.col("parentSourceId").alias("up"), F.when(F.col("parentSourceId").isNull(), 0).otherwise(1).alias("level"))
+    steps = stored(steps, "levels")
+    for _ in range(max(1, steps.count()).bit_length() + 1):
+        if steps.where("up is not null").isEmpty():
+            break
+        above = steps.select(F.col("sourceId").alias("up"), F.col("up").alias("upper"), F.col("level").alias("more"), F.lit(True).alias("known"))
+        joined = steps.where("level is not null").join(above, "up", "left")
+        lost = F.col("up").isNotNull() & (F.col("known").isNull() | F.col("more").isNull())
+        level = F.when(~lost, F.col("level") + F.when(F.col("up").isNull(), 0).otherwise(F.col("more")))
+        steps = stored(joined.select("sourceId", F.when(~lost, F.col("upper")).alias("up"), level.cast("int").alias("level")).unionByName(steps.where("level is null")), "levels")
+    found = steps.select("sourceId", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
     return categories.join(found, "sourceId", "left")
 
 
@@ -47,21 +54,19 @@ def norm_bigcommerce_categories(categories: DataFrame) -> DataFrame:
     return category_levels(categories.withColumn("parentSourceId", parent)).select("sourceId", "name", slug.alias("slug"), "parentSourceId", "level")
 
 
-def tree_schema(depth: int) -> str:
-    inner = "id: string, name: string" + (f", children_data: array<struct<{tree_schema(depth - 1)}>>" if depth > 1 else "")
-    return inner
-
-
-def norm_magento_categories(trees: DataFrame, depth: int = 6) -> DataFrame:
-    """Nodes of landed trees (column tree, JSON) below the root, with their parent and level; at most ``depth`` levels."""
-    node = trees.select(F.from_json("tree", f"struct<{tree_schema(depth)}>").alias("node")).select("node", F.lit(None).cast("string").alias("parentId"), F.lit(0).alias("level"))
-    found = None
-    for level in range(1, depth):
-        node = node.select(F.explode("node.children_data").alias("child"), F.col("node.id").alias("up"), "level").select(
-            F.col("child").alias("node"), F.when(F.col("level") > 0, F.col("up")).alias("parentId"), F.lit(level).alias("level")
-        )
-        rows = node.select(F.col("node.id").alias("sourceId"), F.col("node.name").alias("name"), "parentId", "level")
-        found = rows if found is None else found.unionByName(rows)
+def norm_magento_categories(trees: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes of landed trees (column tree, JSON) below the root, with their parent and level; all, or ``depth`` levels."""
+    node = F.from_json("tree", "id string, name string, children_data array<string>")
+    rows, found, level = trees.select(node.alias("node")), None, 0
+    while depth is None or level < depth:
+        level += 1
+        up = F.col("node.id") if level > 1 else F.lit(None).cast("string")
+        children = stored(rows.select(up.alias("parentId"), F.explode("node.children_data").alias("tree")), "nodes")
+        if children.isEmpty() and found is not None:
+            break
+        rows = children.select("parentId", node.alias("node"))
+        named = rows.select(F.col("node.id").alias("sourceId"), F.col("node.name").alias("name"), "parentId", F.lit(level).alias("level"))
+        found = named if found is None else found.unionByName(named)
     return found
 
 

@@ -17,10 +17,10 @@ from shelfmark.operators import upsert as U
 from shelfmark.plans import views
 from shelfmark.plans.catalog_queries import category_rows
 from shelfmark.plans.oracle import CONFLICT, ENTITY, FLAT, C, schema_issues
-from shelfmark.plans.payloads import shared_folder
 from shelfmark.plans.queries import canonical, flat, pick
 from shelfmark.plans.views_sql import sql
 from shelfmark.sources import platforms as P
+from shelfmark.sources.shared import shared_folder
 from shelfmark.sources.tables import table
 from shelfmark.streaming import events as E
 from shelfmark.streaming.queries import drained, webhook_stream

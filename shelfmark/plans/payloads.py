@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,12 @@ from pyspark.sql import functions as F
 from shelfmark.operators import normalize as N
 from shelfmark.plans import views
 from shelfmark.sources import platforms as P
+from shelfmark.sources.shared import shared_folder
 from shelfmark.sources.tables import table
 
 BASE_URL = "https://shop.example.com"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="landed-")
-
-
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     """(platform, sourceId, payload): every product as a payload of each platform."""
     p = views.products(spark, sf).withColumn("k", F.col("sourceId").cast("long"))
