@@ -57,7 +57,7 @@ ROWS = 1000
 #: Shingles that are counted, or listed, together.
 GROUP_SHINGLES = 8_000_000
 #: Bits by which shingles of a group are told apart while they are counted; the mark of a long step between two of them.
-COUNTED_BITS, LONG_STEP = 26, 0xFFFF
+COUNTED_BITS, LONG_STEP = 25, 0xFFFF
 #: Sets and shingles of a block of a component, on average at most, and entries of a block of a list.
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_ENTRIES = 1000, 200_000, 2000
 #: Shingles that are compared at once.
@@ -65,7 +65,7 @@ BLOCK_COLUMNS = 4096
 #: Start value of a set's second hash (any would do).
 SECOND = 0x5851F42D4C957F2D
 #: Shingles that are dealt out together while they are counted.
-DEALT = 1_000_000
+DEALT = 700_000
 
 
 class SetIds:
