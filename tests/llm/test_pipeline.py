@@ -51,3 +51,21 @@ def test_toxicity_of_held_out_documents(spark):
     clean = [found[i] for i, t in told.items() if not t]
     # About one toxic label in twelve is of a document without any telling word.
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+CLASH = "doc_id long, text string, lang string, a string, z string, score string, label int, fold int, h int"
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, tables):
+    """Filtering stages keep columns, nulls' rows and repeated rows; empty tables stay empty."""
+    kept = "The old mill stood by the river, and the children walked there after school. They came home late."
+    rows = [(1, kept), (1, kept), (2, kept + " It rained."), (None, "A letter came on Monday morning, and everyone read it twice."), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*row, *[None] * 7) for row in rows], CLASH)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "2", "3", "4", "None"]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(str(p.doc_id) for p in pieces) == ["1", "1", "2", "3", "4", "None"]
