@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Labels for the classifiers come from ``sf_dir``; the
 near-duplicate stage keeps the document with the smallest id of each component, and its repeated rows.
+
+Defined results: null and empty texts get what the classifiers say of an empty text, are no one's near duplicates, and
+pack as the end id; rows without an id are judged by their text, and stay in the near-duplicate stage; rows that repeat
+are judged alike and all stay or go; of an id with several texts, all go if one is a copy of a smaller id's; without
+labels nothing is toxic, and every line is as likely good as bad; empty tables stay empty; extra columns, whatever their
+names, are carried along.
 """
 
 from __future__ import annotations
