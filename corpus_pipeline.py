@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.llm.jaccard_join import similar_sets
 from shelfmark.llm.line_crf import filter_quality
