@@ -88,7 +88,7 @@ def product_links(pages: DataFrame) -> DataFrame:
 def store_discover(pages: DataFrame, stores: DataFrame) -> DataFrame:
     """A new store for every domain that no store has."""
     found = pages.select(domain_of(F.col("url")).alias("domain")).where("domain <> ''").groupBy("domain").agg(F.count("*").alias("pages"))
-    return found.join(stores.select("domain"), "domain", "left_anti").withColumn("id", F.concat(F.lit("store_"), F.substring(F.sha2("domain", 256), 1, 16)))
+    return found.join(stores.select("domain"), "domain", "left_anti").withColumn("id", X.store_id_hash(F.col("domain")))
 
 
 FIELDS = ("title", "price", "currency", "brand", "description", "category", "sku", "availability", "images")

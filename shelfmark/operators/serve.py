@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions import exprs as X
-
 
 def filter_products(canonical: DataFrame, category: str | None = None, brand: str | None = None, platform: str | None = None) -> DataFrame:
     """Category equal, brand equal but for case, platform among the sources."""

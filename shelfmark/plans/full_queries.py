@@ -16,7 +16,7 @@ from shelfmark.operators import survive as S
 from shelfmark.operators import upsert as U
 from shelfmark.plans import views
 from shelfmark.plans.catalog_queries import category_rows
-from shelfmark.plans.oracle import CONFLICT, ENTITY, FLAT, C, schema_issues
+from shelfmark.plans.oracle import CLEAN_HTML, CONFLICT, ENTITY, FLAT, C, schema_issues
 from shelfmark.plans.queries import canonical, flat, pick
 from shelfmark.plans.views_sql import sql
 from shelfmark.sources import platforms as P
@@ -298,6 +298,16 @@ def scan_product_sitemaps(spark, sf):
     return P.scan_product_sitemaps(spark, f"{path}/*", start)
 
 
+WHOLE_HTML = CLEAN_HTML.removeprefix("substr(").removesuffix(", 1, 15000)").replace("(html,", "(repeat(html, 8),")
+
+
+@query(f"SELECT page_id, CAST(length({WHOLE_HTML}) AS INTEGER) AS n, md5({WHOLE_HTML}) AS digest FROM pages")
+def html_clean_whole(spark, sf):
+    """Long pages, cleaned and not cut."""
+    pages = table(spark, sf, "pages").select("page_id", F.repeat("html", F.lit(8)).alias("html"))
+    return G.html_clean(pages, None).select("page_id", F.length("html").alias("n"), F.md5("html").alias("digest"))
+
+
 def listing_pages(spark, sf):
     """Pages of listings whose next page is told in one of five ways, or not at all."""
     k = F.col("page_id")

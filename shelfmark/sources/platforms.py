@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.exprs import is_product_url, unescape
@@ -127,8 +127,3 @@ def empty_items(spark: SparkSession, platform: str, known: DataFrame) -> DataFra
     """``known`` with the platform's other payload columns, all null."""
     schema = spark.createDataFrame([], SCHEMAS[platform]).schema
     return known.select(*[known[f.name] if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-
-
-def latest_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where("_r = 1").drop("_r")
