@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import exprs as X
+from shelfmark.functions import html as H
 
 #: Hosts below which every shop has its own name (fixed values).
 PLATFORM_HOSTS = ["myshopify.com", "mybigcommerce.com"]
@@ -43,9 +44,7 @@ def platform_detect(pages: DataFrame) -> DataFrame:
 
 def html_clean(pages: DataFrame, keep: int | None = 15_000) -> DataFrame:
     """Pages without comments, scripts, styles, navigation and event attributes, cut to ``keep`` characters (None: whole)."""
-    html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    html = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|iframe|noscript)\b[^>]*>.*?</(?:script|style|nav|footer|header|iframe|noscript)>", "")
-    html = F.regexp_replace(html, r"""(?i)\s(?:on[a-z]+|style)=(?:"[^"]*"|'[^']*')""", "")
+    html = H.cleaned(F.col("html"))
     return pages.select("page_id", (html if keep is None else F.substring(html, 1, keep)).alias("html"))
 
 
@@ -62,20 +61,15 @@ def absolute(href: Column, url: Column) -> Column:
     )
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute of a tag, in double, single or no quotes; null if it is missing or empty."""
-    groups = [F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i) for i in (1, 2, 3)]
-    return X.unescape(F.nullif(F.trim(F.concat(*groups)), F.lit("")))
-
-
-def tags(html: Column, name: str) -> Column:
-    """The opening tags of a kind, in order."""
-    return F.regexp_extract_all(html, F.lit(rf"""(?is)(<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), 1)
+def attribute(element: Column, name: str) -> Column:
+    """An attribute of one of a page's elements; null if it is missing or empty."""
+    return X.unescape(F.nullif(F.trim(element[name]), F.lit("")))
 
 
 def link_extract(pages: DataFrame) -> DataFrame:
     """Distinct links of each page to its own host, made absolute."""
-    links = pages.select("page_id", "url", F.explode(F.transform(tags(F.col("html"), "a"), lambda tag: attribute(tag, "href"))).alias("href"))
+    hrefs = F.transform(H.of_kind(H.elements(F.col("html")), "a"), lambda a: attribute(a, "href"))
+    links = pages.select("page_id", "url", F.explode(hrefs).alias("href"))
     linked = links.select("page_id", "url", absolute(F.col("href"), F.col("url")).alias("link")).where("link is not null")
     return linked.where(host_of(F.col("link")) == host_of(F.col("url"))).select("page_id", "link").distinct()
 
@@ -100,27 +94,62 @@ def meta_tag(metas: Column, *names: str) -> Column:
     return F.coalesce(*[first(name, key) for name in names for key in ("property", "name")])
 
 
-def priced(row: DataFrame) -> DataFrame:
-    """``row`` with its price text as an amount, and the currency that is named, else that of the text."""
-    said = X.price_normalize(F.col("price"))
-    return (
-        row.withColumn("currency", F.when(said["amount"].isNotNull(), F.coalesce("currency", said["currency"])))
-        .withColumn("price", said["amount"]).withColumn("availability", X.availability_normalize(F.col("availability")))
-        .select("page_id", *FIELDS)
-    )
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once each; otherwise they would be written out wherever they are named."""
+    own = [c for c in rows.columns if c not in columns]
+    made = rows.select(*own, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
+    return made.select(*own, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
+def priced(rows: DataFrame, *ways: str) -> DataFrame:
+    """``rows`` whose structs of FIELDS have the price text as an amount, and the currency that is named, else that of the text."""
+    rows = computed(rows, **{f"_{way}": X.price_normalize(F.col(f"{way}.price")) for way in ways})
+
+    def read(way: str) -> Column:
+        row, said = F.col(way), F.col(f"_{way}")
+        new = {
+            "price": said["amount"], "currency": F.when(said["amount"].isNotNull(), F.coalesce(row["currency"], said["currency"])),
+            "availability": X.availability_normalize(row["availability"]),
+        }
+        return F.struct(*[new.get(f, row[f]).alias(f) for f in FIELDS])
+
+    return computed(rows, **{way: read(way) for way in ways}).drop(*[f"_{way}" for way in ways])
+
+
+def fields(**given: Column) -> Column:
+    """A struct of FIELDS as found, unnamed ones null."""
+    none = {f: F.lit(None).cast("array<string>" if f == "images" else "string") for f in FIELDS}
+    return F.struct(*[given.get(f, none[f]).alias(f) for f in FIELDS])
+
+
+def opengraph_struct(found: Column) -> Column:
+    """The OpenGraph fields among a page's elements."""
+
+    def read(metas: Column) -> Column:
+        image = meta_tag(metas, "og:image")
+        return fields(
+            title=meta_tag(metas, "og:title"), price=meta_tag(metas, "product:price:amount", "og:price:amount"),
+            currency=meta_tag(metas, "product:price:currency", "og:price:currency"), brand=meta_tag(metas, "product:brand"),
+            description=meta_tag(metas, "og:description"), availability=meta_tag(metas, "product:availability", "og:availability"),
+            images=F.when(image.isNotNull(), F.array(image)),
+        )
+
+    described = lambda t: F.struct(*[attribute(t, a).alias(a) for a in ("property", "name", "content")])
+    return let(F.transform(H.of_kind(found, "meta"), described), read)
+
+
+def _flat(pages: DataFrame, found: Column) -> DataFrame:
+    return priced(computed(pages, _p=found).select("page_id", F.col("_p").alias("product")), "product").select("page_id", "product.*")
 
 
 def opengraph_fields(pages: DataFrame) -> DataFrame:
-    described = lambda tag: F.struct(*[attribute(tag, a).alias(a) for a in ("property", "name", "content")])
-    row = pages.select("page_id", F.transform(tags(F.col("html"), "meta"), described).alias("m"))
-    m, none = F.col("m"), F.lit(None).cast("string")
-    image = meta_tag(m, "og:image")
-    return priced(row.select(
-        "page_id", meta_tag(m, "og:title").alias("title"), meta_tag(m, "product:price:amount", "og:price:amount").alias("price"),
-        meta_tag(m, "product:price:currency", "og:price:currency").alias("currency"), meta_tag(m, "product:brand").alias("brand"),
-        meta_tag(m, "og:description").alias("description"), none.alias("category"), none.alias("sku"),
-        meta_tag(m, "product:availability", "og:availability").alias("availability"), F.when(image.isNotNull(), F.array(image)).alias("images"),
-    ))
+    found = pages.select("page_id", H.elements(F.col("html")).alias("el"))
+    return _flat(found, opengraph_struct(F.col("el")))
 
 
 def extract_opengraph(pages: DataFrame) -> DataFrame:
@@ -138,10 +167,10 @@ def json_text(body: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(body, path)), F.lit("")) for path in paths])
 
 
-def jsonld_product(html: Column) -> Column:
+def jsonld_product(found: Column) -> Column:
     """The first product, as JSON text, of a page's JSON-LD scripts: an object, a list's entry or one of a graph."""
-    bodies = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), 1)
-    bodies = F.filter(F.transform(bodies, lambda b: F.trim(b)), lambda b: F.try_parse_json(b).isNotNull())
+    bodies = F.transform(H.of_kind(found, "script"), lambda e: F.trim(e["text"]))
+    bodies = F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
     entries = F.flatten(F.transform(bodies, json_entries))
     for _ in range(2):  # a graph's entries may be lists or graphs themselves
         inner = lambda e: F.coalesce(json_entries(F.get_json_object(e, "$['@graph']")), F.array().cast("array<string>"))
@@ -150,22 +179,31 @@ def jsonld_product(html: Column) -> Column:
     return F.get(F.filter(entries, lambda e: F.coalesce(F.array_contains(kinds(e), "product"), F.lit(False))), 0)
 
 
+def jsonld_struct(found: Column) -> Column:
+    """The fields of the JSON-LD product among a page's elements."""
+
+    def read(p: Column, o: Column, brand: Column, images: Column) -> Column:
+        return fields(
+            title=F.get_json_object(p, "$.name"), price=json_text(o, "$.price", "$.priceSpecification.price"),
+            currency=json_text(o, "$.priceCurrency", "$.priceSpecification.priceCurrency"),
+            brand=F.when(brand.startswith("{"), F.get_json_object(p, "$.brand.name")).when(~brand.startswith("["), brand),
+            description=json_text(p, "$.description"), category=json_text(p, "$.category"), sku=F.coalesce(json_text(p, "$.sku"), json_text(o, "$.sku"), json_text(p, "$.productID")),
+            availability=F.coalesce(json_text(o, "$.availability"), json_text(p, "$.availability")),
+            images=F.array_distinct(F.filter(images, lambda i: i.isNotNull() & (i != ""))),
+        )
+
+    def parts(p: Column) -> Column:
+        images = let(json_text(p, "$.image", "$.images"), json_entries)
+        located = F.transform(images, lambda i: F.trim(F.when(F.ltrim(i).startswith("{"), F.get_json_object(i, "$.url")).otherwise(i)))
+        offer = F.get(let(F.get_json_object(p, "$.offers"), json_entries), 0)
+        return F.struct(offer.alias("o"), F.get_json_object(p, "$.brand").alias("b"), located.alias("i"))
+
+    return let(jsonld_product(found), lambda p: let(parts(p), lambda x: read(p, x["o"], x["b"], x["i"])))
+
+
 def jsonld_fields(pages: DataFrame) -> DataFrame:
-    row = pages.select("page_id", jsonld_product(F.col("html")).alias("p"))
-    p = F.col("p")
-    offer = F.get(json_entries(F.get_json_object(p, "$.offers")), 0)
-    brand = F.get_json_object(p, "$.brand")
-    images = json_entries(json_text(p, "$.image", "$.images"))
-    located = F.transform(images, lambda i: F.trim(F.when(F.ltrim(i).startswith("{"), F.get_json_object(i, "$.url")).otherwise(i)))
-    return priced(row.select("page_id", "p", offer.alias("o"), brand.alias("b"), located.alias("i")).select(
-        "page_id", F.get_json_object(p, "$.name").alias("title"), json_text(F.col("o"), "$.price", "$.priceSpecification.price").alias("price"),
-        json_text(F.col("o"), "$.priceCurrency", "$.priceSpecification.priceCurrency").alias("currency"),
-        F.when(F.col("b").startswith("{"), F.get_json_object(p, "$.brand.name")).when(~F.col("b").startswith("["), F.col("b")).alias("brand"),
-        json_text(p, "$.description").alias("description"), json_text(p, "$.category").alias("category"),
-        F.coalesce(json_text(p, "$.sku"), json_text(F.col("o"), "$.sku"), json_text(p, "$.productID")).alias("sku"),
-        F.coalesce(json_text(F.col("o"), "$.availability"), json_text(p, "$.availability")).alias("availability"),
-        F.array_distinct(F.filter("i", lambda i: i.isNotNull() & (i != ""))).alias("images"),
-    ))
+    found = pages.select("page_id", H.elements(F.col("html")).alias("el"))
+    return _flat(found, jsonld_struct(F.col("el")))
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
@@ -173,33 +211,53 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     return jsonld_fields(pages).select("page_id", "title", "price", "currency", "brand")
 
 
+#: Rules up to this number are broadcast; more are joined by domain.
+FEW_RULES = 100_000
+RULED = ("title", "price", "availability", "images")
+
+
+def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pages`` (with url and html) and a column rules, the fields that the rules of each page's domain find.
+
+    ``rules``: domain, field, pattern with one group; of several values for a field the smallest counts. One row holds all
+    rules of a domain, so no page is repeated.
+    """
+    of = lambda f: F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("pattern")))).alias(f)
+    by_domain = rules.groupBy("domain").agg(*[of(f) for f in RULED]).select("domain", F.struct(*RULED).alias("patterns"))
+    by_domain = F.broadcast(by_domain) if rules.limit(FEW_RULES + 1).count() <= FEW_RULES else by_domain
+    joined = pages.withColumn("domain", domain_of(F.col("url"))).join(by_domain, "domain", "left")
+    value = lambda f: F.array_min(F.expr(f"transform(patterns.{f}, p -> nullif(regexp_extract(html, p, 1), ''))"))
+    image = value("images")
+    found = fields(title=value("title"), price=value("price"), availability=value("availability"), images=F.when(image.isNotNull(), F.array(image)))
+    return computed(joined, rules=found).select(*pages.columns, "rules")
+
+
 def rule_fields(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fields by the rules of each page's domain (see ``extract_domain_rules``)."""
-    found = extract_domain_rules(pages, rules).groupBy("page_id")
-    one = lambda f: F.min(F.when(F.col("field") == f, F.col("value"))).alias(f)
-    row = found.agg(*[one(f) for f in ("title", "price", "availability", "images")])
-    none = [F.lit(None).cast("string").alias(f) for f in ("currency", "brand", "description", "category", "sku")]
-    return priced(row.select("page_id", "title", "price", "availability", F.when(F.col("images").isNotNull(), F.array("images")).alias("images"), *none))
+    """Fields by the rules of each page's domain (see ``with_rules``), for pages of which a rule finds something."""
+    found = with_rules(pages.select("page_id", "url", "html"), rules)
+    return _flat(found.where(" or ".join(f"rules.{f} is not null" for f in RULED)), F.col("rules"))
 
 
-def likely(product: str) -> Column:
+def likely(product: Column) -> Column:
     """Whether extracted fields look like a product: a price, and a title that is no general phrase."""
-    plain = lambda f: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"{product}.{f}"), F.lit(""))), r"\s+", " "))
-    general = F.lit(False)
-    for field in ("title", "description"):
-        for phrase in X.GENERIC_PHRASES:
-            general = general | F.contains(plain(field), F.lit(phrase))
-    return F.coalesce((F.length(plain("title")) >= 5) & ~general & F.col(f"{product}.price").isNotNull(), F.lit(False))
+    plain = lambda f: F.trim(F.regexp_replace(F.lower(F.coalesce(product[f], F.lit(""))), r"\s+", " "))
+    general = lambda text: F.exists(F.array(*[F.lit(p) for p in X.GENERIC_PHRASES]), lambda p: F.contains(text, p))
+    named = let(plain("title"), lambda text: (F.length(text) >= 5) & ~general(text))
+    return F.coalesce(product["price"].isNotNull() & named & ~let(plain("description"), general), F.lit(False))
 
 
 def extract_cascade(pages: DataFrame, rules: DataFrame | None = None, fields: tuple[str, ...] = FIELDS[:4]) -> DataFrame:
-    """Per page the first likely product of JSON-LD, OpenGraph and the domain's rules; pages without one are left out."""
-    named = lambda df, s: df.select("page_id", F.struct(*FIELDS).alias(s))
-    all_, ways = named(jsonld_fields(pages), "jsonld").join(named(opengraph_fields(pages), "opengraph"), "page_id"), ["jsonld", "opengraph"]
+    """Per page the first likely product of JSON-LD, OpenGraph and the domain's rules; pages without one are left out.
+
+    All three are found in one pass over the rows, so repeated pages give a row each.
+    """
+    row, ways = pages.select("page_id", "html", *(["url"] if rules is not None else [])), ["jsonld", "opengraph"]
     if rules is not None:
-        all_, ways = all_.join(named(rule_fields(pages, rules), "rules"), "page_id", "left"), [*ways, "rules"]
-    chosen = F.coalesce(*[F.when(likely(way), F.struct(F.lit(way).alias("via"), *[F.col(f"{way}.{f}").alias(f) for f in fields])) for way in ways])
-    return all_.select("page_id", chosen.alias("c")).where("c is not null").select("page_id", "c.*")
+        row, ways = with_rules(row, rules), [*ways, "rules"]
+    row = row.select("page_id", H.elements(F.col("html")).alias("el"), *ways[2:])
+    row = priced(computed(row, jsonld=jsonld_struct(F.col("el")), opengraph=opengraph_struct(F.col("el"))), *ways)
+    chosen = F.coalesce(*[F.when(likely(F.col(way)), F.struct(F.lit(way).alias("via"), *[F.col(f"{way}.{f}").alias(f) for f in fields])) for way in ways])
+    return computed(row, c=chosen).where("c is not null").select("page_id", "c.*")
 
 
 def extraction_coverage(extracted: DataFrame) -> DataFrame:
@@ -225,15 +283,15 @@ def next_page(pages: DataFrame) -> DataFrame:
     In this order: a rel=next link, a link whose text says next, the page number of the query plus one, that of the
     path, and the link after the current one of a numbered pager.
     """
-    h, url = F.col("html"), F.col("url")
-    with_rel = lambda kind: F.get(F.filter(tags(h, kind), lambda t: F.lower(attribute(t, "rel")) == "next"), 0)
+    url, el = F.col("url"), F.col("el")
+    found = pages.select("page_id", "url", H.elements(F.col("html")).alias("el"))
+    with_rel = lambda kind: F.get(F.filter(H.of_kind(el, kind), lambda t: F.lower(attribute(t, "rel")) == "next"), 0)
     rel = absolute(F.coalesce(attribute(with_rel("link"), "href"), attribute(with_rel("a"), "href")), url)
-    anchors = F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
-    links = F.transform(anchors, lambda a: F.struct(
-        X.unescape(X.strip_tags(a)).alias("text"), attribute(a, "href").alias("href"),
-        ((F.coalesce(attribute(a, "aria-current"), F.lit("")) == "page") | F.coalesce(attribute(a, "class"), F.lit("")).rlike(r"(?i)(^|\s)(active|current)(\s|$)")).alias("current"),
+    links = F.transform(H.of_kind(el, "a"), lambda a: F.struct(
+        X.unescape(a["text"]).alias("text"), attribute(a, "href").alias("href"),
+        ((F.coalesce(attribute(a, "current"), F.lit("")) == "page") | F.coalesce(attribute(a, "class"), F.lit("")).rlike(r"(?i)(^|\s)(active|current)(\s|$)")).alias("current"),
     ))
-    row = pages.select("page_id", "url", rel.alias("rel"), F.filter(links, lambda a: a["href"].isNotNull()).alias("links"))
+    row = found.select("page_id", "url", rel.alias("rel"), F.filter(links, lambda a: a["href"].isNotNull()).alias("links"))
     said = F.filter("links", lambda a: F.lower(a["text"]).rlike(X.NEXT_TEXT))
     by_text = absolute(F.try_element_at(said, F.lit(-1))["href"], url)
     number = F.nullif(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1), F.lit(""))
