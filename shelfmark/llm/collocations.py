@@ -35,12 +35,14 @@ from shelfmark.llm.word_blocks import coded_blocks, language_sizes, packed, powe
 WORDS, LEAST, FIRST, SCALE, SHARE = 4, 30, 2000, 2_000_000, 80
 #: Phrases in a portion, and places in its arrays (12 bytes each).
 PORTION, PLACES = 500_000, 1 << 24
-#: Counted keys that a task holds before it adds equal ones up, and keys that a part of the sums has, about.
-HELD, PART_KEYS = 1 << 22, 1 << 21
+#: Counted keys that a task holds before it hands them on, and words of the texts for each part of the sums.
+HELD, PART_WORDS = 1 << 20, 1 << 21
+#: Phrases whose counts are added up in one array.
+SLICE = 1 << 14
 
 
 class _Counts:
-    """Counts by 64-bit key, added up whenever many are held."""
+    """Counts by 64-bit key of one block or a few; whoever fills it takes them out once it is ``full``."""
 
     def __init__(self):
         self.keys, self.counts, self.size = [], [], 0
@@ -50,16 +52,18 @@ class _Counts:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
-        if self.size > HELD:
-            self.whole()
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > 1:
-            keys, inside = np.unique(np.concatenate(self.keys), return_inverse=True)
-            counts = np.bincount(inside, np.concatenate(self.counts), len(keys)).astype(np.int64)
-            # What is held after adding up may fill most of the room; the next time comes when as much again is held.
-            self.keys, self.counts, self.size = [keys], [counts], min(len(keys), HELD // 2)
-        return (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    @property
+    def full(self) -> bool:
+        return self.size > HELD
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = self.keys, self.counts
+        self.__init__()
+        if len(keys) < 2:
+            return (keys[0], counts[0]) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held, inside = np.unique(np.concatenate(keys), return_inverse=True)
+        return held, np.bincount(inside, np.concatenate(counts), len(held)).astype(np.int64)
 
 
 def portions(phrases: DataFrame, width: int) -> Iterator[tuple[np.ndarray, DoubleArray]]:
@@ -88,7 +92,18 @@ def candidates(coded: DataFrame, before: DataFrame | None, k: int, least: int, n
     """Phrases of ``k`` words (column p) that stand ``least`` times or more; ``before``: those of k - 1 words (None for 2)."""
     spark = coded.sparkSession
 
-    def counted(shared, n_parts: int):
+    def dealt_counts(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (mixed(keys) % np.uint64(n_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(n_parts + 1))
+        for p, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                own = order[a:b]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([p], pa.int32()), "keys": [packed(keys[own], np.int64)], "counts": [packed(np.minimum(n[own], least), np.int32)],
+                })
+
+    def counted(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, trie = _Counts(), shared.value[1] if shared else None
             whole = shared.value[2] if shared else True
@@ -109,16 +124,9 @@ def candidates(coded: DataFrame, before: DataFrame | None, k: int, least: int, n
                     fits &= accepted[at + 1] >= 0
                 at = at[fits]
                 counts.add(accepted[at].astype(np.int64) << 32 | codes[at + k - 1])
-            keys, n = counts.whole()
-            part = (mixed(keys) % np.uint64(n_parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-            for p, (a, b) in enumerate(zip(edges, edges[1:])):
-                if b > a:
-                    own = order[a:b]
-                    yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([p], pa.int32()), "keys": [packed(keys[own], np.int64)], "counts": [packed(np.minimum(n[own], least), np.int32)],
-                    })
+                if counts.full:
+                    yield from dealt_counts(*counts.take())
+            yield from dealt_counts(*counts.take())
 
         return run
 
@@ -148,7 +156,7 @@ def candidates(coded: DataFrame, before: DataFrame | None, k: int, least: int, n
         return run
 
     def level(shared) -> DataFrame:
-        each = coded.mapInArrow(counted(shared, n_parts), "part int, keys binary, counts binary")
+        each = coded.mapInArrow(counted(shared), "part int, keys binary, counts binary")
         dealt = each.repartition(n_parts, "part").sortWithinPartitions("part")
         return stored(dealt.mapInArrow(summed(shared), "p array<int>"), f"phrases{k}")
 
@@ -185,18 +193,43 @@ def occurrences(coded: DataFrame, phrases: DataFrame, width: int) -> DataFrame:
                 stop = len(codes) - batch.column("tail")[0].as_py()
                 for at, found in trie.walk(codes, width):
                     n += np.bincount(found[(found >= 0) & (at < stop)], minlength=len(rows))
+            for number, a in enumerate(range(0, len(n), SLICE)):
+                if len(seen := np.flatnonzero(n[a : a + SLICE])):  # no more than the positions of the task's texts
+                    yield pa.RecordBatch.from_pydict({
+                        "slice": pa.array([number], pa.int32()), "seen": [packed(seen, np.int32)], "n": [packed(n[a : a + SLICE][seen], np.int64)],
+                    })
+
+        return run
+
+    def adding(shared):
+        def added(number: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rows = shared.value[0][number * SLICE : number * SLICE + SLICE]
             seen = np.flatnonzero(n)
             for a in range(0, len(seen), 10_000):
                 own = seen[a : a + 10_000]
                 p = [[w for w in row if w] for row in rows[own].tolist()]
-                yield pa.RecordBatch.from_pydict({"p": pa.array(p, pa.list_(pa.int32())), "n": pa.array(n[own], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"p": pa.array(p, pa.list_(pa.int32())), "a": pa.array(n[own], pa.int64())})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, n = None, None
+            for batch in parts(batches, 16):
+                for row in batch.to_pylist():
+                    if row["slice"] != now:
+                        if now is not None:
+                            yield from added(now, n)
+                        now, n = row["slice"], np.zeros(SLICE, np.int64)
+                    n[np.frombuffer(row["seen"], np.int32)] += np.frombuffer(row["n"], np.int64)
+            if now is not None:
+                yield from added(now, n)
 
         return run
 
     found = None
     for rows, trie in portions(phrases, width):
         shared = spark.sparkContext.broadcast((rows, trie))
-        one = stored(coded.mapInArrow(counting(shared), "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("a")), "occurrences")
+        shards = coded.mapInArrow(counting(shared), "slice int, seen binary, n binary")
+        dealt = shards.repartition(-(-len(rows) // SLICE), "slice").sortWithinPartitions("slice")
+        one = stored(dealt.mapInArrow(adding(shared), "p array<int>, a long"), "occurrences")
         shared.destroy()
         found = one if found is None else found.unionByName(one)
     return phrases.select("p", F.lit(0).cast("long").alias("a")).limit(0) if found is None else found
@@ -215,7 +248,7 @@ def mine_collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, f
     sizes = language_sizes(blocks)
     vocabulary, coded = coded_blocks(blocks, least)
     total = coded.agg(F.sum(F.length("codes") / 4)).first()[0] or 0
-    n_parts = max(32, power_of_two(total / PART_KEYS, 1 << 16))
+    n_parts = max(32, power_of_two(total / PART_WORDS, 1 << 16))
     found, before = None, None
     for k in range(2, words + 1):
         before = candidates(coded, before, k, least, n_parts)

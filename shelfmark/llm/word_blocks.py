@@ -1,6 +1,6 @@
 """Texts as blocks of word codes: tokenised once, with a vocabulary of the words that are frequent in their language.
 
-Words are hashed with their language by 63 bits (two of 10^7 different words share these with a chance of one in 10^5). A block holds a million words or so: numbers into its own list of distinct words, 0 for the end of a piece. The
+Words are hashed with their language by 63 bits (two of 10^7 different words share these with a chance of one in 10^5). A block holds half a million words or so: numbers into its own list of distinct words, 0 for the end of a piece. The
 lists, not the words, are dealt out by hash; who holds a part of the hashes counts them, keeps those with enough
 occurrences, numbers them, and answers each block with the numbers of its words. So neither the vocabulary nor any other
 table that grows with the corpus is broadcast.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import parts, small_batches
+from shelfmark.llm.batches import light_batches, parts, small_batches
 from shelfmark.llm.shared import stored
 from shelfmark.llm.shingles import LOWER, SEED, _byte_values, _powers, mix
 
@@ -25,7 +25,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Words in a block, bytes hashed at a time, and distinct words of blocks that a task counts at a time.
-BLOCK_WORDS, CHUNK, PART_WORDS = 1 << 20, 1 << 20, 1 << 20
+BLOCK_WORDS, CHUNK, PART_WORDS = 1 << 19, 1 << 20, 1 << 20
 #: Entries of a block that the next one repeats where a text goes on, so that phrases across the cut start once.
 OVERLAP = 3
 BLOCK_SCHEMA = (
@@ -161,6 +161,7 @@ def lang_salt(lang: str) -> np.uint64:
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of the lower-cased words of all texts, stored (see the module)."""
     small_batches(docs.sparkSession)
+    light_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
