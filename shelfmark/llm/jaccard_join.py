@@ -28,9 +28,9 @@ Shingles and words are hashed by 64 bits. Sets are told apart by 64 bits, too, a
 another set by another 64.
 
 Defined results: a text without words, or null, has no shingles and is its own component; a text of fewer words than a
-shingle has one shingle, all of it; repeated rows are one set and each get a row; a null id is no candidate for a
-component's smallest id, and its text links with different ones only if another row with an id has it; an empty table
-gives an empty result; extra columns are ignored.
+shingle has one shingle, all of it; repeated rows are one set and each get a row; documents without an id link
+like others, but a null is no candidate for a component's smallest id, which is null where no document has one; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -317,7 +317,7 @@ def index_lists(docs: DataFrame, order: Order, words: int, percent: int, set_ids
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """``docs`` with their text as zstd bytes z, for the way through a shuffle."""
+    """The keys of ``docs`` and their text as zstd bytes z, for the way through a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -325,9 +325,9 @@ def compressed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in parts(batches, ROWS):
             z = [pack.compress(t.encode()) if t is not None else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(z, pa.binary())], names=["key", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.mapInArrow(run, "key long, z binary")
 
 
 def sets_of(packed: list[bytes], words: int) -> list[np.ndarray]:
@@ -480,20 +480,20 @@ def near(percent: int, a: str, b: str) -> Column:
 
 
 def described(docs: DataFrame, words: int, set_ids: SetIds) -> DataFrame:
-    """doc_id, the size of its set, the set's id and second id (null without shingles)."""
+    """doc_id, key, the size of its set, the set's id and second id (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, ROWS):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             numbers = [(len(s), set_ids(s), set_ids.second(s)) if len(s) else (0, None, None) for s in sets]
             columns = [pa.array(c, pa.int64()) for c in zip(*numbers)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "a", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], names=["doc_id", "key", "n_shingles", "a", "second"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, n_shingles long, a long, second long"), "sets")
+    return stored(docs.mapInArrow(run, "doc_id long, key long, n_shingles long, a long, second long"), "sets")
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, hot: list[int], words: int, set_ids: SetIds) -> DataFrame:
-    """a, z: the compressed text of each set of ``chosen`` (a, doc_id); a set may come more than once."""
+    """a, z: the compressed text of each set of ``chosen`` (a, key); a set may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows that repeat an id
@@ -505,7 +505,7 @@ def texts_of(docs: DataFrame, chosen: DataFrame, hot: list[int], words: int, set
                     same.append(i)
             yield batch.select(["a", "z"]).take(pa.array(same, pa.int64()))
 
-    joined = join_one(compressed(docs).where("z is not null"), chosen.hint("merge"), "doc_id", hot=hot)
+    joined = join_one(compressed(docs).where("z is not null"), chosen.hint("merge"), "key", hot=hot)
     return stored(joined.select("a", "z").mapInArrow(run, "a long, z binary"), "texts")
 
 
@@ -515,7 +515,8 @@ def similar_sets(
     """doc_id, n_shingles, component_id and n_links (how many different sets the document's set links with)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Texts are looked up by key: the id, or without one a hash of the text. Two texts of a key are told apart by their sets.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
     base = described(docs, words, SetIds(id_bits))
     twins = base.groupBy("a").agg(F.min("second").alias("s"), F.max("second").alias("t")).where("s <> t").select("a").collect()
     set_ids = SetIds(id_bits, frozenset(row.a for row in twins))  # a few in 10**10
@@ -561,9 +562,10 @@ def similar_sets(
 
     # The texts of all sets that may be compared.
     asked = first.select(F.col("x").alias("a")).unionByName(first.select(F.col("y").alias("a"))).unionByName(rows.select(F.col("x").alias("a"))).distinct()
-    owners = stored(base.where("doc_id is not null and a is not null").groupBy("a").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "owners")
-    repeated = hot_keys(base, "doc_id")
-    texts = texts_of(docs, stored(asked.join(owners.select("a", "doc_id"), "a"), "asked"), repeated, words, set_ids)
+    every = base.where("a is not null").groupBy("a")
+    owners = stored(every.agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n")), "owners")
+    repeated = hot_keys(base, "key")
+    texts = texts_of(docs, stored(asked.join(owners.select("a", "key"), "a"), "asked"), repeated, words, set_ids)
     told = stored(with_sets(first, texts, percent, words).dropDuplicates(["x", "y"]), "told")
     links = told.where("links").select("x", "y")
 
