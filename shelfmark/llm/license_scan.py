@@ -4,10 +4,15 @@ A block is a line of a text, or as many words in a row as a template has, wherev
 are found; a template is a short license notice. All are sets of words. A block matches a template if it contains at
 least ``threshold`` of the template's words (containment |block and template| / |template|). Words in a row must hold
 the telling ones, too: those that the template has in common with its label (nc, sa, mit, a version), without which they
-may be the notice of another license. Lines need not, so that the join gives every pair that meets the threshold; with
-``telling``, they must, too, and no block may hold a word that only another license has (lesser, noncommercial), so that
-near-equal licenses are told apart and only their own label stays. The words
-of the templates are ordered by their document frequency over the whole corpus, rarest first. Any matching block holds
+may be the notice of another license. Lines need not, so that the join gives every pair that meets the threshold.
+
+Two options tell near-equal licenses apart. With ``ranked``, near-equal templates (one holds ``threshold`` of the other's
+words) that match the same place are ranked: first those whose telling words stand there without a word that only another
+license has (lesser, noncommercial), then those whose telling words stand there, then others. A match gives way to a
+near-equal one of a higher rank, so a place that meets the threshold always keeps a label. With ``telling``, matches must
+be of the first rank, so a notice with another license's word gets no label at all.
+
+The words of the templates are ordered by their document frequency over the whole corpus, rarest first. Any matching block holds
 one of the first |T| - ceil(t |T|) + 1 words of a template (prefix filter), has at least ceil(t |T|) words (length
 filter), and, where its first hit is the i-th word of a template, can have no more than |T| - i of them (positional
 filter). Only blocks that pass are verified.
@@ -115,11 +120,32 @@ class Template(NamedTuple):
     own: frozenset[bytes] = frozenset()
     others: frozenset[bytes] = frozenset()
 
-    def tells(self, block: set[bytes]) -> bool:
-        return self.own <= block and not self.others & block
+    def rank(self, block: set[bytes]) -> int:
+        """How sure it is that ``block`` is this license's notice and no near-equal one's."""
+        return 0 if not self.own <= block else 1 if self.others & block else 2
+
+    def near(self, other: Template, threshold: float) -> bool:
+        return len({*self.words} & {*other.words}) >= threshold * min(len(self.words), len(other.words)) - 1e-9
+
+
+class Match(NamedTuple):
+    """A template found in words start to stop of a line (or of the text), with its containment and rank."""
 
+    template: Template
+    score: float
+    start: int
+    stop: int
+    rank: int
 
-def order_templates(templates, frequency: dict[bytes, int], threshold: float, telling: bool = False) -> list[Template]:
+
+def told_apart(matches: list[Match], threshold: float) -> list[Match]:
+    """Those that no overlapping match of a near-equal template and a higher rank outdoes."""
+    kept = [m for m in matches if m.score >= threshold]
+    outdone = lambda m: any(o.rank > m.rank and o.start < m.stop and m.start < o.stop and m.template.near(o.template, threshold) for o in kept)
+    return [m for m in matches if not outdone(m)]
+
+
+def order_templates(templates, frequency: dict[bytes, int], threshold: float, apart: bool = False) -> list[Template]:
     """Templates with their words in the global order: by document frequency, then by bytes."""
     ordered = []
     for text, label in templates:
@@ -127,8 +153,8 @@ def order_templates(templates, frequency: dict[bytes, int], threshold: float, te
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
         length = len([w for w in words_of(text) if w])
         named = frozenset(words_of(label)) & set(words)
-        apart = (named | TELLING & set(words), OTHERS - set(words)) if telling else ()
-        ordered.append(Template(label, tuple(words), need, named, length, *apart))
+        sets = (named | TELLING & set(words), OTHERS - set(words)) if apart else ()
+        ordered.append(Template(label, tuple(words), need, named, length, *sets))
     return ordered
 
 
@@ -143,8 +169,8 @@ class TemplateJoin:
         rarest = sorted(self.prefixes, key=len, reverse=True)
         self.probe = re.compile(b"|".join(re.escape(word) for word in rarest) or b"(?!)")
 
-    def matches(self, lines: bytes) -> Iterator[tuple[str, float]]:
-        """Label and containment of each verified pair of a line and a template."""
+    def matches(self, lines: bytes) -> Iterator[list[Match]]:
+        """For each line, its verified pairs with templates."""
         seen = -1
         for hit in self.probe.finditer(lines):
             if hit.start() < seen:
@@ -152,7 +178,7 @@ class TemplateJoin:
             start, seen = lines.rfind(b"\n", 0, hit.start()) + 1, lines.find(b"\n", hit.end())
             seen = len(lines) if seen < 0 else seen
             block = set(lines[start:seen].split())
-            tried = set()
+            tried, found = set(), []
             for word in block & self.prefixes.keys():
                 for i, template in self.prefixes[word]:
                     size = len(template.words)
@@ -161,12 +187,11 @@ class TemplateJoin:
                     if any(w in block for w in template.words[:i]):
                         continue  # found at an earlier word of the template
                     tried.add(template)
-                    if not template.tells(block):
-                        continue
-                    yield template.label, sum(w in block for w in template.words[i:]) / size
+                    found.append(Match(template, sum(w in block for w in template.words[i:]) / size, 0, 1, template.rank(block)))
+            yield found
 
-    def window_matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
-        """Label and largest containment of each template in the windows of its length around its prefix words."""
+    def window_matches(self, words: list[bytes]) -> Iterator[Match]:
+        """The best windows of each template's length around its prefix words."""
         done: dict[Template, int] = {}
         for at, word in enumerate(words):
             if word not in self.prefixes:
@@ -181,8 +206,8 @@ class TemplateJoin:
                     continue
                 shared = [own.intersection(words[i : i + length]) for i in range(start, stop)]
                 best = max((len(s) for s in shared if template.telling <= s), default=0)
-                if best >= template.need and template.tells(set(words[start : at + length])):
-                    yield template.label, best / len(own)
+                if best >= template.need:
+                    yield Match(template, best / len(own), start, at + length, template.rank(set(words[start : at + length])))
 
 
 def document_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
@@ -205,11 +230,14 @@ def document_frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
 
 
 def scan_licenses(
-    docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, telling: bool = False
+    docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, telling: bool = False, ranked: bool = False
 ) -> DataFrame:
-    """One row per document: word count, places of the base phrases, labels of both methods, best containment."""
+    """One row per document: word count, places of the base phrases, labels of both methods, best containment.
+
+    ``telling``, ``ranked``: how near-equal licenses are told apart (see the module); without either, all matches count.
+    """
     small_batches(docs.sparkSession)
-    join = TemplateJoin(order_templates(templates, document_frequencies(docs, templates), threshold, telling), threshold)
+    join = TemplateJoin(order_templates(templates, document_frequencies(docs, templates), threshold, telling or ranked), threshold)
     known = [(b" %s " % phrase.encode(), label) for phrase, label in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +255,12 @@ def scan_licenses(
                         places.append(word)
                         base.add(label)
                         before, at = at, line.find(phrase, at + 1)
-                found = [*join.matches(data.translate(LINES)), *join.window_matches(words)]
-                labels = base | {label for label, score in found if score >= join.threshold}
-                score = max((score for _, score in found), default=0.0)
+                groups = [*join.matches(data.translate(LINES)), list(join.window_matches(words))]
+                if telling:
+                    groups = [[m for m in group if m.rank == 2] for group in groups]
+                score = max((m.score for group in groups for m in group), default=0.0)
+                found = [m for group in groups for m in (told_apart(group, join.threshold) if ranked else group)]
+                labels = base | {m.template.label for m in found if m.score >= join.threshold}
                 rows.append((
                     doc_id, len(words), len(places), min(places, default=None), max(places, default=None),
                     ",".join(sorted(base)), ",".join(sorted(labels)), score,

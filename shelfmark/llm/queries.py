@@ -68,7 +68,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"), telling=True)
+    return scan_licenses(table(spark, sf_dir, "documents"), ranked=True)
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
