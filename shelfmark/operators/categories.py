@@ -12,7 +12,7 @@ from shelfmark.sources.shared import stored
 def join_parent_category(categories: DataFrame) -> DataFrame:
     """Categories (sourceId, parentSourceId, name) with the id of their parent; null for a root or an unknown parent."""
     own = categories.withColumn("id", F.concat(F.lit("cat_"), F.substring(F.sha2("sourceId", 256), 1, 16)))
-    parents = own.select(F.col("sourceId").alias("parentSourceId"), F.col("id").alias("parentId"))
+    parents = own.select(F.col("sourceId").alias("parentSourceId"), F.col("id").alias("parentId")).distinct()  # an id is told by its sourceId
     return own.join(parents, "parentSourceId", "left")
 
 
@@ -31,9 +31,11 @@ def norm_shopify_categories(collections: DataFrame) -> DataFrame:
 def category_levels(categories: DataFrame) -> DataFrame:
     """Depth of each category below a root; null for one that no root leads to, as in a cycle or below an unknown parent.
 
+    A sourceId is walked once, from the smallest of its parents if its rows name several; each of its rows gets the level.
     Every round doubles the steps that a row has gone up, so a tree of depth d takes log2(d) + 1 rounds.
     """
-    steps = categories.select("sourceId", F.col("parentSourceId").alias("up"), F.when(F.col("parentSourceId").isNull(), 0).otherwise(1).alias("level"))
+    once = categories.where("sourceId is not null").groupBy("sourceId").agg(F.min("parentSourceId").alias("up"))
+    steps = once.select("sourceId", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("level"))
     steps = stored(steps, "levels")
     for _ in range(max(1, steps.count()).bit_length() + 1):
         if steps.where("up is not null").isEmpty():

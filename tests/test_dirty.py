@@ -118,3 +118,13 @@ def test_ranges_of_prices(spark):
     rows = spark.createDataFrame([([(None, "EUR"), (2.0, " "), (1.0, "USD")],), ([(None, "EUR")],), ([],), (None,)], "v array<struct<price:double,currency:string>>")
     found = [tuple(r.p) for r in rows.select(X.price_range(F.col("v")).alias("p")).collect()]
     assert found == [(1.0, 2.0, "EUR"), (None, None, None), (None, None, None), (None, None, None)]
+
+
+def test_repeated_categories_come_out_as_often_as_they_came_in(spark):
+    rows = [(str(i), str(i - 1) if i else None, f"c{i}", f"/c{i}/") for i in range(8)] * 2 + [(None, "1", "x", "/x/"), ("d", "0", "a", "/a/"), ("d", "1", "b", "/b/")]
+    given = spark.createDataFrame(rows, "sourceId string, parentSourceId string, name string, url string")
+    found = K.norm_bigcommerce_categories(given).collect()
+    assert sorted((r.sourceId, r.name) for r in found if r.sourceId) == sorted((r[0], r[2]) for r in rows if r[0]) and len(found) == len(rows)
+    # Parent 0 is none, so category 1 is a root as well.
+    assert {r.sourceId: r.level for r in found if r.sourceId and len(r.sourceId) == 1 and r.sourceId != "d"} == {"0": 0, **{str(i): i - 1 for i in range(1, 8)}}
+    assert K.join_parent_category(given.drop("url")).count() == len(rows)
