@@ -60,8 +60,14 @@ def block_join(rows: DataFrame, block: Column, cap: int) -> DataFrame:
     return _gated(_sides(blocked, candidate_cap(blocked, "block", cap), rows.columns, ["block"]))
 
 
-def key_join(rows: DataFrame, probe: Column, keys: Column) -> DataFrame:
-    """Probes with all rows of which one of the ``keys`` (an array) is among their own (``probe``, an array); each pair once."""
+def key_join(rows: DataFrame, probe: Column, keys: Column, first: Column | None = None) -> DataFrame:
+    """Probes with all rows of which one of the ``keys`` (an array) is among their own (``probe``, an array); each pair once.
+
+    Rows are told apart by id. A pair with several keys in common would meet several times; ``first``, of the pair's columns
+    and ``block``, says whether a meeting is the one that counts, so that no pair needs to be shuffled. Without it, a probe
+    must have one key.
+    """
+    rows = rows.dropDuplicates(["id"])
     step = -math.log(1 - GATE)
     priced = F.col("price") > 0
     level = F.when(priced, F.floor(F.log("price") / step))
@@ -77,7 +83,8 @@ def key_join(rows: DataFrame, probe: Column, keys: Column) -> DataFrame:
         _sides(once.where("level is not null"), others.where("level is null"), rows.columns, ["block"])
     )
     pairs = _gated(both.drop("level").unionByName(bare))
-    return pairs.drop("block", "attributes_a", "attributes_b", "tokens_a", "tokens_b").dropDuplicates(["id_a", "id_b"])
+    pairs = pairs if first is None else pairs.where(first)
+    return pairs.drop("block", "attributes_a", "attributes_b", "tokens_a", "tokens_b")
 
 
 def similar(pairs: DataFrame, least: float, also: Column | None = None) -> DataFrame:
@@ -133,7 +140,9 @@ def entity_pairs(products: DataFrame, cap: int | None = 200, threshold: float =
         few = F.when(~has_category & ~has_brand & (F.size("tokens") >= 3), words(F.slice("tokens", 1, 3)))
         probe = F.when(has_category | has_brand, F.array(F.coalesce(both, by_brand, by_category))).otherwise(few)
         keep = rows.select("id", "attributes")
-        pairs = key_join(rows, probe, F.concat(F.array(both, by_brand, by_category), words("tokens")))
+        shared = F.array_intersect(F.slice("tokens_a", 1, 3), F.col("tokens_b"))
+        first = ~F.col("block").startswith("t|") | (F.col("block") == F.concat(F.lit("t|"), F.get(shared, 0)))
+        pairs = key_join(rows, probe, F.concat(F.array(both, by_brand, by_category), words("tokens")), first)
         pairs = pairs.join(keep.select(F.col("id").alias("id_a"), F.col("attributes").alias("attributes_a")), "id_a")
         pairs = pairs.join(keep.select(F.col("id").alias("id_b"), F.col("attributes").alias("attributes_b")), "id_b")
     else:

@@ -16,7 +16,7 @@ from shelfmark.operators import survive as S
 from shelfmark.operators import upsert as U
 from shelfmark.plans import views
 from shelfmark.plans.catalog_queries import category_rows
-from shelfmark.plans.oracle import CLEAN_HTML, CONFLICT, ENTITY, FLAT, C, schema_issues
+from shelfmark.plans.oracle import CLEAN_HTML, CONFLICT, ENTITY, FLAT, RESOLVED, C, schema_issues
 from shelfmark.plans.queries import canonical, flat, pick
 from shelfmark.plans.views_sql import sql
 from shelfmark.sources import platforms as P
@@ -77,6 +77,24 @@ def entity_pairs_all(spark, sf):
     return R.entity_pairs(worded(spark, sf), cap=None)
 
 
+@query(sql("SELECT * FROM best", **DEDUP_ALL, **BEST))
+def best_match_all(spark, sf):
+    """The best of all matches, not only of those among a block's first rows."""
+    return R.best_match(R.dedup_pairs(worded(spark, sf), cap=None))
+
+
+@query(sql("SELECT * FROM resolved", **ENTITY_ALL, **BEST, resolved=RESOLVED))
+def entity_resolve_exact(spark, sf):
+    return R.entity_resolve_all(worded(spark, sf), cap=None)
+
+
+@query(sql("""SELECT count(*) AS total, count(*) FILTER (state = 'resolved') AS resolved, count(*) FILTER (state = 'unresolved') AS unresolved,
+    count(*) FILTER (state = 'skipped') AS skipped, round(count(*) FILTER (state = 'resolved') / (count(*) - count(*) FILTER (state = 'skipped')), 6) AS rate FROM states""",
+    **ENTITY_ALL, **BEST, states=RESOLVED))
+def resolution_summary_all(spark, sf):
+    return R.resolution_summary(R.entity_resolve_all(worded(spark, sf), cap=None))
+
+
 @query(sql("""SELECT count(*) AS resolved, round(avg(score), 6) AS "meanConfidence" FROM best""", **ENTITY_ALL, **BEST))
 def mean_confidence(spark, sf):
     return R.mean_confidence(R.entity_resolve_all(worded(spark, sf), cap=None).withColumn("state", F.when(F.col("match").isNotNull(), "resolved")))
