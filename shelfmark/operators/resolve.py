@@ -43,6 +43,10 @@ def candidate_cap(rows: DataFrame, block: str, cap: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(block).orderBy("id"))).where(F.col("rank") <= cap).drop("rank")
 
 
+#: Capped candidates up to this number (about 200 bytes each) are broadcast, so that a block's probes stay spread over all tasks.
+FEW_CANDIDATES = 50_000
+
+
 def _sides(a: DataFrame, b: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     side = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in columns])
     return side(a, "a").join(side(b, "b"), keys)
@@ -57,7 +61,9 @@ def _gated(pairs: DataFrame) -> DataFrame:
 def block_join(rows: DataFrame, block: Column, cap: int) -> DataFrame:
     """Probes with the capped candidates of their block, whose price gap allows a score; other sources only."""
     blocked = rows.withColumn("block", block).where("block is not null")
-    return _gated(_sides(blocked, candidate_cap(blocked, "block", cap), rows.columns, ["block"]))
+    capped = candidate_cap(blocked, "block", cap)
+    few = capped.limit(FEW_CANDIDATES + 1).count() <= FEW_CANDIDATES
+    return _gated(_sides(blocked, F.broadcast(capped) if few else capped, rows.columns, ["block"]))
 
 
 def key_join(rows: DataFrame, probe: Column, keys: Column, first: Column | None = None) -> DataFrame:
