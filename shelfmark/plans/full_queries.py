@@ -316,6 +316,19 @@ def scan_product_sitemaps(spark, sf):
     return P.scan_product_sitemaps(spark, f"{path}/*", start)
 
 
+@query("""SELECT 'https://shop.example.com/products/' || page_id AS url FROM pages WHERE page_id % 6 < 3 AND page_id // 6 % 2 = 0""")
+def sitemap_tree(spark, sf):
+    """Product URLs below an index of indexes, one of which names the first one again; three lists are named by none."""
+    k = F.col("page_id")
+    url = F.concat(F.lit("<url><loc>https://shop.example.com/"), pick(F.floor(k / 6), "products/", "about/"), k.cast("string"), F.lit("</loc></url>"))
+    each = table(spark, sf, "pages").select((k % 6).cast("string").alias("n"), k, url.alias("url"))
+    lists = each.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: x["url"]), "").alias("urls"))
+    lists = lists.select(F.concat(F.lit("leaf"), "n", F.lit(".xml")).alias("file"), F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>")).alias("text"))
+    named = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>https://shop.example.com/{n}.xml</loc></sitemap>" for n in names) + "</sitemapindex>"
+    indexes = [("top.xml", named("middle", "leaf0")), ("middle.xml", named("lower", "top", "leaf1")), ("lower.xml", named("leaf2", "middle", "lost"))]
+    return P.sitemap_products(lists.unionByName(spark.createDataFrame(indexes, "file string, text string")), ["top.xml"])
+
+
 WHOLE_HTML = CLEAN_HTML.removeprefix("substr(").removesuffix(", 1, 15000)").replace("(html,", "(repeat(html, 8),")
 
 

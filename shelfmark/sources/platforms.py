@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.exprs import is_product_url, unescape
+from shelfmark.sources.shared import stored
 
 # Shapes of the payloads (fixed by the platforms).
 SHOPIFY_NODE = (
@@ -103,26 +104,50 @@ def scan_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(locations).alias("url")).distinct()
 
 
-def scan_product_sitemaps(spark: SparkSession, path: str, start: list[str] | None = None) -> DataFrame:
-    """Distinct product URLs of landed sitemaps: XML lists of URLs, indexes of further sitemaps, or a URL a line.
+def last_part(url: Column) -> Column:
+    """The last part of a URL's path, by which sitemaps are matched with landed files."""
+    return F.regexp_extract(url, r"([^/?#]+)(?:[?#].*)?$", 1)
+
+
+def locations(text: Column, parent: str) -> Column:
+    """The first location of each ``parent`` element. Texts are split, so their length doesn't matter to the pattern."""
+    elements = F.transform(F.split(text, rf"(?i)<{parent}\b"), lambda e: F.get(F.split(e, rf"(?i)</{parent}>"), 0))
+    found = F.transform(F.slice(elements, 2, F.greatest(F.size(elements) - 1, F.lit(0))), lambda e: F.regexp_extract(e, r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1))
+    return F.filter(found, lambda u: u != "")
+
+
+def reached_sitemaps(told: DataFrame, start: list[str]) -> DataFrame:
+    """Those of ``told`` (file, urls, maps) that ``start`` leads to over any number of indexes; each is visited once."""
+    links = stored(told.select("file", F.explode("maps").alias("m")).select("file", last_part(F.col("m")).alias("to")).distinct(), "sitemap-links")
+    reached = stored(told.where(F.col("file").isin(start)).select("file").distinct(), "sitemaps")
+    frontier = reached
+    while not frontier.isEmpty():
+        named = links.join(frontier, "file", "left_semi").select(F.col("to").alias("file")).distinct()
+        frontier = stored(named.join(reached, "file", "left_anti"), "sitemaps")
+        reached = reached.unionByName(frontier)
+    return told.join(reached, "file", "left_semi")
 
-    With ``start``, names of files, only these and the sitemaps that they name count; an index's sitemaps are matched
-    with landed files by the last part of their URLs.
+
+def sitemap_products(files: DataFrame, start: list[str] | None = None) -> DataFrame:
+    """Distinct product URLs of sitemaps (file, text): XML lists of URLs, indexes of further sitemaps, or a URL a line.
+
+    With ``start``, names of files, only these count and the sitemaps that they name, directly or through other indexes;
+    an index that has been visited isn't followed again, so cycles end. A file that names sitemaps gives no URLs of its own.
     """
-    name = lambda c: F.regexp_extract(c, r"([^/?#]+)(?:[?#].*)?$", 1)
-    files = spark.read.text(path, wholetext=True).select(name(F.input_file_name()).alias("file"), F.col("value").alias("text"))
-    found = lambda parent: F.regexp_extract_all("text", F.lit(rf"(?is)<{parent}\b[^>]*>(?:(?!</{parent}>).)*?<loc>\s*([^<\s]+)\s*</loc>"), 1)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line != "")
-    is_xml = F.ltrim("text").startswith("<")
-    told = files.select("file", F.when(is_xml, found("url")).otherwise(lines).alias("urls"), F.when(is_xml, found("sitemap")).otherwise(F.array().cast("array<string>")).alias("maps"))
-    if start is not None:
-        own = told.where(F.col("file").isin(start))
-        named = own.select(F.explode("maps").alias("m")).select(name(F.col("m")).alias("file")).distinct()
-        told = own.unionByName(told.where(~F.col("file").isin(start)).join(named, "file", "left_semi"))
-    urls = told.select(F.explode("urls").alias("url")).select(unescape(F.col("url")).alias("url")).distinct()
+    is_xml, none = F.ltrim("text").startswith("<"), F.array().cast("array<string>")
+    told = files.select("file", F.when(is_xml, locations(F.col("text"), "url")).otherwise(lines).alias("urls"), F.when(is_xml, locations(F.col("text"), "sitemap")).otherwise(none).alias("maps"))
+    told = told if start is None else reached_sitemaps(stored(told, "sitemap-files"), start)
+    urls = told.where(F.size("maps") == 0).select(F.explode("urls").alias("url")).select(unescape(F.col("url")).alias("url")).distinct()
     return urls.where(is_product_url(F.col("url")))
 
 
+def scan_product_sitemaps(spark: SparkSession, path: str, start: list[str] | None = None) -> DataFrame:
+    """Distinct product URLs of landed sitemap files (see ``sitemap_products``)."""
+    files = spark.read.text(path, wholetext=True).select(last_part(F.input_file_name()).alias("file"), F.col("value").alias("text"))
+    return sitemap_products(files, start)
+
+
 def empty_items(spark: SparkSession, platform: str, known: DataFrame) -> DataFrame:
     """``known`` with the platform's other payload columns, all null."""
     schema = spark.createDataFrame([], SCHEMAS[platform]).schema
