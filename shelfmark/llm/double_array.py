@@ -16,9 +16,14 @@ class DoubleArray:
     def __init__(self, phrases: np.ndarray):
         """``phrases``: distinct rows of codes, of any order; a row's number is what its state accepts."""
         phrases = np.asarray(phrases, np.int64)
-        top = int(phrases.max(initial=0)) + 1
-        self.base = np.zeros(top, np.int64)
-        self.check = np.full(top, -1, np.int64)
+        # Codes are numbered anew, those with the most places in phrases first, so that families of children lie close.
+        used, counts = np.unique(phrases[phrases > 0], return_counts=True)
+        self.rank = np.zeros(int(phrases.max(initial=0)) + 1, np.int32)
+        self.rank[used[np.argsort(-counts, kind="stable")]] = np.arange(1, len(used) + 1)
+        phrases = self.rank[phrases].astype(np.int64)
+        top = len(used) + 1
+        self.base = np.zeros(top, np.int32)
+        self.check = np.full(top, -1, np.int32)
         self.accept = np.full(top, -1, np.int32)
         self.check[0] = 0  # the root's own place is taken
         self.end = top
@@ -40,13 +45,13 @@ class DoubleArray:
             following = phrases[alive, depth + 1] if depth + 1 < phrases.shape[1] else np.zeros(len(alive), np.int64)
             last = alive[following == 0]
             self.accept[state[last]] = last
-        self.base, self.check, self.accept = (x[: self.end].astype(np.int32) for x in (self.base, self.check, self.accept))
+        self.base, self.check, self.accept = (x[: self.end].copy() for x in (self.base, self.check, self.accept))
 
     def _grow(self, size: int) -> None:
         if size > len(self.check):
-            more = max(size, 2 * len(self.check)) - len(self.check)
-            self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-            self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
+            more = max(size, len(self.check) + len(self.check) // 2) - len(self.check)
+            self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
+            self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
             self.accept = np.concatenate([self.accept, np.full(more, -1, np.int32)])
         self.end = max(self.end, size)
 
@@ -82,7 +87,9 @@ class DoubleArray:
 
         ``codes`` are those of a text, 0 where no phrase may pass.
         """
-        at = np.flatnonzero((codes > 0) & (codes < len(self.check)))
+        known = (codes > 0) & (codes < len(self.rank))
+        codes = np.where(known, self.rank[np.where(known, codes, 0)], 0)
+        at = np.flatnonzero(codes)
         state = codes[at]
         inside = self.check[state] == 0
         at, state = at[inside], state[inside]
