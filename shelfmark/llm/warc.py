@@ -174,9 +174,14 @@ def put_text(files, path: str, text: str) -> None:
     publish(files, temporary, path)
 
 
-def shard_bounds(keys: DataFrame, shards: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Keys (id, digest as a number) at which shards 1, 2, ... begin: quantiles of the keys with the smallest hashes."""
-    chosen = keys.orderBy(F.xxhash64("id", "tie"), "id", "tie").limit(SAMPLE).collect()
+def shard_bounds(keys: DataFrame, n: int, shards: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Keys (id, digest as a number) at which shards 1, 2, ... begin: quantiles of the keys with the smallest hashes.
+
+    ``n``: how many keys there are; only hashes below a bound that about twice the sample meets are put in order.
+    """
+    low = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * SAMPLE // max(n, 1))
+    hashed = keys.withColumn("hash", F.xxhash64("id", "tie")).where(F.col("hash") <= low)
+    chosen = hashed.orderBy("hash", "id", "tie").limit(SAMPLE).collect()
     ordered = sorted((r.id, r.tie) for r in chosen)
     cuts = sorted({ordered[len(ordered) * s // shards] for s in range(1, shards)} if ordered else set())
     return np.array([c[0] for c in cuts], np.int64), cuts
@@ -208,8 +213,8 @@ def write_warc(
     # 256 bits say whether payloads are equal; the 160 bits of the archive's digests can be forged.
     keys = stored(rows.select("page_id", "url", F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("equal"), F.octet_length("payload").alias("size")), "payload-keys")
     ranged = keys.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("digest").alias("tie"))
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    bounds, cuts = shard_bounds(ranged, max(shards, -(-total // shard_bytes)))
+    sums = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    bounds, cuts = shard_bounds(ranged, sums.n, max(shards, -(-(sums.bytes or 0) // shard_bytes)))
 
     long = keys.where(F.col("size") >= least)
     winner = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), F.coalesce("url", F.lit("")))
