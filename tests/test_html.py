@@ -7,7 +7,7 @@ import pytest
 from shelfmark.functions import html as H
 from shelfmark.operators import pages as G
 
-BIG = 10 << 20
+BIG, TAG = 2 << 20, 10 << 20
 
 
 @pytest.mark.parametrize(
@@ -60,7 +60,7 @@ def test_links_of_a_page(html, links):
 @pytest.mark.parametrize(
     "html",
     [
-        "<a " + "x" * BIG + " href='/y'>t</a>", "<a " + "a='b' " * (BIG // 6) + "href='/y'>t</a>", "<a href='/y' c='" * (BIG // 20), "<a b='x \"" * (BIG // 20) + "'>",
+        "<a " + "x" * TAG + " href='/y'>t</a>", "<a " + "a='b' " * (BIG // 6) + "href='/y'>t</a>", "<a href='/y' c='" * (BIG // 20), "<a b='x \"" * (BIG // 20) + "'>",
         "<" * (BIG // 4), "<!--" * (BIG // 4), "<nav>" * (BIG // 20) + "</nav>" * (BIG // 20), "<a " + "= " * (BIG // 4) + ">", "<div>" * (BIG // 20) + "</p>" * (BIG // 20),
         "<a " + "x   " * (BIG // 8) + ">", "<script " * (BIG // 16), "<a>" * (BIG // 40),
     ],
@@ -69,12 +69,12 @@ def test_time_grows_with_the_page(html):
     start = time.process_time()
     H.cleaned_page(html)
     H.page_elements(html)
-    assert time.process_time() - start < 40
+    assert time.process_time() - start < 4
 
 
 def test_large_tags_in_spark(spark):
     """Tags of 2 kB, 200 kB and 10 MB, unclosed tags and quotes, through every job that reads tags."""
-    rows = [(i, "https://a.com/l", "<a " + "x" * n + " href='/y'>t</a><meta property=og:title content='Red widget'><meta property='og:price:amount' content=9>") for i, n in enumerate((2_000, 200_000, BIG))]
+    rows = [(i, "https://a.com/l", "<a " + "x" * n + " href='/y'>t</a><meta property=og:title content='Red widget'><meta property='og:price:amount' content=9>") for i, n in enumerate((2_000, 200_000, TAG))]
     rows += [(3, "https://a.com/l", "<a href='/z'>Next</a><meta content='" + "y" * 5_000), (4, "https://a.com/l", "<a " + "b='c' " * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(tuple(r) for r in G.link_extract(pages).collect()) == [(0, "https://a.com/y"), (1, "https://a.com/y"), (2, "https://a.com/y"), (3, "https://a.com/z")]
