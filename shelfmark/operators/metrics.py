@@ -81,6 +81,23 @@ def store_totals(stores: DataFrame, syncs: DataFrame, as_of) -> DataFrame:
     )
 
 
+def store_metrics_day(stores: DataFrame, syncs: DataFrame, as_of) -> DataFrame:
+    """Per store the syncs and products of the 24 hours up to ``as_of``, its last sync and whether that failed.
+
+    A store fails when its last sync did so in whole or in part. Stores without syncs have zeros and null.
+    """
+    recent = F.col("ts") >= F.lit(as_of) - F.expr("INTERVAL 24 HOURS")
+    per = syncs.groupBy("storeId").agg(
+        F.max_by("status", F.struct("ts", "event_id")).alias("lastStatus"), F.max("ts").alias("lastSync"),
+        F.count_if(recent).alias("syncs"), F.sum(F.when(recent, F.col("successProducts"))).alias("products"),
+    )
+    joined = stores.select(F.col("id").alias("storeId")).join(per, "storeId", "left").fillna(0, ["syncs", "products"])
+    return joined.withColumns({
+        "failing": F.coalesce(F.col("lastStatus").isin("failed", "partial"), F.lit(False)),
+        "synced": F.coalesce(F.col("lastSync") >= F.lit(as_of) - F.expr("INTERVAL 24 HOURS"), F.lit(False)),
+    })
+
+
 def dead_letters(syncs: DataFrame) -> DataFrame:
     """Failed syncs that wait for a review, latest first."""
     failed = syncs.where(F.col("status") == "failed")

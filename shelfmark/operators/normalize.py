@@ -205,6 +205,39 @@ def norm_webhook_rest(events: DataFrame) -> DataFrame:
     return events.select(gid(F.col("id")).alias("id"), "title", "vendor", tags.alias("tags"), F.coalesce("currency", F.lit(DEFAULT_CURRENCY)).alias("currencyCode"))
 
 
+#: What is read of a REST-shaped product event; numbers and texts alike are read as texts.
+REST_PRODUCT = """id string, title string, body_html string, vendor string, product_type string, status string, tags string, created_at string,
+    updated_at string, images array<struct<src: string>>, variants array<struct<id: string, sku: string, price: string, compare_at_price: string,
+    inventory_quantity: string, inventory_item_id: string, presentment_prices: array<struct<price: struct<currency_code: string>>>>>"""
+
+
+def norm_webhook_payload(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """REST-shaped product events (JSON text) as whole product nodes; other columns are carried along.
+
+    Ids without a scheme get one, for products and variants; blank texts are null, a missing title is ''. Tags come as a
+    list or as a text with commas. A quantity that is no plain whole number is null. The currency is that of the first
+    variant's first presentment price, else the default. A payload that is no JSON object gives nulls, '' and empty lists.
+    """
+    gid = lambda kind, c: F.when(c.startswith("gid://"), c).otherwise(F.concat(F.lit(f"gid://shopify/{kind}/"), c))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    p = F.from_json(payload, REST_PRODUCT)
+    listed = F.when(F.col("p.tags").startswith("["), F.from_json("p.tags", "array<string>"))
+    cut = F.filter(F.transform(F.split("p.tags", ","), lambda t: F.trim(t)), lambda t: t != "")
+    node = lambda v: F.struct(
+        gid("ProductVariant", v["id"]).alias("id"), filled(v["sku"]).alias("sku"), v["price"].alias("price"), v["compare_at_price"].alias("compareAtPrice"),
+        v["inventory_quantity"].try_cast("long").alias("inventoryQuantity"), v["inventory_item_id"].alias("inventoryItemId"),
+    )
+    none = F.array().cast("array<string>")
+    currency = F.get(F.get(F.col("p.variants"), F.lit(0))["presentment_prices"], F.lit(0))["price"]["currency_code"]
+    return events.withColumn("p", p).select(
+        *[c for c in events.columns if c != payload], gid("Product", F.col("p.id")).alias("id"), F.coalesce("p.title", F.lit("")).alias("title"),
+        filled(F.col("p.body_html")).alias("description"), filled(F.col("p.vendor")).alias("vendor"), filled(F.col("p.product_type")).alias("productType"),
+        filled(F.col("p.status")).alias("status"), F.coalesce(listed, cut, none).alias("tags"), filled(F.col("p.created_at")).alias("createdAt"),
+        filled(F.col("p.updated_at")).alias("updatedAt"), F.coalesce(F.transform("p.variants", node), F.array()).alias("variants"),
+        F.coalesce(F.transform("p.images", lambda m: filled(m["src"])), none).alias("images"), F.coalesce(filled(currency), F.lit(DEFAULT_CURRENCY)).alias("currencyCode"),
+    )
+
+
 def norm_scraped(extracted: DataFrame) -> DataFrame:
     """Extracted pages as products with one variant; currency USD unless the page says otherwise."""
     price = F.coalesce("price", F.lit(0.0))

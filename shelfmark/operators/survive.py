@@ -122,6 +122,69 @@ def resolve_product(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return told.where(differ).select("canonicalProductId", F.col("id_incoming").alias("productId"), "field", F.col("r.winner").alias("winner"), F.col("r.reason").alias("reason"), value.alias("value"))
 
 
+WHOLE_FIELDS = ("title", "cleanedTitle", "brand", "normalizedBrand", "category", "description")
+
+
+def decided(pair: Column, pe: Column, pi: Column, te: Column, ti: Column) -> Column:
+    """``pair`` (field, existing, incoming) with winner, reason and value, by the sides' priorities and times.
+
+    A blank value never wins over a filled one; then the smaller priority number, the later time (a time over none),
+    and the longer text decide. What is equal in all of these stays as it is.
+    """
+    e, i = X.blank_to_null(pair["existing"]), X.blank_to_null(pair["incoming"])
+    rules = [
+        (e.isNull(), "incoming", "null_fallback"),
+        (i.isNull(), "existing", "null_fallback"),
+        (pe < pi, "existing", "source_priority"),
+        (pi < pe, "incoming", "source_priority"),
+        (ti.isNotNull() & (te.isNull() | (ti > te)), "incoming", "recency"),
+        (te.isNotNull() & (ti.isNull() | (te > ti)), "existing", "recency"),
+        (F.length(pair["incoming"]) > F.length(pair["existing"]), "incoming", "completeness"),
+        (F.lit(True), "existing", "completeness"),
+    ]
+    first = F.coalesce(*[F.when(rule, F.struct(F.lit(w).alias("winner"), F.lit(r).alias("reason"))) for rule, w, r in rules])
+    value = F.when(first["winner"] == "incoming", pair["incoming"]).otherwise(pair["existing"])
+    return F.struct(
+        pair["field"].alias("field"), pair["existing"].alias("existing"), pair["incoming"].alias("incoming"),
+        first["winner"].alias("winner"), first["reason"].alias("reason"), value.alias("value"),
+    )
+
+
+def resolve_whole(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Each incoming product resolved against the existing one of its canonical id: whole fields, attributes, images.
+
+    Both sides have canonicalProductId, id, source, lastSyncedAt, the fields, attributes (a map of texts) and images.
+    Gives canonicalProductId, productId, the six fields, attributes (all names of both sides, each decided like a field),
+    images (those of the existing product first, trimmed, each once, blank ones left out) and conflicts, an array with
+    field, existing, incoming, winner and reason for what differs; attributes count as ``attributes.<name>``.
+    Rows without a canonical id and incoming ones without an existing one give nothing; null maps and lists are empty.
+    All is decided within the row of a pair, after one join.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.where("canonicalProductId is not null").select("canonicalProductId", F.struct(
+            "id", X.source_priority(F.col("source")).alias("priority"), F.col("lastSyncedAt").alias("time"), *WHOLE_FIELDS,
+            F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+            F.coalesce("images", F.array().cast("array<string>")).alias("images"),
+        ).alias(name))
+
+    e, i = F.col("e"), F.col("i")
+    pair = lambda field, a, b: F.struct(field.alias("field"), a.alias("existing"), b.alias("incoming"))
+    decide = lambda pairs: F.transform(pairs, lambda p: decided(p, e["priority"], i["priority"], e["time"], i["time"]))
+    named = F.transform(F.map_keys(i["attributes"]), lambda k: pair(k, F.try_element_at(e["attributes"], k), i["attributes"][k]))
+    told = side(existing, "e").join(side(incoming, "i"), "canonicalProductId").select(
+        "*", decide(F.array(*[pair(F.lit(f), e[f], i[f]) for f in WHOLE_FIELDS])).alias("fields"), decide(named).alias("named"),
+    )
+    kept = F.map_filter(e["attributes"], lambda k, _: ~F.map_contains_key(i["attributes"], k))
+    won = F.map_from_entries(F.transform("named", lambda d: F.struct(d["field"], d["value"])))
+    prefixed = F.transform("named", lambda d: d.withField("field", F.concat(F.lit("attributes."), d["field"])))
+    differ = F.filter(F.concat("fields", prefixed), lambda d: ~d["existing"].eqNullSafe(d["incoming"]))
+    urls = F.array_distinct(F.filter(F.transform(F.concat(e["images"], i["images"]), lambda u: X.blank_to_null(u)), lambda u: u.isNotNull()))
+    return told.select(
+        "canonicalProductId", i["id"].alias("productId"), *[F.element_at("fields", n + 1)["value"].alias(f) for n, f in enumerate(WHOLE_FIELDS)],
+        F.map_concat(kept, won).alias("attributes"), urls.alias("images"), F.transform(differ, lambda d: d.dropFields("value")).alias("conflicts"),
+    )
+
+
 def conflict_report(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("field", "reason", "winner").agg(F.count("*").alias("conflicts"))
 
