@@ -171,6 +171,52 @@ def join_inventory_sku(offers: DataFrame, patches: DataFrame) -> DataFrame:
     }).drop("p")
 
 
+#: What an inventory patch may set.
+INVENTORY_FIELDS = (
+    "availability", "stockQty", "isInStock", "availableInventory", "totalInventory", "blockedInventory", "facilityCode", "inventorySource", "lastSyncedAt",
+)
+
+
+def patch_inventory(offers: DataFrame, patches: DataFrame) -> DataFrame:
+    """Offers after all patches of their SKU, with ``matched`` and ``modified``.
+
+    ``patches``: sku, storeId (null: all stores), seq (their order) and any of INVENTORY_FIELDS; a null field sets nothing.
+    Of the patches that fit an offer, the last one that sets a field decides it. Patches are brought to one row for each
+    SKU and store before they meet offers, so the joins don't multiply rows; patches without a SKU fit none.
+    """
+    fields = [f for f in INVENTORY_FIELDS if f in patches.columns]
+    value = lambda f: F.struct("seq", F.col(f).alias("v"))
+    last = patches.where("sku is not null").groupBy("sku", "storeId").agg(F.count("*").alias("n"), *[F.max_by(value(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
+    side = lambda rows, name, keys: rows.select(*keys, F.struct("n", *fields).alias(name))
+    own, all_stores = side(last.where("storeId is not null"), "own", ["sku", "storeId"]), side(last.where("storeId is null"), "every", ["sku"])
+    joined = offers.join(own, ["sku", "storeId"], "left").join(all_stores, "sku", "left")
+    held = lambda f: F.col(f) if f in offers.columns else F.lit(None).cast(patches.schema[f].dataType)
+
+    def after(f: str):
+        a, b = F.col(f"own.{f}"), F.col(f"every.{f}")
+        return F.coalesce(F.when(a["seq"] > F.coalesce(b["seq"], a["seq"] - 1), a["v"]).otherwise(b["v"]), held(f))
+
+    kept = [F.col(c) for c in offers.columns if c not in fields]
+    changed = F.lit(False)
+    for f in fields:
+        changed = changed | ~after(f).eqNullSafe(held(f))
+    return joined.select(*kept, *[after(f).alias(f) for f in fields], (F.col("own").isNotNull() | F.col("every").isNotNull()).alias("matched"), changed.alias("modified"))
+
+
+def inventory_matches(patches: DataFrame, offers: DataFrame, variants: DataFrame) -> DataFrame:
+    """Each patch (sku, storeId, seq) with the offers and products it fits; ``variants``: productId, storeId, sku of products.
+
+    Offers and variants are counted by SKU and store first; a patch without a store adds its SKU's counts over stores.
+    """
+    by_store = offers.groupBy("sku", "storeId").agg(F.count("*").alias("o"), F.lit(0).cast("long").alias("p")).unionByName(
+        variants.distinct().groupBy("sku", "storeId").agg(F.lit(0).cast("long").alias("o"), F.count("*").alias("p"))
+    ).where("sku is not null").groupBy("sku", "storeId").agg(F.sum("o").alias("o"), F.sum("p").alias("p"))
+    total = by_store.groupBy("sku").agg(F.sum("o").alias("to"), F.sum("p").alias("tp"))
+    joined = patches.select("seq", "sku", "storeId").join(by_store, ["sku", "storeId"], "left").join(total, "sku", "left")
+    pick = lambda own, every: F.coalesce(F.when(F.col("storeId").isNull(), F.col(every)).otherwise(F.col(own)), F.lit(0).cast("long"))
+    return joined.select("seq", "sku", "storeId", pick("o", "to").alias("offersMatched"), pick("p", "tp").alias("productsMatched"))
+
+
 def anti_unmatched_inventory(patches: DataFrame, offers: DataFrame) -> DataFrame:
     """Patches without an offer of their SKU."""
     return patches.join(offers.select("sku"), "sku", "left_anti")

@@ -174,3 +174,38 @@ def norm_webhook_payload(spark, sf):
         F.array_join("images", "|").alias("images"), "currencyCode", v["id"].alias("variant"), v["sku"].alias("sku"), v["price"].alias("price"),
         v["compareAtPrice"].alias("compareAtPrice"), v["inventoryQuantity"].alias("quantity"), v["inventoryItemId"].alias("item"),
     )
+
+
+def inventory(spark, sf):
+    """Offers, and patches of the events' users as SKUs: a third without a store, some for another one, fields left out."""
+    e = views.webhooks(spark, sf).where("topic = 'inventory'")
+    quantity = F.when(F.col("event_id") % 4 != 0, F.floor(F.col("value") % 40).cast("long"))
+    return views.offers(spark, sf), e.select(
+        F.concat(F.lit("SKU-"), F.col("user_id").cast("string")).alias("sku"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("store_"), (F.col("event_id") % 20).cast("string"))).alias("storeId"),
+        F.col("event_id").alias("seq"), quantity.alias("stockQty"), (quantity > 0).alias("isInStock"), quantity.alias("availableInventory"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("F1")).alias("facilityCode"), F.col("ts").alias("lastSyncedAt"),
+    )
+
+
+SETS = {
+    "patches": """SELECT 'SKU-' || user_id AS sku, CASE WHEN event_id % 3 <> 0 THEN 'store_' || (event_id % 20) END AS "storeId", event_id AS seq,
+        CASE WHEN event_id % 4 <> 0 THEN CAST(floor(value % 40) AS BIGINT) END AS q, CASE WHEN event_id % 5 = 0 THEN 'F1' END AS f, ts FROM v_webhooks WHERE topic = 'inventory'""",
+    "fitting": """SELECT o.id, arg_max(p.q, seq) FILTER (p.q IS NOT NULL) AS q, arg_max(f, seq) FILTER (f IS NOT NULL) AS f, arg_max(ts, seq) AS ts
+        FROM v_offers o JOIN patches p ON p.sku = o.sku AND (p."storeId" IS NULL OR p."storeId" = o."storeId") GROUP BY o.id""",
+}
+
+
+@query(sql("""SELECT o.id, coalesce(q, "stockQty") AS "stockQty", coalesce(q > 0, "isInStock") AS "isInStock", q AS "availableInventory", f AS "facilityCode",
+    coalesce(ts, "lastSyncedAt") AS "lastSyncedAt", p.id IS NOT NULL AS matched,
+    p.id IS NOT NULL AND (q IS NOT NULL OR f IS NOT NULL OR ts <> "lastSyncedAt") AS modified FROM v_offers o LEFT JOIN fitting p USING (id)""", **SETS))
+def patch_inventory(spark, sf):
+    """Offers after all patches of their SKU and store."""
+    fields = ("stockQty", "isInStock", "availableInventory", "facilityCode", "lastSyncedAt")
+    return N.patch_inventory(*inventory(spark, sf)).select("id", *fields, "matched", "modified")
+
+
+@query(sql("""SELECT seq, sku, "storeId", (SELECT count(*) FROM v_offers o WHERE o.sku = p.sku AND (p."storeId" IS NULL OR o."storeId" = p."storeId")) AS "offersMatched",
+    (SELECT count(*) FROM v_raw_products r WHERE r.sku = p.sku AND (p."storeId" IS NULL OR r."storeId" = p."storeId")) AS "productsMatched" FROM patches p""", **SETS))
+def inventory_matches(spark, sf):
+    offers, patches = inventory(spark, sf)
+    return N.inventory_matches(patches, offers, views.products(spark, sf).select(F.col("id").alias("productId"), "storeId", "sku"))

@@ -160,3 +160,19 @@ def stream_catalog_variants(spark, sf):
     log = live(spark, sf, (stock_changes, H.inventory_events), (deletions, H.delete_events))
     v = F.element_at("variants", 1)
     return log.read("products").select("sourceId", "status", v["inventoryQty"].alias("quantity"), v["isInStock"].alias("isInStock"))
+
+
+KEPT_HOURS = 12
+
+
+@query(sql(f"""SELECT user_id, arg_max("webhookId", event_id) AS "webhookId", arg_max(topic, event_id) AS topic, arg_max(ts, event_id) AS ts, max(event_id) AS event_id
+    FROM v_webhooks GROUP BY user_id HAVING max(event_id) > (SELECT max(event_id) FROM events) - {KEPT_HOURS} * 60"""))
+def stream_latest_arrival(spark, sf):
+    """The last arrival of each user, of events that come a minute apart in the order of their ids; kept for 12 hours."""
+    events = webhook_stream(spark, sf).withColumn("received", F.timestamp_seconds(F.col("event_id") * 60))
+    folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    log = CommitLog(spark, folder, {"latest": "user_id"})
+    log.begin({"latest": spark.createDataFrame([], events.schema)})
+    H.run(events, log, H.latest_arrivals("latest", "user_id", KEPT_HOURS), f"{folder}/checkpoint")
+    held = log.read("latest")
+    return H.fresh(held, held.agg(F.max("received")).first()[0], KEPT_HOURS).select("user_id", "webhookId", "topic", "ts", "event_id")

@@ -131,3 +131,26 @@ def delete_events(tx: Transaction, events: DataFrame) -> None:
     tx.change("products", rows, _replaced(KEY))
     out = {"isInStock": F.lit(False), "availability": F.lit("out_of_stock"), "lastSyncedAt": F.col("at")}
     tx.change("offers", tx.read("offers").join(tx.read_side("gone"), KEY).withColumns(out), _replaced(["id"]))
+
+
+def latest_arrivals(name: str, key: str, hours: float | None = None) -> Callable[[Transaction, DataFrame], None]:
+    """A handler that keeps, of each ``key``, the row that arrived last, whatever time it speaks of.
+
+    Rows carry ``received`` (when they came) and ``event_id`` (their order where that is equal). The state is the table
+    ``name`` of the log, a row for each key, not a state store; with ``hours``, what came longer before the batch's last
+    row goes when its bucket is written anew, and ``fresh`` leaves it out of what is read. Rows without a key are left out.
+    """
+    def handle(tx: Transaction, batch: DataFrame) -> None:
+        order = F.struct("received", "event_id")
+        new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("e")).select("e.*")
+        now = batch.agg(F.max("received")).first()[0]
+        tx.change(name, new, lambda held, rows: fresh(_replaced([key])(held, rows), now, hours))
+
+    return handle
+
+
+def fresh(rows: DataFrame, now, hours: float | None) -> DataFrame:
+    """Rows that were received within ``hours`` before ``now``; all without either."""
+    if hours is None or now is None:
+        return rows
+    return rows.where(F.col("received") > F.lit(now) - F.make_dt_interval(secs=F.lit(hours * 3600)))
