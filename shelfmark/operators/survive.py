@@ -98,7 +98,7 @@ def resolve_field(existing: str, incoming: str) -> Column:
         .when(F.col("te").isNotNull() & (F.col("ti").isNull() | (F.col("te") > F.col("ti"))), made("existing", "recency"))
         .when(F.length(i) > F.length(e), made("incoming", "completeness"))
         .when(F.length(e) > F.length(i), made("existing", "completeness"))
-        .otherwise(made("existing", "default"))
+        .otherwise(made("existing", "completeness"))
     )
 
 
