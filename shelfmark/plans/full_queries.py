@@ -80,7 +80,7 @@ def entity_pairs_all(spark, sf):
 @query(sql("SELECT * FROM best", **DEDUP_ALL, **BEST))
 def best_match_all(spark, sf):
     """The best of all matches, not only of those among a block's first rows."""
-    return R.best_match(R.dedup_pairs(worded(spark, sf), cap=None))
+    return R.best_dedup(worded(spark, sf), cap=None)
 
 
 @query(sql("SELECT * FROM resolved", **ENTITY_ALL, **BEST, resolved=RESOLVED))
