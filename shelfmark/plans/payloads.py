@@ -16,8 +16,8 @@ from shelfmark.sources.tables import table
 BASE_URL = "https://shop.example.com"
 
 
-def bronze(spark: SparkSession, sf: str) -> DataFrame:
-    """(platform, sourceId, payload): every product as a payload of each platform."""
+def bronze(spark: SparkSession, sf: str, *platforms: str) -> DataFrame:
+    """(platform, sourceId, payload): every product as a payload of each of the ``platforms``, or of all."""
     p = views.products(spark, sf).withColumn("k", F.col("sourceId").cast("long"))
     k, text = F.col("k"), F.col("sourceId")
     price = F.floor("price")
@@ -63,12 +63,14 @@ def bronze(spark: SparkSession, sf: str) -> DataFrame:
     )
     stocks = made(itemTypeSKU=F.concat(F.lit("SKU-"), text), facilityCode=F.concat(F.lit("f"), (k % 3).cast("string")), inventory=F.when(k % 8 == 0, "none").otherwise(stock.cast("string")), blockedInventory=F.when(k % 2 == 0, (k % 6).cast("string")))
     each = {"shopify": shopify, "magento": magento, "woocommerce": woo, "bigcommerce": big, "unicommerce": stocks}
-    return p.select(F.explode(F.array(*[F.struct(F.lit(n).alias("platform"), "sourceId", c.alias("payload")) for n, c in each.items()])).alias("r")).select("r.*")
+    # Made for one platform where one is asked for; a filter behind the list would come after all five.
+    made_for = [F.struct(F.lit(n).alias("platform"), "sourceId", each[n].alias("payload")) for n in platforms or each]
+    return p.select((made_for[0] if len(made_for) == 1 else F.explode(F.array(*made_for))).alias("r")).select("r.*")
 
 
 def raw(spark: SparkSession, sf: str, platform: str) -> DataFrame:
     schema = {"shopify": P.SHOPIFY_NODE, "magento": P.MAGENTO_ITEM, "woocommerce": P.WOO_ITEM, "bigcommerce": P.BIGCOMMERCE_ITEM, "unicommerce": P.SNAPSHOT}[platform]
-    return P.scan_raw_replay(bronze(spark, sf), platform, schema)
+    return P.scan_raw_replay(bronze(spark, sf, platform), platform, schema)
 
 
 def flat(products: DataFrame, *more: str) -> DataFrame:
@@ -92,7 +94,7 @@ PAGES = {
 def landed(spark: SparkSession, sf: str, platform: str, size: int = 50) -> str:
     """A folder of landed pages of ``size`` payloads, a line each."""
     before, each, behind = PAGES[platform]
-    rows = bronze(spark, sf).where(F.col("platform") == platform)
+    rows = bronze(spark, sf, platform)
     page = F.floor(F.col("sourceId").cast("long") / size).alias("page")
     joined = F.array_join(F.collect_list(F.format_string(each, "payload")), ",")
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
