@@ -73,14 +73,17 @@ def array_element_patch(products: DataFrame, patches: DataFrame) -> DataFrame:
 SOURCE_ID_PATHS = ["$.id", "$.sku", "$.itemTypeSKU", "$.product_id", "$.variant_id"]
 
 
-def raw_archive(bronze: DataFrame, landed: DataFrame, arrived: str | None = None) -> DataFrame:
+def raw_archive(bronze: DataFrame, landed: DataFrame, arrived: str | None = None, parts: int = 1) -> DataFrame:
     """Archive (platform, sourceId, payload) with landed payloads; the last payload of a key stays, keyless ones are all kept.
 
-    Last is by the column ``arrived``, of equal times or without one the greatest text.
+    Last is by the column ``arrived``, of equal times or without one the greatest text. With many payloads, ``parts`` says
+    into how many parts these are dealt.
     """
     key = F.coalesce(*[F.get_json_object("payload", path) for path in SOURCE_ID_PATHS])
     new = landed.select("platform", key.alias("sourceId"), "payload", (F.col(arrived) if arrived else F.lit(None)).alias("at"))
-    keyed = new.where("sourceId is not null").groupBy("platform", "sourceId").agg(F.max(F.struct("at", "payload"))["payload"].alias("payload"))
+    known = new.where("sourceId is not null")
+    known = known.repartition(parts, "platform", "sourceId") if parts > 1 else known
+    keyed = known.groupBy("platform", "sourceId").agg(F.max(F.struct("at", "payload"))["payload"].alias("payload"))
     old = bronze.join(keyed.select("platform", "sourceId"), ["platform", "sourceId"], "left_anti")
     return old.unionByName(keyed).unionByName(new.where("sourceId is null").drop("at"))
 

@@ -120,7 +120,7 @@ def array_element_patch(spark, sf):
 def raw_archive(spark, sf):
     landed = payloads.bronze(spark, sf)
     old = landed.where("platform in ('magento', 'unicommerce') and sourceId < '5'").withColumn("sourceId", F.coalesce(F.get_json_object("payload", "$.id"), F.get_json_object("payload", "$.itemTypeSKU"))).withColumn("payload", F.lit("{}"))
-    done = U.raw_archive(old, landed.where("platform <> 'unicommerce'").select("platform", "payload"))
+    done = U.raw_archive(old, landed.where("platform <> 'unicommerce'").select("platform", "payload"), parts=views.payload_parts(spark, sf))
     return done.select("platform", "sourceId", (F.col("payload") == "{}").alias("untouched"))
 
 
