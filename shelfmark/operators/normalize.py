@@ -203,16 +203,18 @@ def patch_inventory(offers: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.select(*kept, *[after(f).alias(f) for f in fields], (F.col("own").isNotNull() | F.col("every").isNotNull()).alias("matched"), changed.alias("modified"))
 
 
-def inventory_matches(patches: DataFrame, offers: DataFrame, variants: DataFrame) -> DataFrame:
+def inventory_matches(patches: DataFrame, offers: DataFrame, variants: DataFrame, parts: int = 1) -> DataFrame:
     """Each patch (sku, storeId, seq) with the offers and products it fits; ``variants``: productId, storeId, sku of products.
 
     Offers and variants are counted by SKU and store first; a patch without a store adds its SKU's counts over stores.
+    With many offers, ``parts`` says into how many parts these are dealt.
     """
-    by_store = offers.groupBy("sku", "storeId").agg(F.count("*").alias("o"), F.lit(0).cast("long").alias("p")).unionByName(
-        variants.distinct().groupBy("sku", "storeId").agg(F.lit(0).cast("long").alias("o"), F.count("*").alias("p"))
-    ).where("sku is not null").groupBy("sku", "storeId").agg(F.sum("o").alias("o"), F.sum("p").alias("p"))
+    ones = lambda rows, o: rows.where("sku is not null").select("sku", "storeId", F.lit(o).alias("o"), F.lit(1 - o).alias("p"))
+    rows = ones(offers, 1).unionByName(ones(variants.distinct(), 0))
+    dealt = lambda df: df.repartition(parts, "sku", "storeId") if parts > 1 else df
+    by_store = dealt(rows).groupBy("sku", "storeId").agg(F.sum("o").alias("o"), F.sum("p").alias("p"))
     total = by_store.groupBy("sku").agg(F.sum("o").alias("to"), F.sum("p").alias("tp"))
-    joined = patches.select("seq", "sku", "storeId").join(by_store, ["sku", "storeId"], "left").join(total, "sku", "left")
+    joined = dealt(patches.select("seq", "sku", "storeId")).join(by_store, ["sku", "storeId"], "left").join(total, "sku", "left")
     pick = lambda own, every: F.coalesce(F.when(F.col("storeId").isNull(), F.col(every)).otherwise(F.col(own)), F.lit(0).cast("long"))
     return joined.select("seq", "sku", "storeId", pick("o", "to").alias("offersMatched"), pick("p", "tp").alias("productsMatched"))
 

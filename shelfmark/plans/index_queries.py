@@ -208,4 +208,5 @@ def patch_inventory(spark, sf):
     (SELECT count(*) FROM v_raw_products r WHERE r.sku = p.sku AND (p."storeId" IS NULL OR r."storeId" = p."storeId")) AS "productsMatched" FROM patches p""", **SETS))
 def inventory_matches(spark, sf):
     offers, patches = inventory(spark, sf)
-    return N.inventory_matches(patches, offers, views.products(spark, sf).select(F.col("id").alias("productId"), "storeId", "sku"))
+    variants = views.products(spark, sf).select(F.col("id").alias("productId"), "storeId", "sku")
+    return N.inventory_matches(patches, offers, variants, views.offer_parts(spark, sf))
