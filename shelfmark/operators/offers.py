@@ -29,12 +29,11 @@ def join_offer_canonical_backfill(offers: DataFrame, products: DataFrame) -> Dat
 
 def modal_currency(offers: DataFrame) -> DataFrame:
     """Most frequent currency of each canonical product; of equals the first to get there in price order."""
-    placed = Window.partitionBy("canonicalProductId").orderBy("price", "id")
-    running = Window.partitionBy("canonicalProductId", "currency").orderBy("price", "id")
-    counted = offers.where("canonicalProductId is not null and price is not null").select(
-        "canonicalProductId", F.upper("currency").alias("currency"), F.row_number().over(placed).alias("pos"), F.row_number().over(running).alias("run")
+    counted = offers.where("canonicalProductId is not null and price is not null").groupBy("canonicalProductId", F.upper("currency").alias("currency")).agg(
+        F.count("*").alias("n"), F.max(F.struct("price", "id")).alias("last")
     )
-    best = F.max_by("currency", F.struct("run", -F.col("pos")))
+    # Of equally frequent ones that whose last offer comes first got to its number first.
+    best = F.min_by("currency", F.struct(-F.col("n"), "last"))
     return counted.groupBy("canonicalProductId").agg(best.alias("currency"))
 
 
