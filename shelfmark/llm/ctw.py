@@ -12,9 +12,11 @@ Documents are dealt into batches of about ``batch_bytes`` of text by a hash; of
 rows, equal rows are counted first. A batch asks for what it needs: its distinct words and its distinct runs of depth +
 1 bytes, with their counts in training. Word counts are summed by a hash of the word, runs by a partial and a full sum.
 Contexts of two bytes and more are weighted where all runs with the same last two context bytes are, some groups of
-these at a time; contexts of one byte and none, 256 * 255 + 255 nodes, are combined from these. Every batch gets the
-answers to what it asked, and scores its documents with these. So no table of words or contexts is broadcast, and what
-a task holds is bounded by a batch, or by the different runs with the same two bytes.
+these at a time, and of a large group a part with whole contexts of three bytes at a time; contexts of one byte and
+none, 256 * 255 + 255 nodes, are combined from these. Every batch gets the answers to what it asked, and scores its
+documents with these. So no table of words or contexts is broadcast, and what a task holds is bounded by a batch, by
+the codes and counts (16 bytes each) of the different runs with the same two bytes, or by the nodes of those with the
+same three.
 
 Defined results: a null text is an empty one, whose only token is the end; without training documents every byte has
 probability 2**-8; words of any length count; repeated rows are scored each, and count in training each; an empty
@@ -41,8 +43,8 @@ from shelfmark.llm.shared import stored
 DEPTH = 5
 START, END = b"\0" * DEPTH, b"\xff"
 BATCH_BYTES = 24 << 20
-#: Bytes whose runs are counted or looked up at a time, and runs that are weighted at a time.
-STEP_BYTES, STEP_RUNS = 1 << 20, 1 << 19
+#: Bytes whose runs are counted or looked up at a time, and runs that are weighted at a time (about 1 KB each).
+STEP_BYTES, STEP_RUNS = 1 << 20, 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token among words.
 END_TOKEN = b""
@@ -143,39 +145,64 @@ class Level:
     """The nodes of contexts of ``depth`` bytes (code of the context * 256 + place on the bits' path)."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
-        context = (codes >> 8) & ((1 << 8 * depth) - 1)
-        x = codes & 255
-        keys, bits = [], []
-        for j in range(8):
-            keys.append(context * 256 + ((1 << j) | (x >> (8 - j))))
-            bits.append((x >> (7 - j)) & 1)
-        self.bits = np.stack(bits)
-        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        self.at = at.reshape(8, -1)
-        n = np.bincount(self.at.ravel() * 2 + self.bits.ravel(), np.tile(counts, 8), 2 * len(self.keys)).reshape(-1, 2)
+        self.depth, self.bits = depth, np.stack([(codes >> (7 - j) & 1).astype(np.uint8) for j in range(8)])
+        self.keys, at = np.unique(self.nodes(codes), return_inverse=True)
+        self.at = at.astype(np.int32).reshape(8, -1)
+        # A place on the path at a time: counts are whole numbers, so their sums are exact in any order.
+        n = sum(np.bincount(at * 2 + bits, counts, 2 * len(self.keys)) for at, bits in zip(self.at, self.bits)).reshape(-1, 2)
         self.n0, self.n1 = n[:, 0], n[:, 1]
         self.kt = log_kt(self.n0, self.n1)
         self.weighted = self.kt
         self.one = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
 
-    def take(self, child: Level, depth: int) -> None:
-        """Weighs the nodes with those of the next longer contexts."""
-        node = (child.keys >> 8 & ((1 << 8 * depth) - 1)) * 256 + (child.keys & 255)
-        below = np.bincount(np.searchsorted(self.keys, node), child.weighted, len(self.keys))
+    def nodes(self, codes: np.ndarray) -> np.ndarray:
+        """The nodes on the paths of the runs' last bytes, a row for each bit."""
+        context = (codes >> 8) & ((1 << 8 * self.depth) - 1)
+        x = codes & 255
+        return np.stack([context * 256 + ((1 << j) | (x >> (8 - j))) for j in range(8)])
+
+    def sums(self, child: Level) -> np.ndarray:
+        """The sums of the next longer contexts' weighted logs at their nodes."""
+        node = (child.keys >> 8 & ((1 << 8 * self.depth) - 1)) * 256 + (child.keys & 255)
+        return np.bincount(np.searchsorted(self.keys, node), child.weighted, len(self.keys))
+
+    def take(self, below: np.ndarray) -> None:
+        """Weighs the nodes with the sums of those of the next longer contexts."""
         self.weighted = weigh(self.kt, below)
 
     def own_share(self) -> np.ndarray:
         return np.exp(HALF + self.kt - self.weighted)
 
 
-def levels(codes: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
-    """Levels of ``depth`` down to 2 of all runs that share their last two context bytes."""
-    found = [Level(codes, counts, d) for d in range(depth, 1, -1)]
+def levels(codes: np.ndarray, counts: np.ndarray, depth: int, least: int = 2) -> list[Level]:
+    """Levels of ``depth`` down to ``least`` of all runs that share their last ``least`` context bytes."""
+    found = [Level(codes, counts, d) for d in range(depth, least - 1, -1)]
     for i, level in enumerate(found[1:]):
-        level.take(found[i], depth - 1 - i)
+        level.take(level.sums(found[i]))
     return found
 
 
+def pieces(codes: np.ndarray, depth: int) -> list[np.ndarray | slice]:
+    """Places of the runs in parts that are weighted at a time; where there are several, none cuts a context of three bytes."""
+    if len(codes) <= 2 * STEP_RUNS or depth < 3:
+        return [slice(None)]
+    three = codes >> 8 & 0xFFFFFF
+    order = np.argsort(three, kind="stable")
+    starts = np.flatnonzero(np.diff(three[order], prepend=-1))
+    firsts = starts[np.flatnonzero(np.diff(starts // STEP_RUNS, prepend=-1))]
+    return np.split(order, firsts[1:])
+
+
+def level_two(codes: np.ndarray, counts: np.ndarray, depth: int) -> Level:
+    """The level of two bytes of all runs that share them, weighted."""
+    parts = pieces(codes, depth)
+    if len(parts) == 1:
+        return levels(codes, counts, depth)[-1]
+    level = Level(*summed(codes & 0xFFFFFF, counts), 2)
+    level.take(sum(level.sums(levels(codes[part], counts[part], depth, 3)[-1]) for part in parts))
+    return level
+
+
 class Top:
     """Estimates and own shares of the nodes of one byte of context (a row each) and of none, by place."""
 
@@ -193,11 +220,26 @@ class Top:
 
 def log10_predictions(codes: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.ndarray:
     """log10 of the mixed probability of each run's last byte after the bytes before it."""
-    found = levels(codes, counts, depth)
+    parts = pieces(codes, depth)
+    if len(parts) == 1:
+        return _predictions(codes, levels(codes, counts, depth), top)
+    two = level_two(codes, counts, depth)
+    logs = np.empty(len(codes))
+    for part in parts:
+        logs[part] = _predictions(codes[part], levels(codes[part], counts[part], depth, 3), top, two)
+    return logs
+
+
+def _predictions(codes: np.ndarray, found: list[Level], top: Top, two: Level | None = None) -> np.ndarray:
+    """The logs of runs by the levels made from these, and by ``two``, made from more runs, if that isn't among them."""
     one = found[0].one[found[0].at]
     for level in found[1:]:
         share = level.own_share()[level.at]
         one = share * level.one[level.at] + (1 - share) * one
+    if two is not None:
+        at = np.searchsorted(two.keys, two.nodes(codes))
+        share = two.own_share()[at]
+        one = share * two.one[at] + (1 - share) * one
     x, last = codes & 255, codes >> 8 & 255
     place = np.stack([(1 << j) | (x >> (8 - j)) for j in range(8)])
     share = top.share[last, place]
@@ -300,22 +342,28 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_byte
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Codes and counts of some groups at a time, no group cut."""
         held: list[np.ndarray] = []
+        n, last, cut = 0, -1, 0  # runs held, the last one's group, and where that starts
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(np.stack([batch.column("code").to_numpy(), batch.column("n").to_numpy()]))
-            if sum(part.shape[1] for part in held) >= STEP_RUNS:
+            two = held[-1][0] >> 8 & 65535
+            starts = np.flatnonzero(np.diff(two, prepend=last))
+            if len(starts):
+                cut, last = n + int(starts[-1]), two[-1]
+            n += len(two)
+            if n >= STEP_RUNS and cut:
                 rows = np.concatenate(held, axis=1)
-                two = rows[0] >> 8 & 65535
-                end = int(np.flatnonzero(two != two[-1])[-1]) + 1 if (two != two[-1]).any() else 0
-                if end:
-                    yield rows[0, :end], rows[1, :end].astype(float)
-                held = [rows[:, end:]]
-        if held and held[0].size + sum(part.size for part in held[1:]):
+                held, n = [rows[:, cut:].copy()], n - cut
+                yield rows[0, :cut], rows[1, :cut].astype(float)
+                cut = 0
+        if n:
             rows = np.concatenate(held, axis=1)
             yield rows[0], rows[1].astype(float)
 
     def weigh_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, counts in whole_groups(batches):
-            level = levels(codes, counts, depth)[-1]
+            level = level_two(codes, counts, depth)
             node, at = np.unique((level.keys >> 8 & 255) * 256 + (level.keys & 255), return_inverse=True)
             columns = [node, *(np.bincount(at, v, len(node)) for v in (level.weighted, level.n0, level.n1))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "w", "n0", "n1"])
