@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ DEPTH = 5
 START, END = b"\0" * DEPTH, b"\xff"
 BATCH_BYTES = 24 << 20
 #: Bytes whose runs are counted or looked up at a time, and runs that are weighted at a time (about 1 KB each).
-STEP_BYTES, STEP_RUNS = 1 << 20, 1 << 17
+STEP_BYTES, STEP_RUNS = 1 << 18, 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token among words.
 END_TOKEN = b""
@@ -73,12 +73,12 @@ def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts
 
 
-def portions(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[list[int]]:
-    """Numbers of the texts in portions of about ``size`` bytes."""
+def portions(texts: Sequence[bytes], numbers: Sequence[int], size: int = STEP_BYTES) -> Iterator[list[int]]:
+    """The numbers of texts in portions of about ``size`` bytes."""
     held, total = [], 0
-    for i, text in enumerate(texts):
+    for i in numbers:
         held.append(i)
-        total += len(text)
+        total += len(texts[i])
         if total >= size:
             yield held
             held, total = [], 0
@@ -88,23 +88,26 @@ def portions(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[list[int]]:
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order, with the sums of their counts."""
+    if not len(codes):
+        return codes, counts
     order = np.argsort(codes, kind="stable")
-    found, starts = np.unique(codes[order], return_index=True)
-    return found, np.add.reduceat(counts[order], starts) if len(found) else counts
+    codes = codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(counts[order], starts)
 
 
-def count_runs(texts: list[bytes], copies: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of texts that stand for so many copies each, and their counts."""
-    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def count_runs(texts: Sequence[bytes], copies: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of texts that stand for so many copies each (none: only asked for), and their counts."""
+    codes, counts, pending = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for number in sorted(set(copies)):
-        alike = [text for text, n in zip(texts, copies) if n == number]
-        for portion in portions(alike):
-            found, n = np.unique(runs([alike[i] for i in portion], depth)[0], return_counts=True)
+        for portion in portions(texts, [i for i, n in enumerate(copies) if n == number]):
+            found, n = np.unique(runs([texts[i] for i in portion], depth)[0], return_counts=True)
             codes.append(found)
             counts.append(n * number)
-            if len(codes) > 16:
+            pending += len(found)
+            if pending > max(STEP_RUNS, len(codes[0]) // 2):
                 merged = summed(np.concatenate(codes), np.concatenate(counts))
-                codes, counts = [merged[0]], [merged[1]]
+                codes, counts, pending = [merged[0]], [merged[1]], 0
     return summed(np.concatenate(codes), np.concatenate(counts))
 
 
@@ -249,16 +252,35 @@ def _predictions(codes: np.ndarray, found: list[Level], top: Top, two: Level | N
     return np.log10(np.where(found[0].bits == 1, one, 1 - one)).sum(axis=0)
 
 
+class Texts(Sequence):
+    """The texts of a column, lower-cased each time they are read, so that no second copy of all of them is held."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, i: int) -> bytes:
+        return lowered(self.column[i].as_py())
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (lowered(text.as_py()) for text in self.column)
+
+
 class Batch:
     """The documents of a batch."""
 
     def __init__(self, table: pa.Table):
-        self.texts = [lowered(t.as_py()) for t in table.column("text")]
+        self.texts = Texts(table.column("text"))
         self.learn, self.copies = table.column("learn").to_pylist(), table.column("copies").to_pylist()
 
 
 def _ask(batch: Batch, n_groups: int, depth: int) -> list[tuple]:
     """What a batch needs: per group of words, the words and their training counts; runs and theirs."""
+    codes, counts = count_runs(batch.texts, [n if learn else 0 for n, learn in zip(batch.copies, batch.learn)], depth)
+    asked = (None, packed(codes), packed(counts))
+    del codes, counts
     words: Counter[bytes] = Counter()
     for text, learn, n in zip(batch.texts, batch.learn, batch.copies):
         if learn:
@@ -270,12 +292,7 @@ def _ask(batch: Batch, n_groups: int, depth: int) -> list[tuple]:
     for word in words:
         dealt.setdefault(zlib.crc32(word) % n_groups, []).append(word)
     rows = [(p, b"\n".join(own), np.array([words[w] for w in own], "<i8").tobytes()) for p, own in dealt.items()]
-    told = list(zip(batch.texts, batch.copies, batch.learn))
-    learned = count_runs([t for t, _, learn in told if learn], [n for _, n, learn in told if learn], depth)
-    others = [t for t, _, learn in told if not learn]
-    others = count_runs(others, [1] * len(others), depth)[0]
-    codes, counts = summed(np.concatenate([learned[0], others]), np.concatenate([learned[1], np.zeros(len(others), np.int64)]))
-    return [*rows, (None, packed(codes), packed(counts))]
+    return [*rows, asked]
 
 
 def counted_once(docs: DataFrame) -> DataFrame:
@@ -388,26 +405,30 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, batch_byte
     def score(docs_table, answer):
         batch = Batch(docs_table)
         texts = batch.texts
-        count: dict[bytes, int] = {}
         is_word = pc.is_null(answer.column("code"))
-        of_words = answer.filter(is_word)
-        for keys, counts in zip(of_words.column("keys"), of_words.column("counts")):
-            count.update(zip(keys.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<i8").tolist()))
-        own = answer.filter(pc.invert(is_word))
+        own = answer.select(["code", "log10p"]).filter(pc.invert(is_word))
         codes, logs = own.column("code").to_numpy(), own.column("log10p").to_numpy()
+        del own
         order = np.argsort(codes)
-        codes, logs = codes[order], logs[order].astype(np.float64)
+        codes, logs = codes[order], logs[order]
+        del order
+        scores = np.zeros(len(texts))
+        for portion in portions(texts, range(len(texts))):
+            every, starts = runs([texts[i] for i in portion], depth)
+            found, at = np.unique(every, return_inverse=True)
+            scores[portion] = np.add.reduceat(logs[np.searchsorted(codes, found)].astype(np.float64)[at], starts)
+        del codes, logs
+        # Words come after the runs are done with, so that a task doesn't hold both.
+        count: dict[bytes, int] = {}
+        of_words = answer.select(["keys", "counts"]).filter(is_word)
+        for keys, counts in zip(of_words.column("keys"), of_words.column("counts")):
+            count.update(zip(keys.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<i8").tolist()))
         n_tokens, n_known, known_log = [], [], []
         for text in texts:
             c = np.array(list(map(count.__getitem__, tokens(text))), np.float64)
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             known_log.append(float(np.log10(c + 1).sum()))
-        scores = np.zeros(len(texts))
-        for portion in portions(texts):
-            every, starts = runs([texts[i] for i in portion], depth)
-            found, at = np.unique(every, return_inverse=True)
-            scores[portion] = np.add.reduceat(logs[np.searchsorted(codes, found)][at], starts)
         return pa.table({
             "doc_id": docs_table.column("doc_id"), "copies": docs_table.column("copies"), "held_out": pa.array([not x for x in batch.learn]),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),

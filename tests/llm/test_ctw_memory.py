@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from shelfmark.llm import ctw
 
@@ -35,3 +36,21 @@ def test_parts_of_a_group_give_the_same(monkeypatch):
     assert len(ctw.pieces(codes, 5)) > 3
     np.testing.assert_allclose(predicted(codes, counts), whole, rtol=0, atol=1e-12)
     np.testing.assert_allclose(ctw.level_two(codes, counts, 5).weighted, level.weighted, rtol=1e-12)
+
+
+def test_asking_and_reading_hold_no_second_copy_of_the_texts():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(map(str, rng.integers(0, 400, 700))) for _ in range(4000)]
+    table = pa.table({"text": texts, "learn": [i % 7 != 2 for i in range(len(texts))], "copies": [1 + i % 2 for i in range(len(texts))]})
+    del texts
+    tracemalloc.start()
+    rows = ctw._ask(ctw.Batch(table), 3, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * table.nbytes
+    told = dict(zip(ctw.unpacked(rows[-1][1]).tolist(), ctw.unpacked(rows[-1][2]).tolist()))
+    expected: dict[int, int] = {}
+    for row in table.to_pylist():
+        for code in ctw.runs([ctw.lowered(row["text"])], 5)[0].tolist():
+            expected[code] = expected.get(code, 0) + row["copies"] * row["learn"]
+    assert told == expected
