@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.sources.shared import light_batches  # noqa: F401
+
 #: Rows in an Arrow batch. Texts can be long, so a batch is kept small.
 ROWS = 1000
 
@@ -18,15 +20,6 @@ def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
-def light_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Lowers the bytes per Arrow batch of the session, for rows that are large themselves; a batch has one row at least."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "64m").lower().removesuffix("b")
-    number = int(held.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(held[-1], 0)
-    if not 0 < number <= size:
-        spark.conf.set(name, str(size))
-
-
 def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of ``rows`` at most."""
     for batch in batches:
