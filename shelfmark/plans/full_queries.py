@@ -16,7 +16,7 @@ from shelfmark.operators import survive as S
 from shelfmark.operators import upsert as U
 from shelfmark.plans import views
 from shelfmark.plans.catalog_queries import category_rows
-from shelfmark.plans.oracle import CLEAN_HTML, CONFLICT, ENTITY, FLAT, RESOLVED, C, schema_issues
+from shelfmark.plans.oracle import CLEAN_HTML, CONFLICT, ENTITY, FLAT, KEYED, NEAR, RESOLVED, C, schema_issues
 from shelfmark.plans.queries import canonical, flat, pick
 from shelfmark.plans.views_sql import sql
 from shelfmark.sources import platforms as P
@@ -42,10 +42,7 @@ def query(text: str):
 WORDED = {
     "v_worded": """SELECT * REPLACE (title || ' s' || size AS title) FROM v_products""",
     "features": ENTITY["features"].replace("v_products", "v_worded"),
-    "near": """SELECT a.id AS id, b.id AS match, a.price AS pa, b.price AS pb, a.sku AS sa, b.sku AS sb, a.size AS za, b.size AS zb, a.name AS na, b.name AS nb,
-        a.cat AS ca, b.cat AS cb, a.b AS ba, b.b AS bb, CASE WHEN a.b IS NULL AND b.b IS NULL THEN 0.5::DOUBLE WHEN a.b = b.b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS brand,
-        CASE WHEN a.cat = '' OR b.cat = '' THEN 0.5::DOUBLE WHEN a.cat = b.cat THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS category
-        FROM features a JOIN features b ON a.id <> b.id AND NOT abs(a.price - b.price) / greatest(a.price, b.price) > 0.30""",
+    "near": NEAR,
 }
 SCORED = {"common": ENTITY["common"], "names": ENTITY["names"], "titles": ENTITY["titles"], "based": ENTITY["based"], "scored": ENTITY["scored"], "matched": ENTITY["matched"]}
 DEDUP_ALL = WORDED | {
@@ -55,11 +52,7 @@ DEDUP_ALL = WORDED | {
         FROM pairs LEFT JOIN titles USING (na, nb)""",
     "matched": "SELECT * FROM scored WHERE score >= 0.8",
 }
-TOKENS = "list_filter(string_split({}, ' '), lambda t: t <> '')"
-ENTITY_ALL = WORDED | {
-    "pairs": f"""SELECT * FROM near WHERE CASE WHEN ca <> '' AND ba IS NOT NULL THEN ca = cb AND ba = bb WHEN ba IS NOT NULL THEN ba = bb WHEN ca <> '' THEN ca = cb
-        WHEN len({TOKENS.format("na")}) >= 3 THEN list_has_any({TOKENS.format("na")}[1:3], {TOKENS.format("nb")}) END""",
-} | SCORED
+ENTITY_ALL = WORDED | {"pairs": KEYED} | SCORED
 BEST = {"best": "SELECT id, arg_min(match, ROW(-score, match)) AS match, max(score) AS score FROM matched GROUP BY id"}
 
 
