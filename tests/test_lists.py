@@ -62,3 +62,10 @@ def test_portions_and_ranges():
     assert all(counts[p].sum() <= M.AT_ONCE or p.stop - p.start == 1 for p in parts)
     of, place = M._ragged(M.np.array([5, 0, 9]), M.np.array([2, 0, 3]))
     assert of.tolist() == [0, 0, 2, 2, 2] and place.tolist() == [5, 6, 9, 10, 11]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Pairs of rows leave the tasks that find them; nothing joins or shuffles them."""
+    plan = R.dedup_pairs(products(spark, 40), None)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    assert not [line for line in plan[:met] if "Join" in line or "Repartition" in line or "Aggregate" in line]
