@@ -69,3 +69,10 @@ def test_pairs_are_not_shuffled(spark):
     plan = R.dedup_pairs(products(spark, 40), None)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     met = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
     assert not [line for line in plan[:met] if "Join" in line or "Repartition" in line or "Aggregate" in line]
+
+
+def test_entity_pairs_are_not_shuffled(spark):
+    """The same of the pairs by score; those by equal SKUs are few, and come beside them."""
+    plan = R.entity_pairs(products(spark, 40), None)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met, beside = (next(i for i, line in enumerate(plan) if word in line) for word in ("MapInArrow", "Union"))
+    assert beside < met and not [line for line in plan[:met] if "Join" in line or "Repartition" in line or "Aggregate" in line]
