@@ -76,3 +76,12 @@ def test_entity_pairs_are_not_shuffled(spark):
     plan = R.entity_pairs(products(spark, 40), None)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     met, beside = (next(i for i, line in enumerate(plan) if word in line) for word in ("MapInArrow", "Union"))
     assert beside < met and not [line for line in plan[:met] if "Join" in line or "Repartition" in line or "Aggregate" in line]
+
+
+def test_mean_confidence_holds_few_rows(spark, monkeypatch):
+    """The mean needs each product's best score, not all that a block gives."""
+    n, met, meet = 200, [], M.meet
+    rows = [(f"p{i:03}", f"s{i}", None, "red ring", "Acme", "art", 100.0 + i / 10, {"size": "1"}) for i in range(n)]
+    monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
+    found = R.mean_confidence(R.entity_resolve_all(spark.createDataFrame(rows, products(spark, 1).schema), None)).first()
+    assert found.resolved == n and found.meanConfidence > 0.999 and met[0].count() <= 3 * n
