@@ -85,3 +85,13 @@ def test_mean_confidence_holds_few_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
     found = R.mean_confidence(R.entity_resolve_all(spark.createDataFrame(rows, products(spark, 1).schema), None)).first()
     assert found.resolved == n and found.meanConfidence > 0.999 and met[0].count() <= 3 * n
+
+
+def test_incoming_products_hold_few_rows(spark, monkeypatch):
+    """Incoming products are resolved from each one's best rows, not from all that a block gives."""
+    n, met, meet = 200, [], M.meet
+    rows = [(f"p{i:03}", f"s{i}", None, "red ring", "Acme", "art", 100.0 + i / 10, {"size": "1"}) for i in range(n)]
+    rows = spark.createDataFrame(rows, products(spark, 1).schema)
+    monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
+    found = R.resolve_incoming(rows.withColumn("canonicalProductId", F.when(F.col("id") == "p007", "cprod_7")), rows).groupBy("matchKind").count().collect()
+    assert {tuple(r) for r in found} == {("canonical", 1), ("scored", n - 1)} and met[0].count() <= 3 * n
