@@ -95,3 +95,13 @@ def test_incoming_products_hold_few_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
     found = R.resolve_incoming(rows.withColumn("canonicalProductId", F.when(F.col("id") == "p007", "cprod_7")), rows).groupBy("matchKind").count().collect()
     assert {tuple(r) for r in found} == {("canonical", 1), ("scored", n - 1)} and met[0].count() <= 3 * n
+
+
+def test_resolution_holds_few_rows(spark, monkeypatch):
+    """Every product is resolved from each one's best rows, whether lists are long or short."""
+    n, met, meet = 150, [], M.meet
+    rows = [(f"p{i:03}", f"s{i}", None, "red ring", "Acme", "art", 100.0 + i / 10, {"size": "1"}) for i in range(n)]
+    rows = spark.createDataFrame([*rows, ("q", "q", None, "red ring", None, None, 100.0, {"size": "1"})], products(spark, 1).schema)
+    monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
+    found = R.resolution_summary(R.entity_resolve_all(rows, None)).first()
+    assert tuple(found) == (n + 1, n, 0, 1, 1.0) and met[0].count() <= 3 * n
