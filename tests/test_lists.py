@@ -105,3 +105,11 @@ def test_resolution_holds_few_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "meet", lambda *a: met.append(meet(*a)) or met[-1])
     found = R.resolution_summary(R.entity_resolve_all(rows, None)).first()
     assert tuple(found) == (n + 1, n, 0, 1, 1.0) and met[0].count() <= 3 * n
+
+
+def test_lists_are_bounded(spark, monkeypatch):
+    """A block's classes come in lists, one title's too if they are many, and none is lost."""
+    monkeypatch.setattr(M, "LIST", 20)
+    kinds = spark.createDataFrame([(f"c{i}", f"l{i % 90}" if i < 180 else "same", 10.0) for i in range(300)], "class string, look string, price double")
+    lists = M._lists(kinds, F.array(F.lit("b")), 0.3, ["class", "look"], None).select(F.transform("list", lambda e: e["class"]).alias("c")).collect()
+    assert sorted(c for r in lists for c in r.c) == sorted(f"c{i}" for i in range(300)) and max(len(r.c) for r in lists) <= 60
